@@ -22,14 +22,14 @@ NUMERIC_DATE = r"^\d{1,4}([-/.])\d{1,2}\1\d{1,4}$"
 YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,4}$"
 YEAR_LAST = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}$"
 ISO_DATETIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}(:?\d{2}(:?\d{2}(\.\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?$"
-_CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2})?)?"
-DAY_NAME_YEAR = r"^\d{1,2}[-/ ,.]+[A-Za-z]{3,9}[-/ ,.]+\d{4}" + _CLOCK + "$"
-NAME_DAY_YEAR = r"^[A-Za-z]{3,9}[-/ ,.]+\d{1,2}[-/ ,.]+\d{4}" + _CLOCK + "$"
-DAY_MONTH_CLOCK = r"^\d{1,2}([-/.])\d{1,2}\1\d{4}[ T]\d{1,2}:\d{2}(:\d{2})?$"
-SHORT_YEAR = r"^\d{1,2}([-/.])\d{1,2}\1\d{2}$"
-NAME_YEAR = r"^[A-Za-z]{3,9}[-/ ,.]+\d{4}$"
-_PARTS = r"[-/ ,.:+]+|(?<=\d)[TZ]"
-_FRACTION = r":\d{2}(\.\d{1,6})"
+_NAME = r"([A-Za-z]{3,9})"
+_BREAK = r"[-/ ,.]+"
+DAY_NAME_YEAR = rf"^(\d{{1,2}}){_BREAK}{_NAME}{_BREAK}(\d{{4}})(?=$|[ T]\d{{1,2}}:\d{{2}}(?::\d{{2}})?$)"
+NAME_DAY_YEAR = rf"^{_NAME}{_BREAK}(\d{{1,2}}){_BREAK}(\d{{4}})(?=$|[ T]\d{{1,2}}:\d{{2}}(?::\d{{2}})?$)"
+NAME_YEAR = rf"^{_NAME}{_BREAK}(\d{{4}})$"
+# day/month-first with a clock time, or with a two-digit year
+DAY_MONTH_OTHER = r"^\d{1,2}([-/.])\d{1,2}\1(\d{4}[ T]\d{1,2}:\d{2}(:\d{2})?|\d{2})$"
+_MONTHS = " ".join((*(m[:3] for m in fv.MONTH_NAMES), *fv.MONTH_NAMES, "sept"))
 
 
 def _int(c: Column) -> Column:
@@ -40,24 +40,11 @@ def _part(parts: Column, i: int) -> Column:
     return F.get(parts, F.lit(i))
 
 
-def _number(parts: Column, i: int) -> Column:
-    return F.coalesce(_int(_part(parts, i)), F.lit(0))
-
-
-def _timestamp(y: Column, m: Column, d: Column, h=None, mi=None, s=None) -> Column:
-    zero = F.lit(0)
-    return F.try_make_timestamp_ntz(
-        y, m, d, zero if h is None else h, zero if mi is None else mi,
-        (zero if s is None else s).cast("decimal(16,6)"),
-    )
-
-
-def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    months = F.array(*[F.lit(m) for m in (*(m[:3] for m in fv.MONTH_NAMES), *fv.MONTH_NAMES, "sept")])
-    at = F.array_position(months, low).cast("int")
+def _month_number(s: Column) -> Column:
+    """Number of the English month name in a text, null for any other word."""
+    at = F.array_position(F.split(F.lit(_MONTHS), " "), F.lower(F.regexp_extract(s, _NAME, 1)))
     # positions 1-12 are the short names, 13-24 the full ones, 25 is "sept"
-    return F.when(at == 25, F.lit(9)).when(at > 0, (at - 1) % 12 + 1)
+    return F.when(at == 25, "9").when(at > 0, ((at - 1) % 12 + 1).cast("string"))
 
 
 def date_parts(c: Column) -> tuple[Column, Column, Column, Column]:
@@ -68,69 +55,55 @@ def date_parts(c: Column) -> tuple[Column, Column, Column, Column]:
     return (F.when(ok, F.regexp_extract(s, "[-/.]", 0)), *(F.when(ok, _part(parts, i)) for i in range(3)))
 
 
-def _read_ymd(s: Column, p: Column) -> Column:
-    return _timestamp(_int(_part(p, 0)), _int(_part(p, 1)), _int(_part(p, 2)))
+def _stamp(text: Column) -> Column:
+    """Spark's own reading of year-month-day text with an optional time; an offset
+    is ignored, as the column has no zone and keeps the wall-clock time."""
+    return text.try_cast("timestamp_ntz")
+
 
+def _read_ymd(s: Column) -> Column:
+    return _stamp(F.translate(s, "/.", "--"))
 
-def _read_day_month(s: Column, p: Column, month_first: Mapping[str, bool] | None, clock: bool = False) -> Column:
-    a, b = _int(_part(p, 0)), _int(_part(p, 1))
-    swapped = [sep for sep in SEPARATORS if (month_first or {}).get(sep)]
-    b_is_month = (a > 12) | (b <= 12)
+
+def _read_day_month(s: Column, month_first: Mapping[str, bool] | None) -> Column:
+    month_leads = r"^(0?\d|1[0-2])[-/.](1[3-9]|[2-9]\d)"
+    swapped = "".join(f"\\{sep}" for sep in SEPARATORS if (month_first or {}).get(sep))
     if swapped:
-        b_is_month = (a > 12) | ((b <= 12) & ~F.regexp_extract(s, "[-/.]", 0).isin(*swapped))
-    month, day = F.when(b_is_month, b).otherwise(a), F.when(b_is_month, a).otherwise(b)
-    if clock:
-        return _timestamp(_int(_part(p, 2)), month, day, _number(p, 3), _number(p, 4), _number(p, 5))
-    return _timestamp(_int(_part(p, 2)), month, day)
+        month_leads += rf"|^(0?\d|1[0-2])[{swapped}]"
+    figures = r"^(\d{1,2})[-/.](\d{1,2})[-/.]"
+    return F.when(s.rlike(month_leads), _stamp(F.regexp_replace(s, figures + r"(\d{4})", "$3-$1-$2"))).otherwise(
+        _stamp(F.regexp_replace(s, figures + r"(\d{4})", "$3-$2-$1"))
+    )
 
 
 def _read_iso(s: Column) -> Column:
-    # the offset is ignored: the column has no zone, the wall-clock time is kept
-    clock = F.regexp_replace(F.regexp_replace(s, r"^\S+?[T ]", ""), r"(Z|[+-]\d{2}:?\d{2})$", "")
-    day = F.split(s, "[-T ]")
-    digits = F.translate(clock, ":", "")
-    fraction = F.coalesce(F.regexp_extract(clock, r"(\.\d{1,6})", 1).try_cast("decimal(16,6)"), F.lit(0))
-    hour = F.when(F.contains(clock, F.lit(":")), F.split(clock, ":").getItem(0)).otherwise(F.substring(digits, 1, 2))
-    rest = F.substr(digits, F.length(hour) + 1)
-    return _timestamp(
-        _int(_part(day, 0)), _int(_part(day, 1)), _int(_part(day, 2)), _int(hour),
-        F.coalesce(_int(F.substring(rest, 1, 2)), F.lit(0)),
-        F.coalesce(_int(F.substring(rest, 3, 2)), F.lit(0)) + fraction,
-    )
+    # a bare hour and the compact clock 1030 are spelled out for a second try
+    spelled = F.regexp_replace(s, r"([T ]\d{1,2})$", "$1:00")
+    spelled = F.regexp_replace(spelled, r"([T ]\d{2})(\d{2})(\d{2})?$", "$1:$2:$3")
+    return F.coalesce(_stamp(s), _stamp(F.regexp_replace(spelled, ":$", "")))
 
 
-def _read_other(s: Column, p: Column) -> Column:
-    clock = [_number(p, i) for i in (3, 4, 5)]
-    year = _int(_part(p, 2))
-    short = _int(_part(p, 2))
-    a, b = _int(_part(p, 0)), _int(_part(p, 1))
-    flip = (a <= 12) & (b > 12)
-    one = F.lit(1)
+def _read_other(s: Column) -> Column:
+    named = (
+        F.when(s.rlike(DAY_NAME_YEAR), F.regexp_replace(s, DAY_NAME_YEAR, "$3-#-$1"))
+        .when(s.rlike(NAME_DAY_YEAR), F.regexp_replace(s, NAME_DAY_YEAR, "$3-#-$2"))
+        .when(s.rlike(NAME_YEAR), F.regexp_replace(s, NAME_YEAR, "$2-#-1"))
+    )
+    long_year = F.regexp_replace(
+        F.regexp_replace(s, r"(?<=\D)(?=([0-5]\d|6[0-8])$)", "20"), r"(?<=\D)(?=(69|[7-9]\d)$)", "19"
+    )
+    clock_or_short = F.when(F.contains(s, F.lit(":")), s).otherwise(long_year)
     return (
-        F.when(s.rlike(DAY_NAME_YEAR), _timestamp(year, _month_number(_part(p, 1)), a, *clock))
-        .when(s.rlike(NAME_DAY_YEAR), _timestamp(year, _month_number(_part(p, 0)), b, *clock))
-        .when(s.rlike(DAY_MONTH_CLOCK), _read_day_month(s, p, None, clock=True))
-        .when(
-            s.rlike(SHORT_YEAR),
-            _timestamp(short + F.when(short < 69, 2000).otherwise(1900), F.when(flip, a).otherwise(b), F.when(flip, b).otherwise(a)),
-        )
-        .when(s.rlike(NAME_YEAR), _timestamp(b, _month_number(_part(p, 0)), one))
-        .when(
-            s.rlike(r"^\d{8}$"),
-            _timestamp(_int(F.substring(s, 1, 4)), _int(F.substring(s, 5, 2)), _int(F.substring(s, 7, 2))),
-        )
-        .when(s.rlike(r"^\d{4}$"), _timestamp(_int(s), one, one))
+        F.when(s.rlike("[A-Za-z]{3}"), _stamp(F.replace(named, F.lit("#"), _month_number(s))))
+        .when(s.rlike(DAY_MONTH_OTHER), let(clock_or_short, lambda t: _read_day_month(t, None)))
+        .when(s.rlike(r"^\d{8}$"), _stamp(F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
+        .when(s.rlike(r"^\d{4}$"), _stamp(F.concat(s, F.lit("-01-01"))))
     )
 
 
-def _with_parts(c: Column, body) -> Column:
-    s = trim_all(c)
-    return let(F.struct(s.alias("s"), F.split(s, _PARTS).alias("p")), lambda v: body(v["s"], v["p"]))
-
-
 def parse_ymd(c: Column) -> Column:
     """Year-first dates; day and month are never swapped."""
-    return _with_parts(c, lambda s, p: F.when(s.rlike(YEAR_FIRST), _read_ymd(s, p)))
+    return let(trim_all(c), lambda s: F.when(s.rlike(YEAR_FIRST), _read_ymd(s)))
 
 
 def parse_day_month(c: Column, month_first: Mapping[str, bool] | None = None) -> Column:
@@ -139,7 +112,7 @@ def parse_day_month(c: Column, month_first: Mapping[str, bool] | None = None) ->
     A figure above 12 settles the order of its own row; otherwise the column's
     convention for that separator (``month_first[sep]``) holds, else day first.
     """
-    return _with_parts(c, lambda s, p: F.when(s.rlike(YEAR_LAST), _read_day_month(s, p, month_first)))
+    return let(trim_all(c), lambda s: F.when(s.rlike(YEAR_LAST), _read_day_month(s, month_first)))
 
 
 def parse_iso_datetime(c: Column) -> Column:
@@ -154,17 +127,17 @@ def parse_named_date(c: Column) -> Column:
     the result never depends on the day it runs.  Two-digit years below 69 belong
     to this century.
     """
-    return _with_parts(c, _read_other)
+    return let(trim_all(c), _read_other)
 
 
 def parse_date(c: Column, month_first: Mapping[str, bool] | None = None) -> Column:
     """All date readings, each value routed by its shape."""
-    return _with_parts(
-        c,
-        lambda s, p: F.when(s.rlike(YEAR_FIRST), _read_ymd(s, p))
-        .when(s.rlike(YEAR_LAST), _read_day_month(s, p, month_first))
+    return let(
+        trim_all(c),
+        lambda s: F.when(s.rlike(YEAR_FIRST), _read_ymd(s))
+        .when(s.rlike(YEAR_LAST), _read_day_month(s, month_first))
         .when(s.rlike(ISO_DATETIME), _read_iso(s))
-        .otherwise(_read_other(s, p)),
+        .otherwise(_read_other(s)),
     )
 
 
@@ -184,10 +157,14 @@ def parse_with_format(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(trim_all(c), F.lit(java_format(fmt))).cast("timestamp_ntz")
 
 
-def day_month_columns(c: Column) -> dict[str, Column]:
-    """Separator and the first two figures of year-last dates, null elsewhere."""
+def year_last_text(c: Column) -> Column:
+    """The trimmed value if it is a day/month-first date, else null."""
     s = trim_all(c)
-    known = F.when(s.rlike(YEAR_LAST), s)
+    return F.when(s.rlike(YEAR_LAST), s)
+
+
+def day_month_columns(known: Column) -> dict[str, Column]:
+    """Separator and the first two figures of :func:`year_last_text`."""
     parts = F.split(known, "[-/.]")
     return {
         "sep": F.regexp_extract(known, "[-/.]", 0),

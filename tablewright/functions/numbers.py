@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablewright.functions import fixed_values as fv
+from tablewright.functions.binding import let
 
 # fixed values: every character that counts as white space
 WHITE = (
@@ -21,7 +22,10 @@ FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 DATE_SHAPED = r"^\d{1,4}([-/.])\d{1,2}\1\d{1,4}$"
 GROUPED_BY_DOTS = r"^[+-]?\d+\.\d{3}"
 DECIMAL_COMMA = r"^([+-]?\d*),(\d{1,2}|\d{4,})$"
-_NOISE = r"(?iU)\[[^\]]*\]|" + fv.CURRENCY_MARKS + r"\s*"
+_NOISE = r"(?i)\[[^\]]*\]|" + fv.CURRENCY_MARKS + r"[\s\xa0]*"
+# a value without any of these characters has nothing to strip
+NOISY = r"[A-Za-z\[$€£¥]"
+NUMERIC = r"^[+-]?[.,\s\xa0]*\d[\d.,\s\xa0]*$"
 
 
 def trim_all(c: Column) -> Column:
@@ -36,12 +40,12 @@ def guarded_double(c: Column) -> Column:
 
 def strip_noise(c: Column) -> Column:
     """Remove footnotes like ``[a]`` and currency marks, then trim (F1)."""
-    return trim_all(F.regexp_replace(c, _NOISE, ""))
+    return trim_all(F.when(c.rlike(NOISY), F.regexp_replace(c, _NOISE, "")).otherwise(c))
 
 
 def has_currency(c: Column) -> Column:
     """Does the text carry a currency mark? (F2)"""
-    return c.rlike(r"(?iU)" + fv.CURRENCY_MARKS)
+    return c.rlike(NOISY) & c.rlike(r"(?i)" + fv.CURRENCY_MARKS)
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -60,11 +64,13 @@ def parse_number(c: Column, decimal_style: str = "id") -> Column:
     Deviates on purpose from tools that lose the sign of "-1.500.000" and that
     read "0,5" as 5.
     """
-    v = strip_noise(_blank_to_null(c))
-    text = F.translate(F.regexp_replace(v, DECIMAL_COMMA, "$1.$2"), ",", "")
-    if decimal_style == "id":
-        text = F.when(v.rlike(GROUPED_BY_DOTS), F.translate(v, ",.", ".")).otherwise(text)
-    return guarded_double(text)
+    def read(v: Column) -> Column:
+        text = F.translate(F.regexp_replace(v, DECIMAL_COMMA, "$1.$2"), ",", "")
+        if decimal_style == "id":
+            text = F.when(v.rlike(GROUPED_BY_DOTS), F.translate(v, ",.", ".")).otherwise(text)
+        return guarded_double(text)
+
+    return let(strip_noise(_blank_to_null(c)), read)
 
 
 def parse_currency(c: Column, decimal_style: str = "id") -> Column:
@@ -78,23 +84,26 @@ def parse_percent(c: Column) -> Column:
     A comma is a decimal comma.  Where dots and commas both occur, the last one
     is the decimal mark, so "1.234,5%" reads as 12.345.
     """
-    v = trim_all(F.translate(trim_all(_blank_to_null(c)), "%", ""))
-    text = (
-        F.when(v.rlike(r"\..*,"), F.translate(v, ",.", "."))
-        .when(v.rlike(r",.*\."), F.translate(v, ",", ""))
-        .otherwise(F.translate(v, ",", "."))
-    )
-    return guarded_double(text) / F.lit(100.0)
+    def read(v: Column) -> Column:
+        text = (
+            F.when(v.rlike(r"\..*,"), F.translate(v, ",.", "."))
+            .when(v.rlike(r",.*\."), F.translate(v, ",", ""))
+            .otherwise(F.translate(v, ",", "."))
+        )
+        return guarded_double(text) / F.lit(100.0)
+
+    return let(trim_all(F.translate(_blank_to_null(c), "%", "")), read)
 
 
 def numeric_like(c: Column) -> Column:
-    """Only digits, separators and blanks, at most one leading sign, and no date.
+    """Trimmed text made of digits, separators and blanks, at most one leading sign,
+    and not a date.
 
     Hyphens between digits and date-shaped figures do not count, so ISO dates
     and dashed phone numbers are never taken for numbers.
     """
-    return c.rlike(r"(?U)^\s*[+-]?[\d.,\s]*[\d][\d.,\s]*$") & ~trim_all(c).rlike(DATE_SHAPED)
+    return c.rlike(NUMERIC) & ~c.rlike(DATE_SHAPED)
 
 
 def percent_like(c: Column) -> Column:
-    return c.rlike(r"(?U)^[\d.,\s]+%$")
+    return F.contains(c, F.lit("%")) & c.rlike(r"(?U)^[\d.,\s]+%$")

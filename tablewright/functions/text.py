@@ -73,17 +73,18 @@ def smart_title(
     A word's core is made of letters and digits of any script, so "über"
     becomes "Über" (it is not cut after the umlaut).
     """
-    acronyms = sorted({*fv.ACRONYMS, *(a.upper() for a in custom_acronyms)})
+    known = " ".join(dict.fromkeys((*fv.ACRONYMS, *(a.upper() for a in custom_acronyms))))
+    acronyms = F.split(F.lit(known), " ")
     tokens = F.regexp_extract_all(c, F.lit(_TOKENS if preserve_brackets else _PLAIN_TOKENS), F.lit(0))
     outside = F.regexp_replace(c, BRACKETED, "") if preserve_brackets else c
     shouting = F.regexp_replace(outside, r"\P{L}", "").rlike(r"^\p{Lu}+$")
 
     def titled(core: Column) -> Column:
+        small = F.split(F.lit(" ".join(fv.SMALL_APOSTROPHE_PARTS)), " ")
         by_apostrophe = F.array_join(
             F.transform(
                 F.split(core, "'"),
-                lambda p, i: F.when((i > 0) & F.lower(p).isin(*fv.SMALL_APOSTROPHE_PARTS), F.lower(p))
-                .otherwise(sentence_case(p)),
+                lambda p, i: F.when((i > 0) & F.array_contains(small, F.lower(p)), F.lower(p)).otherwise(sentence_case(p)),
             ),
             "'",
         )
@@ -94,24 +95,31 @@ def smart_title(
             .otherwise(sentence_case(core))
         )
 
+    def cased(core: Column, all_caps: Column) -> Column:
+        plain = titled(core)
+        if not preserve_acronyms:
+            return plain
+        upper = F.upper(core)
+        capitals = (F.length(core) >= 2) & (core == upper) & (core != F.lower(core))
+        return (
+            F.when(F.array_contains(acronyms, upper), upper).when(~all_caps & capitals, core).otherwise(plain)
+        )
+
     def word(t: Column, all_caps: Column) -> Column:
-        core = F.regexp_extract(t, _WORD, 2)
-        cased = titled(core)
-        if preserve_acronyms:
-            capitals = (F.length(core) >= 2) & (core == F.upper(core)) & (core != F.lower(core))
-            cased = (
-                F.when(F.upper(core).isin(*acronyms), F.upper(core))
-                .when(~all_caps & capitals, core)
-                .otherwise(cased)
-            )
-        return F.when(core == "", t).otherwise(
-            F.concat(F.regexp_extract(t, _WORD, 1), cased, F.regexp_extract(t, _WORD, 3))
+        bare = t.rlike(r"^[\p{L}\p{N}]+$")
+        core = F.when(bare, t).otherwise(F.regexp_extract(t, _WORD, 2))
+
+        def around(i: int) -> Column:
+            return F.when(bare, "").otherwise(F.regexp_extract(t, _WORD, i))
+
+        return let(
+            core, lambda x: F.when(x == "", t).otherwise(F.concat(around(1), cased(x, all_caps), around(3)))
         )
 
     def one(t: Column, all_caps: Column) -> Column:
-        keep = t.rlike(r"(?U)^[\s\x1c-\x1f]+$")
+        keep = t.rlike(r"(?U)^[\s\x1c-\x1f]")
         if preserve_brackets:
-            keep = keep | t.rlike("^" + BRACKETED + "$")
+            keep = keep | (F.startswith(t, F.lit("[")) & t.rlike("^" + BRACKETED + "$"))
         return F.when(keep, t).otherwise(word(t, all_caps))
 
     return let(

@@ -30,7 +30,7 @@ def carry_fill(
     how: Mapping[str, str],
     order_by: Sequence[str] | None,
     rows_per_bucket: int = 1_000_000,
-    max_buckets: int = 4096,
+    max_buckets: int = 16384,
 ) -> DataFrame:
     """Fill nulls from neighbouring rows; ``how`` maps a column to ``ffill``,
     ``bfill`` or ``interpolate``.

@@ -1,8 +1,8 @@
 """Row order without one big partition.
 
 Spark tables have no order, so every order-based operator takes ``order_by``.
-The remaining columns break ties, which makes results reproducible: rows that
-are still equal are copies of each other and interchangeable.
+The content of the remaining columns breaks ties, which makes results
+reproducible: rows that are still equal are copies and interchangeable.
 
 :func:`with_buckets` cuts that order into contiguous buckets of similar size.
 The cut points come from a bounded sample and stand in the plan as literals, so
@@ -27,7 +27,6 @@ from pyspark.sql.window import Window
 BUCKET = "_bucket"
 HOT = "_hot"
 SAMPLE_PER_BUCKET = 32
-FANOUT = 64
 
 _JSON_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
@@ -41,27 +40,31 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _hashable(c: Column, dtype: T.DataType) -> Column:
+    """Maps and variants have no hash of their own; their JSON text has."""
+    simple = not any(k in dtype.simpleString() for k in ("map<", "variant"))
+    return c if simple else F.to_json(F.struct(c.alias("v")))
+
+
 def _leaves(c: Column, dtype: T.DataType) -> list[Column]:
     if isinstance(dtype, T.StructType):
         return [leaf for f in dtype.fields for leaf in _leaves(c.getField(f.name), f.dataType)]
-    if isinstance(dtype, T.MapType):
-        return [F.xxhash64(F.to_json(c))]
-    if isinstance(dtype, (T.ArrayType, T.VariantType, T.NullType)):
-        return [F.xxhash64(F.to_json(F.struct(c.alias("v"))))]
-    if isinstance(dtype, T.BinaryType):
-        return [F.hex(c)]
-    return [c]
+    if isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.BinaryType):
+        return [c]
+    raise TypeError(f"Cannot order by a column of type {dtype.simpleString()}.")
 
 
 def order_key(df: DataFrame, order_by: Sequence[str] | None, extra: Sequence[str] = ()) -> list[Column]:
-    """Sort columns: ``order_by`` first, then every other column as a tie breaker.
+    """Sort columns: ``order_by`` first, then two hashes of all other columns.
 
-    Nested columns take part by their fields or by a hash, so the key is made of
-    simple values only.
+    The hashes break ties by content, so the order is the same on every run and
+    only copies of a row share a place.  They keep the key short even where the
+    other columns hold long texts.
     """
     first = list(order_by or ())
-    rest = [c for c in df.columns if c not in first and c not in extra]
-    return [leaf for n in (*first, *rest) for leaf in _leaves(quoted(n), df.schema[n].dataType)]
+    rest = [_hashable(quoted(f.name), f.dataType) for f in df.schema.fields if f.name not in first and f.name not in extra]
+    leaves = [leaf for n in first for leaf in _leaves(quoted(n), df.schema[n].dataType)]
+    return [*leaves, F.xxhash64(*rest), F.xxhash64(F.lit(1), *rest)] if rest else leaves
 
 
 def key_struct(leaves: Sequence[Column]) -> Column:
@@ -82,13 +85,15 @@ def with_buckets(
     df: DataFrame,
     order_by: Sequence[str] | None,
     rows_per_bucket: int = 1_000_000,
-    max_buckets: int = 4096,
+    max_buckets: int = 16384,
 ) -> Bucketed:
     """Add ``_bucket`` (ascending in the order) and ``_hot`` to ``df``.
 
     The driver receives at most ``max_buckets`` cut points, whatever the size of
     the table; at most 32 sampled keys per bucket are ranked to find them.
     """
+    if not order_by:
+        raise ValueError("Filling from neighbouring rows needs order_by: a Spark table has no row order.")
     leaves = tuple(order_key(df, order_by))
     rows = df.count()
     buckets = min(max_buckets, math.ceil(rows / rows_per_bucket))
@@ -137,14 +142,16 @@ def _literal(cuts: Sequence[str], schema: T.StructType) -> Column:
 
 
 def _position(key: Column, cuts: Sequence[str], schema: T.StructType) -> Column:
-    """Number of cut keys that are not above ``key``, found in two short scans."""
+    """Number of cut keys that are not above ``key``, found in two short scans of
+    about the square root of their number."""
     every = _literal(cuts, schema)
-    if len(cuts) <= FANOUT:
+    if len(cuts) <= 32:
         return F.size(F.filter(every, lambda x: x <= key))
-    heads = _literal(cuts[::FANOUT], schema)
+    width = math.isqrt(len(cuts)) + 1
+    heads = _literal(cuts[::width], schema)
     block = F.greatest(F.size(F.filter(heads, lambda x: x <= key)) - 1, F.lit(0))
-    inside = F.slice(every, block * FANOUT + 1, F.lit(FANOUT))
-    return block * FANOUT + F.size(F.filter(inside, lambda x: x <= key))
+    inside = F.slice(every, block * width + 1, F.lit(width))
+    return block * width + F.size(F.filter(inside, lambda x: x <= key))
 
 
 def expand_copies(df: DataFrame, count_column: str, index_column: str, chunk: int = 1_000_000) -> DataFrame:

@@ -93,21 +93,29 @@ def _melt(df: DataFrame, cols: Sequence[str], by: str | None) -> DataFrame:
 
 
 def _shape_features(melted: DataFrame) -> DataFrame:
-    """What is asked about a single value, computed in steps that share their input."""
-    v = F.col("v")
+    """What is asked about a single value.
+
+    The tests are built up in steps, from cheap to costly: a value without letters
+    or currency marks has nothing to strip, one without digits is no number and no
+    date, and only a date-like value is split.
+    """
+    v, s = F.col("v"), F.col("s")
     step = melted.where(v.isNotNull()).withColumns({
-        "s": numbers.trim_all(v),
-        "bare": numbers.strip_noise(v),
+        "s": numbers.trim_all(v), "noisy": v.rlike(numbers.NOISY), "digit": v.rlike(r"\d"),
     })
-    return step.withColumns({
-        "stripped_numeric": numbers.numeric_like(F.col("bare")),
-        "currency": numbers.has_currency(v),
-        "percent": numbers.percent_like(v),
-        "numeric": numbers.numeric_like(F.col("s")),
-        "date": dates.looks_like_date(F.col("s")),
+    step = step.withColumn("bare", F.when(F.col("noisy") & F.col("digit"), numbers.strip_noise(v)).otherwise(s))
+    step = step.withColumns({
+        "stripped_numeric": F.col("digit") & numbers.numeric_like(F.col("bare")),
+        "date": F.col("digit") & dates.looks_like_date(s),
+        "currency": F.col("noisy") & numbers.has_currency(v),
+        "percent": F.col("digit") & numbers.percent_like(v),
         "non_ascii": F.length(v) != F.octet_length(v),
-        **dates.day_month_columns(v),
     })
+    step = step.withColumns({
+        "numeric": ~F.col("noisy") & F.col("stripped_numeric"),
+        "day_month": F.when(F.col("date"), dates.year_last_text(s)),
+    })
+    return step.withColumns(dates.day_month_columns(F.col("day_month")))
 
 
 def _shape_aggregates() -> dict[str, Column]:
@@ -261,11 +269,9 @@ def date_evidence(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Lazy: one aggregate over the melted columns, grouped by column and separator.
     """
     names = F.array(*[F.lit(c) for c in cols])
-    parts = _melt(df, cols, None).where("v is not null").select("no", *[
-        c.alias(k) for k, c in dates.day_month_columns(F.col("v")).items()
-    ])
+    known = _melt(df, cols, None).select("no", dates.year_last_text(F.col("v")).alias("v")).where("v is not null")
     return (
-        parts.where("sep is not null")
+        known.withColumns(dates.day_month_columns(F.col("v")))
         .groupBy("no", "sep")
         .agg(
             F.count("*").alias("rows"),

@@ -83,6 +83,7 @@ def preview(before: DataFrame, after: DataFrame, n: int = 15, order_by: Sequence
 
     def head(df: DataFrame) -> DataFrame:
         names = [c for c in (order_by or ()) if c in df.columns]
-        return df.orderBy(*[k.asc_nulls_first() for k in order_key(df, names)]).limit(n)
+        order = order_key(df, names) if names else [quoted(c) for c in df.columns]
+        return df.orderBy(*[k.asc_nulls_first() for k in order]).limit(n)
 
     return head(before), head(after)

@@ -61,8 +61,7 @@ def plan_tables(
         groups = [r["_by"] for r in df.groupBy(quoted(by).alias("_by")).count().collect()] if by else [None]
         shapes = {g: {} for g in groups}
 
-    plans = plan_parsing(df, shapes, texts, columns, cfg, by)
-    plans = _count_missing(df, plans, by, shapes)
+    plans = _plan_parsing(df, shapes, texts, columns, cfg, by)
     plans = _plan_fills(df, plans, by, cfg)
     return _plan_text(df, plans, shapes, cfg)
 
@@ -73,13 +72,15 @@ def plan_dates(df: DataFrame, cfg: CleanConfig, order_by: Sequence[str] | None =
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c not in cfg.exempt]
     shapes = profile.shape_profile(df, texts, None, cfg.sample_rows, order_by) or {None: {}}
-    return plan_parsing(df, shapes, texts, tuple(df.columns), cfg, None)[None]
+    plan = _plan_parsing(df, shapes, texts, tuple(df.columns), cfg, None)[None]
+    return replace(plan, drop_threshold=None)
 
 
-def plan_parsing(
+def _plan_parsing(
     df: DataFrame, shapes: Mapping, texts: Sequence[str], columns: tuple[str, ...], cfg: CleanConfig, by: str | None
 ) -> dict:
-    """Number kinds and date rules from the measured shapes."""
+    """Number kinds and date rules from the measured shapes, then one pass over the
+    parsed columns that counts what is missing and what could not be read."""
     plans = {}
     for group, measures in shapes.items():
         found = profile.decide(texts, measures, cfg)
@@ -97,7 +98,9 @@ def plan_parsing(
             title=cfg.text,
             exempt=cfg.exempt,
         )
-    return _check_dates(df, _one_type_per_column(plans), by, cfg)
+    plans = _count_missing(df, _one_type_per_column(plans), by, shapes)
+    checked = _check_dates(df, plans, by, cfg, shapes)
+    return plans if checked is plans else _count_missing(df, checked, by, shapes)
 
 
 def _one_type_per_column(plans: dict) -> dict:
@@ -121,39 +124,31 @@ def _one_type_per_column(plans: dict) -> dict:
     return out
 
 
-def _check_dates(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig) -> dict:
-    """Keep a date reading only if it reads at least half of the values.
+def _check_dates(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig, shapes: Mapping) -> dict:
+    """Keep a date reading only if it reads at least half of the known values.
 
     Otherwise the known formats are tried one by one, and a column none of them
-    fits stays text.
+    fits stays text.  Without a failing column no further pass is made.
     """
-    candidates = list(dict.fromkeys(c for p in plans.values() for c in p.dates))
-    if not candidates:
+
+    def rate(g, c) -> float:
+        known = shapes[g][c]["known"]
+        return (known - plans[g].unparsed[c]) / known if known else 0.0
+
+    failing = [c for c in dict.fromkeys(c for p in plans.values() for c in p.dates)
+               if any(c in p.dates and rate(g, c) < cfg.date.min_rate for g, p in plans.items())]
+    if not failing:
         return plans
-    exprs = {c: _parsed_date(c, plans, by) for c in candidates}
-    rates = profile.measure(
-        df, {(c, "rate"): F.avg(F.when(quoted(c).isNotNull(), e.isNotNull().cast("double"))) for c, e in exprs.items()},
-        by,
-    )
-    failing = [
-        c for c in candidates
-        if any(c in p.dates and (rates[g][(c, "rate")] or 0.0) < cfg.date.min_rate for g, p in plans.items())
-    ]
-    formats = {}
-    if failing:
-        formats = profile.measure(
-            df,
-            {
-                (c, f): F.avg(F.when(quoted(c).isNotNull(), dates.parse_with_format(quoted(c), f).isNotNull().cast("double")))
-                for c in failing for f in fv.DATE_FORMATS
-            },
-            by,
-        )
+
+    def share(c: str, f: str) -> Column:
+        return F.avg(F.when(quoted(c).isNotNull(), dates.parse_with_format(quoted(c), f).isNotNull().cast("double")))
+
+    formats = profile.measure(df, {(c, f): share(c, f) for c in failing for f in fv.DATE_FORMATS}, by)
     out = {}
     for g, p in plans.items():
         rules = {}
         for c, rule in p.dates.items():
-            if (rates[g][(c, "rate")] or 0.0) >= cfg.date.min_rate:
+            if rate(g, c) >= cfg.date.min_rate:
                 rules[c] = rule
                 continue
             fitting = [f for f in fv.DATE_FORMATS if (formats[g][(c, f)] or 0.0) >= cfg.date.min_rate]

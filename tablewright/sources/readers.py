@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions import fixed_values as fv
 from tablewright.functions.numbers import trim_all
@@ -28,6 +27,17 @@ DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a scan that is split into fewer tasks than there are cores.
+
+    Small files are read by one task each; rules that work hard on every value
+    gain from spreading such rows once.  A large table already has more tasks than
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def list_tables(spark: SparkSession, folder: str, extensions: Sequence[str] = ("csv",)) -> list[str]:
     """Paths of a folder's files with the given extensions, in name order."""
     fs, path = filesystem(spark, folder)
@@ -54,10 +64,9 @@ def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     of any size is checked by many tasks.
     """
     raw = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
-    wide = F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    wide = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     flags = raw.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.coalesce(F.max(F.when(~F.is_valid_utf8("value"), F.lit(True))), F.lit(False)).alias("bytes"),
         F.bool_or(wide.rlike(fv.CP1252_UNDEFINED)).alias("undefined"),
     )
     return flags.select(
@@ -66,25 +75,24 @@ def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, paths: Sequence[str], encoding: str, multi_line: bool, names: Sequence[str] | None) -> DataFrame:
+def _csv(spark: SparkSession, paths: Sequence[str], encoding: str, multi_line: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True).option("inferSchema", False)
         .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
         .option("encoding", "UTF-8" if encoding == UTF8 else "ISO-8859-1")
         .option("enforceSchema", False)
     )
-    if names:
-        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     df = reader.csv(list(paths))
+    data = df.columns
+    df = df.select("*", "_metadata")
     if encoding == WINDOWS:
         # read byte by byte above, then the characters windows-1252 has instead
         # of the control codes 0x80-0x9F are put in place, in names as well
-        df = df.withColumnsRenamed({c: c.translate(str.maketrans(fv.CP1252_BYTES, fv.CP1252_CHARS)) for c in df.columns})
+        table = str.maketrans(fv.CP1252_BYTES, fv.CP1252_CHARS)
         df = df.select(
-            "*", "_metadata",
-        ).withColumns({c: F.translate(quoted(c), fv.CP1252_BYTES, fv.CP1252_CHARS) for c in df.columns})
-    else:
-        df = df.select("*", "_metadata")
+            *[F.translate(quoted(c), fv.CP1252_BYTES, fv.CP1252_CHARS).alias(c.translate(table)) for c in data],
+            "_metadata",
+        )
     return df
 
 
@@ -109,7 +117,7 @@ def read_csv(
         by_encoding.setdefault(row["encoding"], []).append(row["path"])
     parts = []
     for encoding, group in by_encoding.items():
-        df = _csv(spark, group, encoding, multi_line, None)
+        df = _csv(spark, group, encoding, multi_line)
         data = [c for c in df.columns if c != "_metadata"]
         extra = []
         if source_col:
