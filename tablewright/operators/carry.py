@@ -42,8 +42,11 @@ def carry_fill(
     if not how:
         return df
     b = with_buckets(df, order_by, rows_per_bucket, max_buckets)
-    carry = _carry_table(b, how)
     names = df.columns
+    if b.single:
+        # fewer rows than one bucket takes: there is nothing to carry
+        return _fill_cold(b.df, b, how, None, names)
+    carry = _carry_table(b, how)
     cold = b.df.where(~F.col(HOT)) if b.has_hot else b.df
     out = _fill_cold(cold, b, how, carry, names)
     if b.has_hot:
@@ -127,7 +130,7 @@ def _line(value: Column, at: Column, prev: Column, prev_at: Column, nxt: Column,
     return F.coalesce(value, on_line, prev, nxt)
 
 
-def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFrame, names: Sequence[str]) -> DataFrame:
+def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFrame | None, names: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy(BUCKET)
     upward = inside.orderBy(*[c.asc_nulls_first() for c in b.leaves])
     downward = inside.orderBy(*[c.desc_nulls_last() for c in b.leaves])
@@ -150,22 +153,27 @@ def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFr
             at = F.when(value.isNotNull(), F.col("_n"))
             near[f"_prevat{i}"] = F.last(at, ignorenulls=True).over(back)
             near[f"_nextat{i}"] = F.last(at, ignorenulls=True).over(ahead)
-    work = work.withColumns(near).join(F.broadcast(carry), BUCKET, "left")
+    work = work.withColumns(near)
+    if carry is not None:
+        work = work.join(F.broadcast(carry), BUCKET, "left")
+    start = F.lit(0) if carry is None else F.col("start")
+
+    def known(inside: Column, outside: str) -> Column:
+        return inside if carry is None else F.coalesce(inside, F.col(outside))
 
     filled = {}
     for i, (c, h) in enumerate(how.items()):
         if h == "ffill":
-            filled[c] = F.coalesce(F.col(f"_prev{i}"), F.col(f"prev{i}"))
+            filled[c] = known(F.col(f"_prev{i}"), f"prev{i}")
         elif h == "bfill":
-            filled[c] = F.coalesce(F.col(f"_next{i}"), F.col(f"next{i}"))
+            filled[c] = known(F.col(f"_next{i}"), f"next{i}")
         else:
-            start = F.col("start")
             filled[c] = _line(
                 quoted(c).cast("double"), start + F.col("_n"),
-                F.coalesce(F.col(f"_prev{i}"), F.col(f"prev{i}")).cast("double"),
-                F.coalesce(start + F.col(f"_prevat{i}"), F.col(f"prevat{i}")),
-                F.coalesce(F.col(f"_next{i}"), F.col(f"next{i}")).cast("double"),
-                F.coalesce(start + F.col(f"_nextat{i}"), F.col(f"nextat{i}")),
+                known(F.col(f"_prev{i}"), f"prev{i}").cast("double"),
+                known(start + F.col(f"_prevat{i}"), f"prevat{i}"),
+                known(F.col(f"_next{i}"), f"next{i}").cast("double"),
+                known(start + F.col(f"_nextat{i}"), f"nextat{i}"),
             )
     return work.select(*[filled[n].alias(n) if n in filled else quoted(n) for n in names])
 

@@ -79,6 +79,7 @@ class Bucketed:
     leaves: tuple[Column, ...]
     rows: int
     has_hot: bool
+    single: bool = False
 
 
 def with_buckets(
@@ -98,7 +99,7 @@ def with_buckets(
     rows = df.count()
     buckets = min(max_buckets, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
-        return Bucketed(df.withColumn(BUCKET, F.lit(0)).withColumn(HOT, F.lit(False)), leaves, rows, False)
+        return Bucketed(df.withColumn(BUCKET, F.lit(0)), leaves, rows, has_hot=False, single=True)
 
     cuts, hot, schema = _cut_points(df, leaves, rows, buckets)
     key = key_struct(leaves)

@@ -196,7 +196,8 @@ def shape_profile(
     sample_rows: int | None = None,
     order_by: Sequence[str] | None = None,
 ) -> dict:
-    """Shape shares and date evidence of text columns, per group of ``by`` if given.
+    """Shape shares and date evidence of text columns, per group of ``by`` if given;
+    groups without any text value are left out.
 
     One pass over the text columns.  By default the whole column counts;
     ``sample_rows`` takes the shares from its first values only.
@@ -215,9 +216,6 @@ def shape_profile(
         return out
 
     full = run(df, by)
-    if by:
-        for r in df.select(quoted(by).alias("_by")).distinct().collect():
-            full.setdefault(r["_by"], {})
     if sample_rows and not by:
         for c, m in run(first_values(df, cols, sample_rows, order_by), None)[None].items():
             full[None][c].update({k: m[k] for k in ("stripped_numeric", "currency", "percent", "numeric", "date")})

@@ -56,14 +56,10 @@ def plan_tables(
     columns = tuple(c for c in df.columns if c not in hidden)
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c in columns and c not in cfg.exempt]
-    shapes = profile.shape_profile(df, texts, by, cfg.sample_rows, order_by)
-    if not shapes:
-        groups = [r["_by"] for r in df.groupBy(quoted(by).alias("_by")).count().collect()] if by else [None]
-        shapes = {g: {} for g in groups}
-
+    shapes = profile.shape_profile(df, texts, by, cfg.sample_rows, order_by) or ({} if by else {None: {}})
     plans = _plan_parsing(df, shapes, texts, columns, cfg, by)
     plans = _plan_fills(df, plans, by, cfg)
-    return _plan_text(df, plans, shapes, cfg)
+    return _plan_text(plans, texts, shapes, cfg)
 
 
 def plan_dates(df: DataFrame, cfg: CleanConfig, order_by: Sequence[str] | None = None) -> CleanPlan:
@@ -81,46 +77,53 @@ def _plan_parsing(
 ) -> dict:
     """Number kinds and date rules from the measured shapes, then one pass over the
     parsed columns that counts what is missing and what could not be read."""
+    blank = CleanPlan(
+        columns=columns,
+        decimal_style=cfg.number.decimal_style,
+        keep_raw=cfg.number.on_unparsed == "keep_raw_column",
+        drop_threshold=cfg.missing.drop_threshold,
+        duplicate=cfg.duplicate,
+        title=cfg.text,
+        exempt=cfg.exempt,
+    )
     plans = {}
     for group, measures in shapes.items():
         found = profile.decide(texts, measures, cfg)
-        plans[group] = CleanPlan(
-            columns=columns,
-            numbers=dict(found.numbers),
-            decimal_style=cfg.number.decimal_style,
-            keep_raw=cfg.number.on_unparsed == "keep_raw_column",
-            dates={
-                c: DateRule(dates.month_first_by_separator(measures[c]), None, dates.ambiguous_rows(measures[c]))
-                for c in found.dates
-            },
-            drop_threshold=cfg.missing.drop_threshold,
-            duplicate=cfg.duplicate,
-            title=cfg.text,
-            exempt=cfg.exempt,
-        )
-    plans = _count_missing(df, _one_type_per_column(plans), by, shapes)
+        rules = {
+            c: DateRule(dates.month_first_by_separator(measures[c]), None, dates.ambiguous_rows(measures[c]))
+            for c in found.dates
+        }
+        plans[group] = replace(blank, numbers=dict(found.numbers), dates=rules)
+    plans = _count_missing(df, _one_type_per_column(plans, shapes), by, shapes, blank)
     checked = _check_dates(df, plans, by, cfg, shapes)
-    return plans if checked is plans else _count_missing(df, checked, by, shapes)
+    return plans if checked is plans else _count_missing(df, checked, by, shapes, blank)
+
+
+def _known(shapes: Mapping, group, column: str) -> int:
+    return shapes.get(group, {}).get(column, {}).get("known", 0)
+
 
+def _one_type_per_column(plans: dict, shapes: Mapping) -> dict:
+    """Tables that are stacked must agree on a column's type.
 
-def _one_type_per_column(plans: dict) -> dict:
-    """Tables that are stacked must agree on a column's type: where some read a
-    column as numbers (or dates) and others do not, it stays text in all."""
+    Where some read a column as numbers (or dates) and others hold text in it, it
+    stays text in all; tables without a value in the column have no say and follow.
+    """
     if len(plans) < 2:
         return plans
     out = dict(plans)
-    columns = next(iter(plans.values())).columns
-    for c in columns:
-        kinds = {("n" if c in p.numbers else "d" if c in p.dates else "t") for p in plans.values()}
-        if len(kinds) > 1:
-            out = {
-                g: replace(
-                    p,
-                    numbers={k: v for k, v in p.numbers.items() if k != c},
-                    dates={k: v for k, v in p.dates.items() if k != c},
-                )
-                for g, p in out.items()
-            }
+    for c in next(iter(plans.values())).columns:
+        voters = {g: p for g, p in plans.items() if _known(shapes, g, c)}
+        kinds = {("n" if c in p.numbers else "d" if c in p.dates else "t") for p in voters.values()}
+        leader = next(iter(voters.values()), None)
+        for g, p in out.items():
+            numbers_ = {k: v for k, v in p.numbers.items() if k != c}
+            dates_ = {k: v for k, v in p.dates.items() if k != c}
+            if len(kinds) == 1:
+                own = p if g in voters else leader
+                numbers_.update({c: own.numbers[c]} if c in own.numbers else {})
+                dates_.update({c: own.dates[c]} if c in own.dates else {})
+            out[g] = replace(p, numbers=numbers_, dates=dates_)
     return out
 
 
@@ -132,8 +135,8 @@ def _check_dates(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig, s
     """
 
     def rate(g, c) -> float:
-        known = shapes[g][c]["known"]
-        return (known - plans[g].unparsed[c]) / known if known else 0.0
+        known = _known(shapes, g, c)
+        return (known - plans[g].unparsed[c]) / known if known else 1.0
 
     failing = [c for c in dict.fromkeys(c for p in plans.values() for c in p.dates)
                if any(c in p.dates and rate(g, c) < cfg.date.min_rate for g, p in plans.items())]
@@ -155,22 +158,27 @@ def _check_dates(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig, s
             if fitting:
                 rules[c] = DateRule(fixed_format=fitting[0])
         out[g] = replace(p, dates=rules)
-    return _one_type_per_column(out)
+    return _one_type_per_column(out, shapes)
 
 
-def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping) -> dict:
-    """Rows, nulls after parsing, and values that could not be read (pass 2)."""
-    any_plan = next(iter(plans.values()))
+def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping, blank: CleanPlan) -> dict:
+    """Rows, nulls after parsing, and values that could not be read (pass 2).
+
+    Tables that held no text value appear here first and get the ``blank`` plan,
+    with the columns' types of the others."""
+    any_plan = next(iter(plans.values()), blank)
+    plans = plans or {None: blank}
     measures = {("", "rows"): F.count("*")}
     for c in any_plan.columns:
         measures[(c, "nulls")] = F.count_if(quoted(c).isNull())
     after = profile.measure(parse_columns(df, plans, by), measures, by)
     out = {}
-    for g, p in plans.items():
+    for g in sorted(after, key=str):
+        p = plans.get(g) or replace(blank, numbers=any_plan.numbers, dates=any_plan.dates)
         rows = after[g][("", "rows")]
         nulls = {c: after[g][(c, "nulls")] for c in p.columns}
         # a value that was known before and is null now could not be read
-        unparsed = {c: nulls[c] - (rows - shapes[g][c]["known"]) for c in (*p.numbers, *p.dates)}
+        unparsed = {c: nulls[c] - (rows - _known(shapes, g, c)) for c in (*p.numbers, *p.dates)}
         out[g] = replace(p, rows_in=rows, missing=nulls, unparsed=unparsed)
     return out
 
@@ -232,15 +240,15 @@ def _rows_after_drop(parsed: DataFrame, plans: dict, by: str | None) -> dict:
     return {g: counted.get(g, {}).get(("", "rows"), 0) for g in plans}
 
 
-def _plan_text(df: DataFrame, plans: dict, shapes: Mapping, cfg: CleanConfig) -> dict:
+def _plan_text(plans: dict, texts: Sequence[str], shapes: Mapping, cfg: CleanConfig) -> dict:
     t = cfg.text
     out = {}
     for g, p in plans.items():
         rules = {}
-        for c in shapes[g]:
+        for c in texts:
             if c in p.numbers or c in p.dates or c in t.exclude_columns:
                 continue
-            if not shapes[g][c]["known"] and p.fills.get(c) is None:
+            if not _known(shapes, g, c) and p.fills.get(c) is None:
                 continue
             if t.case_columns:
                 cased = c in t.case_columns
@@ -248,7 +256,7 @@ def _plan_text(df: DataFrame, plans: dict, shapes: Mapping, cfg: CleanConfig) ->
                 cased = is_name_or_title_column(c, cfg.match)
             else:
                 cased = True
-            foreign = bool(shapes[g][c]["non_ascii"]) or not _ascii_fill(p.fills.get(c))
+            foreign = bool(shapes.get(g, {}).get(c, {}).get("non_ascii")) or not _ascii_fill(p.fills.get(c))
             rules[c] = TextRule(
                 t.normalize_unicode, t.normalize_unicode and foreign, t.strip_whitespace,
                 t.collapse_whitespace, t.remove_non_ascii, t.case_format if cased else None,

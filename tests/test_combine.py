@@ -344,3 +344,21 @@ def test_configuration(tmp_path):
     (tmp_path / "bad.yaml").write_text("a: [")
     assert CleanConfig.from_yaml(str(tmp_path / "bad.yaml")) == CleanConfig()
     assert CleanConfig().formatting.add_total_row is None
+
+
+def test_a_file_with_an_empty_column_follows_the_others(frame):
+    cols = "k string, harga string, tanggal string"
+    base = frame(cols, [("a", "Rp 1.000", "2025-01-01")])
+    files = {"f1": frame(cols, [("b", None, None)]), "f2": frame(cols, [("c", "Rp 2.000", "2025-01-02")]), "f3": frame(cols, [(None, None, None)]), "f4": frame(cols, [("x", None, None)]).where("false")}
+    result = tw.append_tables(base, files)
+    assert result.data.schema["harga"].dataType == T.DoubleType() and dict(result.data.dtypes)["tanggal"] == "timestamp_ntz"
+    assert sorted(str(r["k"]) for r in result.data.collect()) == ["Unknown", "a", "b", "c"]
+    assert [r["rows_read"] for r in result.file_counts.orderBy("_file_no").collect()] == [1, 1, 1, 0]
+
+
+def test_append_to_and_of_empty_tables(frame):
+    cols = "k string, v int"
+    empty = frame(cols, [("a", 1)]).where("false")
+    assert tw.append_tables(empty, {"n": frame(cols, [("b", 1)])}).data.count() == 1
+    assert tw.append_tables(frame(cols, [("b", 1)]), {"n": empty}).data.count() == 1
+    assert tw.clean(empty).data.count() == 0
