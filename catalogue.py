@@ -17,7 +17,7 @@ import tablewright as tw
 from tablewright.config import CleanConfig
 from tablewright.functions import dates, numbers, text
 from tablewright.operators import combine, profile
-from tablewright.plans.clean import parse_columns, plan_dates
+from tablewright.plans.clean import read_dates
 from tablewright.session import materialise, scratch_path
 from tablewright.sources.readers import spread
 
@@ -183,7 +183,7 @@ def detect_columns(spark, sf):
 def parse_dates_mixed(spark, sf):
     o = table(spark, sf, "orders")
     raw = materialise(o.select("o_orderkey", date_text(F.col("o_orderdate"), F.col("o_orderkey")).alias("order_date")), "dirty")
-    return parse_columns(raw, {None: plan_dates(raw, CleanConfig())})
+    return read_dates(raw, CleanConfig())
 
 
 @query("parse_iso_datetime", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")

@@ -24,7 +24,7 @@ from tablewright.plans.combined import (
 )
 from tablewright.plans.result import clean, clean_tables, clean_with_plan, column_roles, display_format, tables_summary
 from tablewright.plans.rules import CleanPlan
-from tablewright.session import build_session
+from tablewright.session import build_session, clear_scratch
 from tablewright.sources.readers import read_csv, read_folder, read_header, read_table
 from tablewright.sources.sinks import replace_base, write_csv, write_table, write_tables
 from tablewright.streaming.append_stream import AppendStream

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.order import quoted
 from tablewright.operators.profile import measure
-from tablewright.operators.quantiles import means, medians, modes
+from tablewright.operators.quantiles import means, means_by, medians, medians_by, modes, modes_by
 
 
 def drop_sparse_rows(df: DataFrame, threshold: float | None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -59,6 +59,26 @@ def fill_values(
     return medians(df, cols, counts, **({"small": small} if small else {}))
 
 
+def fill_values_by(
+    df: DataFrame, by: str | None, wanted: Mapping[object, Mapping[str, int]], strategy: str
+) -> dict[object, dict[str, object]]:
+    """:func:`fill_values` for every table of a stack; ``wanted[table][column]`` holds
+    the non-null rows.  The number of passes does not grow with the tables."""
+    if not any(wanted.values()):
+        return {g: {} for g in wanted}
+    if by is None:
+        return {g: fill_values(df, list(cols), strategy, cols) for g, cols in wanted.items()}
+    columns = list(dict.fromkeys(c for cols in wanted.values() for c in cols))
+    if strategy == "mean":
+        found = means_by(df, by, columns)
+    elif strategy == "mode":
+        found = modes_by(df, by, columns)
+    else:
+        found = medians_by(df, by, wanted)
+    empty = 0 if strategy == "mode" else None
+    return {g: {c: found.get(g, {}).get(c, empty) for c in cols} for g, cols in wanted.items()}
+
+
 def fill_constants(df: DataFrame, values: Mapping[str, object], strategy: str = "constant") -> DataFrame:
     """Replace nulls by one value per column; other columns are untouched."""
     out = {}

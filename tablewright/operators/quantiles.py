@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.order import quoted
@@ -16,7 +16,8 @@ ACCURACY = 10_000
 
 
 def medians(df: DataFrame, cols: Sequence[str], counts: Mapping[str, int], small: int = SMALL) -> dict[str, float | None]:
-    """Exact median of each column; ``counts`` holds the non-null rows.
+    """Exact median of each column; ``counts`` (at least the non-null rows) tells
+    short columns from long ones.
 
     Short columns use the built-in median in one pass.  For long ones a pair of
     approximate percentiles brackets the middle, the rows below and inside the
@@ -31,14 +32,16 @@ def medians(df: DataFrame, cols: Sequence[str], counts: Mapping[str, int], small
         out.update({c: row[f"m{i}"] for i, c in enumerate(short)})
     for c in cols:
         if counts.get(c, 0) > small:
-            out[c] = _long_median(df.select(quoted(c).cast("double").alias("v")).where("v is not null"), counts[c], small)
+            out[c] = _long_median(df.select(quoted(c).cast("double").alias("v")).where("v is not null"), small)
     return out
 
 
-def _long_median(values: DataFrame, n: int, small: int) -> float:
+def _long_median(values: DataFrame, small: int) -> float | None:
+    bounds = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, lo, hi = bounds["n"], bounds["lo"], bounds["hi"]
+    if not n:
+        return None
     low_rank, high_rank = (n - 1) // 2, n // 2
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
     below, inside = 0, n
     while lo < hi:
         bracket = values.where(F.col("v").between(lo, hi))
@@ -138,6 +141,48 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return {r["column"]: r["value"] for r in table.collect()}
 
 
-def typed_literal(value, dtype) -> Column:
-    """A collected statistic as a literal of the column's type."""
-    return F.lit(value).cast(dtype)
+# ------------------------------------------------------------ one value per table of a stack
+
+
+def medians_by(
+    df: DataFrame, by: str, counts: Mapping[object, Mapping[str, int]], small: int = SMALL
+) -> dict[object, dict[str, float | None]]:
+    """Exact medians per table number; ``counts[table][column]`` are non-null rows.
+
+    All short columns of all tables are one grouped aggregate; a long column of a
+    single table goes through :func:`medians` on its own.
+    """
+    out: dict[object, dict[str, float | None]] = {g: {c: None for c in cols} for g, cols in counts.items()}
+    columns = list(dict.fromkeys(c for cols in counts.values() for c in cols))
+    aggs = []
+    for i, c in enumerate(columns):
+        short = [g for g, cols in counts.items() if 0 < cols.get(c, 0) <= small]
+        aggs.append(F.median(F.when(quoted(by).isin(*short), quoted(c).cast("double"))).alias(f"m{i}"))
+    for row in df.groupBy(quoted(by).alias("_by")).agg(*aggs).collect():
+        for i, c in enumerate(columns):
+            if c in out.get(row["_by"], {}):
+                out[row["_by"]][c] = row[f"m{i}"]
+    for g, cols in counts.items():
+        long = [c for c, n in cols.items() if n > small]
+        if long:
+            out[g].update(medians(df.where(quoted(by) == F.lit(g)), long, cols, small))
+    return out
+
+
+def means_by(df: DataFrame, by: str, cols: Sequence[str]) -> dict[object, dict[str, float | None]]:
+    rows = df.groupBy(quoted(by).alias("_by")).agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(cols)]).collect()
+    return {r["_by"]: {c: r[f"m{i}"] for i, c in enumerate(cols)} for r in rows}
+
+
+def modes_by(df: DataFrame, by: str, cols: Sequence[str]) -> dict[object, dict[str, str]]:
+    """Most frequent value per table and column as text, the smallest on ties."""
+    table = None
+    for c in cols:
+        counted = df.where(quoted(c).isNotNull()).groupBy(quoted(by).alias("_by"), quoted(c).alias("v")).agg(F.count("*").alias("n"))
+        best = counted.groupBy("_by").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
+        part = best.select("_by", F.lit(c).alias("column"), F.col("b.v").cast("string").alias("value"))
+        table = part if table is None else table.unionByName(part)
+    out: dict[object, dict[str, str]] = {}
+    for r in table.collect() if table is not None else ():
+        out.setdefault(r["_by"], {})[r["column"]] = r["value"]
+    return out

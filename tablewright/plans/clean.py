@@ -26,7 +26,7 @@ from tablewright.functions.names import is_name_or_title_column
 from tablewright.operators import profile
 from tablewright.operators.carry import carry_fill
 from tablewright.operators.dedupe import dedupe
-from tablewright.operators.impute import drop_sparse_rows, fill_type, fill_values
+from tablewright.operators.impute import drop_sparse_rows, fill_type, fill_values_by
 from tablewright.operators.order import quoted
 from tablewright.plans.rules import CleanPlan, DateRule, FillRule, TextRule
 
@@ -46,7 +46,14 @@ def plan_clean(df: DataFrame, cfg: CleanConfig | None = None, order_by: Sequence
 def plan_tables(
     df: DataFrame, cfg: CleanConfig, by: str | None = None, order_by: Sequence[str] | None = None
 ) -> dict[object, CleanPlan]:
-    """Decisions per table number in ``by`` (the key is None without ``by``).
+    """Decisions per table number in ``by`` (the key is None without ``by``)."""
+    return plan_and_parse(df, cfg, by, order_by)[0]
+
+
+def plan_and_parse(
+    df: DataFrame, cfg: CleanConfig, by: str | None = None, order_by: Sequence[str] | None = None
+) -> tuple[dict[object, CleanPlan], DataFrame]:
+    """Plans, and the table with its numbers and dates read (lazily).
 
     Pass 1 measures the raw text columns, pass 2 counts what the parsed columns
     look like; fill statistics are one more aggregate over the columns that have
@@ -57,24 +64,23 @@ def plan_tables(
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c in columns and c not in cfg.exempt]
     shapes = profile.shape_profile(df, texts, by, cfg.sample_rows, order_by) or ({} if by else {None: {}})
-    plans = _plan_parsing(df, shapes, texts, columns, cfg, by)
-    plans = _plan_fills(df, plans, by, cfg)
-    return _plan_text(plans, texts, shapes, cfg)
+    plans, parsed = _plan_parsing(df, shapes, texts, columns, cfg, by)
+    plans = _plan_fills(parsed, plans, by, cfg)
+    return _plan_text(plans, texts, shapes, cfg), parsed
 
 
-def plan_dates(df: DataFrame, cfg: CleanConfig, order_by: Sequence[str] | None = None) -> CleanPlan:
-    """Decisions of the date step alone, for a table that is otherwise left as it is."""
+def read_dates(df: DataFrame, cfg: CleanConfig, order_by: Sequence[str] | None = None) -> DataFrame:
+    """The date step alone, for a table that is otherwise left as it is."""
     cfg = cfg.with_(number={"auto_detect": False, "number_columns": (), "currency_columns": (), "percent_columns": ()})
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c not in cfg.exempt]
     shapes = profile.shape_profile(df, texts, None, cfg.sample_rows, order_by) or {None: {}}
-    plan = _plan_parsing(df, shapes, texts, tuple(df.columns), cfg, None)[None]
-    return replace(plan, drop_threshold=None)
+    return _plan_parsing(df, shapes, texts, tuple(df.columns), cfg, None)[1]
 
 
 def _plan_parsing(
     df: DataFrame, shapes: Mapping, texts: Sequence[str], columns: tuple[str, ...], cfg: CleanConfig, by: str | None
-) -> dict:
+) -> tuple[dict, DataFrame]:
     """Number kinds and date rules from the measured shapes, then one pass over the
     parsed columns that counts what is missing and what could not be read."""
     blank = CleanPlan(
@@ -94,9 +100,9 @@ def _plan_parsing(
             for c in found.dates
         }
         plans[group] = replace(blank, numbers=dict(found.numbers), dates=rules)
-    plans = _count_missing(df, _one_type_per_column(plans, shapes), by, shapes, blank)
+    plans, parsed = _count_missing(df, _one_type_per_column(plans, shapes), by, shapes, blank)
     checked = _check_dates(df, plans, by, cfg, shapes)
-    return plans if checked is plans else _count_missing(df, checked, by, shapes, blank)
+    return (plans, parsed) if checked is plans else _count_missing(df, checked, by, shapes, blank)
 
 
 def _known(shapes: Mapping, group, column: str) -> int:
@@ -161,7 +167,7 @@ def _check_dates(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig, s
     return _one_type_per_column(out, shapes)
 
 
-def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping, blank: CleanPlan) -> dict:
+def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping, blank: CleanPlan) -> tuple[dict, DataFrame]:
     """Rows, nulls after parsing, and values that could not be read (pass 2).
 
     Tables that held no text value appear here first and get the ``blank`` plan,
@@ -171,7 +177,8 @@ def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping,
     measures = {("", "rows"): F.count("*")}
     for c in any_plan.columns:
         measures[(c, "nulls")] = F.count_if(quoted(c).isNull())
-    after = profile.measure(parse_columns(df, plans, by), measures, by)
+    parsed = parse_columns(df, plans, by)
+    after = profile.measure(parsed, measures, by)
     out = {}
     for g in sorted(after, key=str):
         p = plans.get(g) or replace(blank, numbers=any_plan.numbers, dates=any_plan.dates)
@@ -180,14 +187,14 @@ def _count_missing(df: DataFrame, plans: dict, by: str | None, shapes: Mapping,
         # a value that was known before and is null now could not be read
         unparsed = {c: nulls[c] - (rows - _known(shapes, g, c)) for c in (*p.numbers, *p.dates)}
         out[g] = replace(p, rows_in=rows, missing=nulls, unparsed=unparsed)
-    return out
+    return out, parsed
 
 
-def _plan_fills(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig) -> dict:
+def _plan_fills(parsed: DataFrame, plans: dict, by: str | None, cfg: CleanConfig) -> dict:
     wanted = cfg.missing
     if not any(any(p.missing[c] for c in p.subject) for p in plans.values()):
         return {g: replace(p, drop_threshold=None) for g, p in plans.items()}
-    parsed = drop_rows(parse_columns(df, plans, by), plans, by)
+    parsed = drop_rows(parsed, plans, by)
     kinds = {
         f.name: "numeric" if isinstance(f.dataType, (T.NumericType, T.BooleanType))
         else "datetime" if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -198,31 +205,30 @@ def _plan_fills(df: DataFrame, plans: dict, by: str | None, cfg: CleanConfig) ->
     if numeric not in ("mean", "mode", "constant", "interpolate"):
         numeric = "median"
     dropped = _rows_after_drop(parsed, plans, by)
+    # a table without a single null is left alone, as a whole
+    holes = {g: [c for c in p.subject if p.missing[c] and kinds[c]] for g, p in plans.items()}
+
+    def needs(test: Callable[[str], bool]) -> dict[object, dict[str, int]]:
+        return {g: {c: p.rows_in - p.missing[c] for c in holes[g] if test(c)} for g, p in plans.items()}
+
+    flags = {c for c, k in kinds.items() if k == "numeric" and isinstance(parsed.schema[c].dataType, T.BooleanType)}
+    values: dict[object, dict[str, object]] = {g: {} for g in plans}
+    wishes = [(numeric, lambda c: kinds[c] == "numeric" and c not in flags and numeric in ("median", "mean", "mode")),
+              ("mode", lambda c: c in flags and numeric != "constant"),
+              ("mode", lambda c: kinds[c] == "datetime" and wanted.datetime_strategy == "mode")]
+    for strategy, test in wishes:
+        for g, found in fill_values_by(parsed, by, needs(test), strategy).items():
+            # an empty date column has no mode, so nothing replaces its gaps
+            values[g].update({c: v for c, v in found.items() if kinds[c] != "datetime" or v != 0})
     out = {}
     for g, p in plans.items():
-        # a table without a single null is left alone, as a whole
-        holes = [c for c in p.subject if p.missing[c] and kinds[c]] if any(p.missing[c] for c in p.subject) else []
-        table = parsed if by is None else parsed.where(quoted(by) == F.lit(g))
-        numbers_ = [c for c in holes if kinds[c] == "numeric"]
-        flags = [c for c in numbers_ if isinstance(parsed.schema[c].dataType, T.BooleanType)]
-        plain = [c for c in numbers_ if c not in flags]
-        values: dict[str, object] = {}
-        if numeric in ("median", "mean", "mode") and plain:
-            counts = {c: p.rows_in - p.missing[c] for c in plain}
-            values.update(fill_values(table, plain, numeric, counts))
-        if flags:
-            values.update(fill_values(table, flags, "mode") if numeric != "constant" else {})
-        if wanted.datetime_strategy == "mode":
-            when = [c for c in holes if kinds[c] == "datetime"]
-            found = fill_values(table, when, "mode") if when else {}
-            values.update({c: v for c, v in found.items() if v != 0})
         fills = {}
-        for c in holes:
+        for c in holes[g]:
             if kinds[c] == "numeric":
                 strategy = "mode" if c in flags and numeric != "constant" else numeric
-                value = wanted.numeric_constant if strategy == "constant" else values.get(c)
+                value = wanted.numeric_constant if strategy == "constant" else values[g].get(c)
             elif kinds[c] == "datetime":
-                strategy, value = wanted.datetime_strategy, values.get(c)
+                strategy, value = wanted.datetime_strategy, values[g].get(c)
                 if strategy not in ("mode", "ffill", "bfill"):
                     strategy = "keep_nat"
             else:
@@ -436,11 +442,21 @@ def apply_plans(
     carry: Sequence[str] = (),
     between: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """All five steps, lazily.  ``between`` may add columns after parsing and
-    before filling (the append takes its row signatures there)."""
-    out = parse_columns(df, plans, by)
-    if between is not None:
-        out = between(out)
+    """All five steps, lazily."""
+    return finish(parse_columns(df, plans, by), plans, by, order_by, carry, between)
+
+
+def finish(
+    parsed: DataFrame,
+    plans: Plans,
+    by: str | None = None,
+    order_by: Sequence[str] | None = None,
+    carry: Sequence[str] = (),
+    between: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The steps after parsing.  ``between`` may add columns before anything is
+    filled (the append takes its row signatures there)."""
+    out = between(parsed) if between is not None else parsed
     out = drop_rows(out, plans, by)
     out = fill_missing(out, plans, by, order_by)
     duplicate = next(iter(plans.values())).duplicate

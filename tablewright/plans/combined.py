@@ -29,7 +29,7 @@ from tablewright.operators.dedupe import duplicate_provenance
 from tablewright.operators.order import quoted
 from tablewright.operators.recommend import Recommendation, recommend_combine
 from tablewright.operators.totals import drop_total_rows, is_total_row
-from tablewright.plans.clean import apply_plans, parse_columns, plan_clean, plan_dates, plan_tables
+from tablewright.plans.clean import finish, parse_columns, plan_and_parse, read_dates
 from tablewright.plans.result import CleanResult, clean
 from tablewright.plans.rules import CleanPlan, action_text
 from tablewright.session import materialise
@@ -263,13 +263,13 @@ def append_tables(
 
     raw_base = base
     base = drop_total_rows(base)
-    base = parse_columns(base, {None: plan_dates(base, cfg, order_by)})
+    base = read_dates(base, cfg, order_by)
     if source_col and source_col not in base.columns:
         base = base.withColumn(source_col, F.lit(base_name))
 
     names = {no: _base_name(n) for no, n in enumerate(new)}
     incoming = stack_new(base_name, columns, {n: d.drop(source_col) if source_col else d for n, d in new.items()}, source_col)
-    plans = plan_tables(incoming, cfg, FILE_NO, order_by)
+    plans, parsed = plan_and_parse(incoming, cfg, FILE_NO, order_by)
     for no in names:  # a file without rows
         plans.setdefault(no, CleanPlan(tuple(c for c in incoming.columns if c != FILE_NO), exempt=cfg.exempt))
     active = {g: p for g, p in plans.items() if p.rows_in} or plans
@@ -279,8 +279,8 @@ def append_tables(
     def sign(df: DataFrame) -> DataFrame:
         return df.withColumn(SIGNATURE, row_signature(df, compared))
 
-    cleaned = apply_plans(
-        incoming, active, FILE_NO, order_by, carry=[SIGNATURE], between=sign if compare == "parsed" else None
+    cleaned = finish(
+        parsed, active, FILE_NO, order_by, carry=[SIGNATURE], between=sign if compare == "parsed" else None
     )
     if compare == "filled":
         cleaned = sign(cleaned)
@@ -349,4 +349,4 @@ def clean_simple(df: DataFrame, order_by: Sequence[str] | None = None) -> CleanR
         if isinstance(f.dataType, T.StringType) and any(w in f.name.lower() for w in ("tanggal", "date"))
     )
     cfg = CleanConfig.simple().with_(date={"date_columns": named, "min_rate": 0.0})
-    return CleanResult(apply_plans(df, {None: (plan := plan_clean(df, cfg, order_by))}, order_by=order_by), plan)
+    return clean(df, cfg, order_by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.config import CleanConfig
 from tablewright.functions.names import column_role
 from tablewright.operators.order import quoted
-from tablewright.plans.clean import apply_plans, plan_clean
+from tablewright.plans.clean import apply_plans, finish, plan_and_parse
 from tablewright.plans.rules import CleanPlan, action_text
 
 
@@ -100,8 +100,8 @@ def clean(
     defines "first", "last", forward and backward; without it all columns do.
     """
     cfg = cfg or CleanConfig()
-    plan = plan_clean(df, cfg, order_by)
-    return CleanResult(apply_plans(df, {None: plan}, order_by=order_by), plan, source)
+    plans, parsed = plan_and_parse(df, cfg, order_by=order_by)
+    return CleanResult(finish(parsed, plans, order_by=order_by), plans[None], source)
 
 
 def clean_with_plan(df: DataFrame, plan: CleanPlan, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -47,9 +47,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared scratch folder; every call gives another one."""
-    return f"{scratch_root(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process wrote; returns their number.
+
+    Call it once the results that were built on them have been saved.
+    """
+    paths, _written[:] = list(_written), []
+    for path in paths:
+        fs, p = filesystem(spark, path)
+        fs.delete(p, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

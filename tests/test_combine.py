@@ -362,3 +362,25 @@ def test_append_to_and_of_empty_tables(frame):
     assert tw.append_tables(empty, {"n": frame(cols, [("b", 1)])}).data.count() == 1
     assert tw.append_tables(frame(cols, [("b", 1)]), {"n": empty}).data.count() == 1
     assert tw.clean(empty).data.count() == 0
+
+
+@pytest.mark.parametrize("strategy, expected", [("median", [2.0, 90.0, None]), ("mean", [2.0, 90.0, None]), ("mode", [1.0, 90.0, 0.0])])
+def test_fill_values_of_many_tables(frame, strategy, expected):
+    from tablewright.operators import quantiles
+    from tablewright.operators.impute import fill_values_by
+
+    rows = [(0, 1.0), (0, 1.0), (0, 2.0), (0, 4.0), (0, 2.0), (0, None), (1, 90.0), (1, None), (2, None)]
+    df = frame("t int, v double", rows, parts=3)
+    wanted = {0: {"v": 5}, 1: {"v": 1}, 2: {"v": 0}}
+    found = fill_values_by(df, "t", wanted, strategy)  # modes come back as text
+    assert [None if found[g]["v"] is None else float(found[g]["v"]) for g in range(3)] == expected
+    assert [quantiles.medians_by(df, "t", wanted, small=2)[g]["v"] for g in range(3)] == [2.0, 90.0, None]
+
+
+def test_modes_and_constants_per_file(frame):
+    cols = "k string, v int, b boolean"
+    files = {"f1": frame(cols, [("p", 1, True), ("q", 1, True), ("r", None, None)]), "f2": frame(cols, [("s", 5, False), ("t", None, None)])}
+    for strategy, want in (("mode", [(1, True), (5, False)]), ("constant", [(0, False), (0, False)])):
+        cfg = CleanConfig.from_dict({"missing": {"numeric_strategy": strategy}})
+        got = {r["k"]: (r["v"], r["b"]) for r in tw.append_tables(frame(cols, [("a", 0, True)]), files, cfg).data.collect()}
+        assert [got["r"], got["t"]] == want

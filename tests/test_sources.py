@@ -190,3 +190,14 @@ def test_folder_of_workbooks(spark, tmp_path):
     assert values(df, "id") == [(i, "x", f"w{i}.xlsx") for i in range(3)] + [(i + 10, "y", f"w{i}.xlsx") for i in range(3)]
     rows = workbooks.sheet_rows(spark, str(tmp_path), "A")
     assert rows.count() == 12
+
+
+def test_scratch_tables_can_be_cleared(spark, tmp_path):
+    from tablewright import session
+
+    before = list(session._written)
+    session._written.clear()
+    df = session.materialise(spark.range(3))
+    assert df.count() == 3 and tw.clear_scratch(spark) == 1
+    assert not any(session.path_exists(spark, p.removeprefix("file:")) for p in df.inputFiles())
+    session._written.extend(before)
