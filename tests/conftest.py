@@ -12,8 +12,8 @@ from tablewright.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]",
-        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"},
+        "tests", "local[4]",
+        **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "3", "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

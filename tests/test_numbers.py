@@ -21,27 +21,32 @@ def test_currency_and_percent(frame):
     assert [tuple(r) for r in out] == [(1200000.0, 0.05), (5000000.0, 0.10), (7500000.5, 0.25)]
 
 
-@pytest.mark.parametrize("text, expected", [
+NUMBERS = [
     ("$229,100,000[b]", 229100000.0), ("$500,000[a][b]", 500000.0), ("Rp 2.500.000,00[1]", 2500000.0),
     ("100,000[b]", 100000.0), ("1.500.000[3]", 1500000.0), ("Rp 75.579", 75579.0), ("Rp. 1.500.000,50", 1500000.5),
     ("-1.500.000", -1500000.0), ("0,5", 0.5), ("1,5", 1.5), ("1,500.50", 1500.5), ("-Rp 5.000", -5000.0),
     ("1234.567", 1234567.0), ("€ 12", 12.0), ("usd 3", 3.0), ("1e5", 100000.0), ("  42  ", 42.0),
     ("1d", None), ("nan", None), ("None", None), ("", None), ("abc", None), ("12 apples", None), (None, None),
-])
-def test_parse_number(frame, text, expected):
-    assert read(frame, numbers.parse_number, [text]) == [expected]
+]
+
+
+def test_parse_number(frame):
+    texts, expected = zip(*NUMBERS)
+    assert dict(zip(texts, read(frame, numbers.parse_number, texts))) == dict(zip(texts, expected))
 
 
 def test_us_style_keeps_three_decimals(frame):
     assert read(frame, lambda c: numbers.parse_number(c, "us"), ["1234.567", "1,234.567"]) == [1234.567, 1234.567]
 
 
-@pytest.mark.parametrize("text, expected", [
+PERCENTS = [
     ("15%", 0.15), ("1.234,5%", 12.345), ("12,5 %", 0.125), ("1.5%", 0.015), ("1,234.5%", 12.345), ("-3%", -0.03), ("x%", None), (None, None),
-])
-def test_parse_percent(frame, text, expected):
-    got = read(frame, numbers.parse_percent, [text])[0]
-    assert got == pytest.approx(expected) if expected is not None else got is None
+]
+
+
+def test_parse_percent(frame):
+    texts, expected = zip(*PERCENTS)
+    assert read(frame, numbers.parse_percent, texts) == pytest.approx(list(expected))
 
 
 def styles(v):

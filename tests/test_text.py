@@ -30,9 +30,9 @@ TITLES = [
 ]
 
 
-@pytest.mark.parametrize("raw, expected", TITLES)
-def test_smart_title(frame, raw, expected):
-    assert apply(frame, text.smart_title, [raw]) == [expected]
+def test_smart_title(frame):
+    raw, expected = zip(*TITLES)
+    assert apply(frame, text.smart_title, raw) == list(expected)
 
 
 def test_smart_title_options(frame):
