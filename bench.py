@@ -21,8 +21,8 @@ HEADLINE = (
     "null_counts", "fill_median", "fill_mode", "fill_forward", "interpolate_linear",
     "dedupe_first", "dedupe_none", "dedupe_rows", "duplicate_provenance",
     "text_squeeze", "text_nfkc", "text_smart_title", "text_smart_title_documents",
-    "join_chain", "join_stage_rates", "join_orphans", "append_rows", "append_file_counts",
-    "clean_orders", "clean_simple", "clean_merged", "clean_joined", "totals", "csv_round_trip",
+    "join_chain", "join_orphans", "append_rows",
+    "clean_orders", "clean_merged", "clean_joined", "totals", "csv_round_trip",
 )
 RUNS = 2
 

@@ -31,26 +31,33 @@ def carry_fill(
     order_by: Sequence[str] | None,
     rows_per_bucket: int = 1_000_000,
     max_buckets: int = 16384,
+    within: str | None = None,
 ) -> DataFrame:
     """Fill nulls from neighbouring rows; ``how`` maps a column to ``ffill``,
     ``bfill`` or ``interpolate``.
 
+    ``within`` names a column (a table number) whose values are filled separately;
+    it leads the order, so all tables share the same passes.
+
     Passes: a bounded sample for the cut points, one summary pass (two when
     interpolating), and one shuffle of the table by bucket.
     """
     how = {c: h for c, h in how.items() if c in df.columns}
     if not how:
         return df
-    b = with_buckets(df, order_by, rows_per_bucket, max_buckets)
+    if not order_by:
+        raise ValueError("Filling from neighbouring rows needs order_by: a Spark table has no row order.")
+    group = [within] if within else []
+    b = with_buckets(df, [*group, *(c for c in order_by if c != within)], rows_per_bucket, max_buckets)
     names = df.columns
     if b.single:
         # fewer rows than one bucket takes: there is nothing to carry
-        return _fill_cold(b.df, b, how, None, names)
-    carry = _carry_table(b, how)
+        return _fill_cold(b.df, b, how, None, names, group)
+    carry = _carry_table(b, how, group)
     cold = b.df.where(~F.col(HOT)) if b.has_hot else b.df
-    out = _fill_cold(cold, b, how, carry, names)
+    out = _fill_cold(cold, b, how, carry, names, group)
     if b.has_hot:
-        out = out.unionByName(_fill_hot(b.df.where(F.col(HOT)), how, carry, names))
+        out = out.unionByName(_fill_hot(b.df.where(F.col(HOT)), how, carry, names, group))
     return out
 
 
@@ -75,11 +82,13 @@ def _with_fallback(df: DataFrame, cols: Sequence[str], fallback) -> DataFrame:
     return df.withColumns({c: F.coalesce(quoted(c), F.lit(fallback)) for c in cols if c in df.columns})
 
 
-def _carry_table(b: Bucketed, how: Mapping[str, str]) -> DataFrame:
+def _carry_table(b: Bucketed, how: Mapping[str, str], group: Sequence[str]) -> DataFrame:
     """Per bucket: rows before it, and the nearest known values outside it.
 
-    At most two rows per bucket, hence safe to sort in one task and broadcast.
+    At most two rows per bucket (and one more per table), hence safe to sort in
+    one task and broadcast.
     """
+    place = [BUCKET, *group]
     key = key_struct(b.leaves)
     lines = [c for c, h in how.items() if h == "interpolate"]
     measures = [F.count("*").alias("rows")]
@@ -88,23 +97,23 @@ def _carry_table(b: Bucketed, how: Mapping[str, str]) -> DataFrame:
         measures += [F.min_by(quoted(c), known).alias(f"first{i}"), F.max_by(quoted(c), known).alias(f"last{i}")]
         if c in lines:
             measures += [F.min(known).alias(f"firstkey{i}"), F.max(known).alias(f"lastkey{i}")]
-    summary = b.df.groupBy(BUCKET).agg(*measures)
+    summary = b.df.groupBy(*place).agg(*measures)
 
     if lines:
         # where the outermost known values stand inside their bucket
-        keyed = b.df.join(F.broadcast(summary.drop("rows")), BUCKET)
+        keyed = b.df.join(F.broadcast(summary.drop("rows")), place)
         index = {c: i for i, c in enumerate(how)}
-        gaps = keyed.groupBy(BUCKET).agg(
+        gaps = keyed.groupBy(*place).agg(
             *[F.count_if(key < F.col(f"firstkey{index[c]}")).alias(f"lead{index[c]}") for c in lines],
             *[F.count_if(key > F.col(f"lastkey{index[c]}")).alias(f"trail{index[c]}") for c in lines],
         )
-        summary = summary.join(F.broadcast(gaps), BUCKET)
+        summary = summary.join(F.broadcast(gaps), place)
 
-    order = Window.orderBy(BUCKET)
-    back = order.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    tables = Window.partitionBy(*group)
+    back = tables.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = tables.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("rows").over(back), F.lit(0))
-    cols = [F.col(BUCKET), start.alias("start")]
+    cols = [*map(F.col, place), start.alias("start")]
     for i, c in enumerate(how):
         cols += [
             F.last(f"last{i}", ignorenulls=True).over(back).alias(f"prev{i}"),
@@ -130,8 +139,8 @@ def _line(value: Column, at: Column, prev: Column, prev_at: Column, nxt: Column,
     return F.coalesce(value, on_line, prev, nxt)
 
 
-def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFrame | None, names: Sequence[str]) -> DataFrame:
-    inside = Window.partitionBy(BUCKET)
+def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFrame | None, names: Sequence[str], group: Sequence[str]) -> DataFrame:
+    inside = Window.partitionBy(BUCKET, *group)
     upward = inside.orderBy(*[c.asc_nulls_first() for c in b.leaves])
     downward = inside.orderBy(*[c.desc_nulls_last() for c in b.leaves])
     # a frame that ends at the last row would be quadratic; reading the bucket
@@ -155,7 +164,7 @@ def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFr
             near[f"_nextat{i}"] = F.last(at, ignorenulls=True).over(ahead)
     work = work.withColumns(near)
     if carry is not None:
-        work = work.join(F.broadcast(carry), BUCKET, "left")
+        work = work.join(F.broadcast(carry), [BUCKET, *group], "left")
     start = F.lit(0) if carry is None else F.col("start")
 
     def known(inside: Column, outside: str) -> Column:
@@ -178,7 +187,7 @@ def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFr
     return work.select(*[filled[n].alias(n) if n in filled else quoted(n) for n in names])
 
 
-def _fill_hot(df: DataFrame, how: Mapping[str, str], carry: DataFrame, names: Sequence[str]) -> DataFrame:
+def _fill_hot(df: DataFrame, how: Mapping[str, str], carry: DataFrame, names: Sequence[str], group: Sequence[str]) -> DataFrame:
     """Buckets made of copies of one row: nothing to sort.
 
     Forward and backward fill need the carried value only.  For interpolation
@@ -187,7 +196,7 @@ def _fill_hot(df: DataFrame, how: Mapping[str, str], carry: DataFrame, names: Se
     if "interpolate" in how.values():
         df = df.groupBy(*[quoted(n) for n in names], F.col(BUCKET)).agg(F.count("*").alias("_copies"))
         df = expand_copies(df, "_copies", "_n")
-    work = df.join(F.broadcast(carry), BUCKET, "left")
+    work = df.join(F.broadcast(carry), [BUCKET, *group], "left")
     filled = {}
     for i, (c, h) in enumerate(how.items()):
         if h == "interpolate":

@@ -166,32 +166,65 @@ class JoinResult:
     orphans: DataFrame  # right rows without a left partner
 
 
-def join_stage(left: DataFrame, right_name: str, right: DataFrame, key: str) -> DataFrame:
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """(k, n): one row per key, counted where the rows are read."""
+    return df.groupBy(quoted(key).alias("k")).agg(F.count("*").alias("n"))
+
+
+def frequent_keys(counts: DataFrame, hot_rows: int, hot_keys: int = 1024) -> list:
+    """The keys (null included) with more than ``hot_rows`` rows, at most ``hot_keys``."""
+    top = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n")).select("k").limit(hot_keys)
+    return [r["k"] for r in top.collect()]
+
+
+def join_stage(
+    left: DataFrame,
+    right_name: str,
+    right: DataFrame,
+    key: str,
+    counts: DataFrame | None = None,
+    hot_rows: int = 1_000_000,
+    salts: int = 64,
+) -> DataFrame:
     """left ⟕ right on one key; null keys meet null keys, clashing names get a suffix.
 
-    The strategy is left to Spark: a right side that is small when measured is
-    broadcast, otherwise both sides are shuffled and adaptive execution splits
-    the partitions of frequent keys.
+    The strategy of the plain join is left to Spark: a right side that is small
+    when measured is broadcast, otherwise both sides are shuffled.  Left keys with
+    more than ``hot_rows`` rows (``counts`` as of :func:`key_counts`) are joined
+    apart: their rows are dealt out over ``salts`` tasks and the right rows of just
+    these keys are repeated once per salt.  The salt is the number of the task that
+    reads the row, so it is the same when that task runs again.
     """
     names = joined_columns(left.columns, right_name, right.columns, key)
     renamed = right.select(quoted(key).alias("_right_key"), *[quoted(o).alias(n) for o, n in names.items()])
-    return left.join(renamed, quoted(key).eqNullSafe(F.col("_right_key")), "left").drop("_right_key")
+    same = quoted(key).eqNullSafe(F.col("_right_key"))
+    hot = frequent_keys(counts, hot_rows) if counts is not None else []
+    if not hot:
+        return left.join(renamed, same, "left").drop("_right_key")
 
+    def is_hot(c: Column) -> Column:
+        named = F.coalesce(c.isin(*[k for k in hot if k is not None]), F.lit(False)) if set(hot) - {None} else F.lit(False)
+        return named | c.isNull() if None in hot else named
 
-def _key_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(quoted(key).alias("k")).agg(F.count("*").alias("n"))
+    plain = left.where(~is_hot(quoted(key))).join(renamed.where(~is_hot(F.col("_right_key"))), same, "left")
+    dealt = left.where(is_hot(quoted(key))).withColumn("_salt", F.spark_partition_id() % salts)
+    repeated = renamed.where(is_hot(F.col("_right_key"))).withColumn(
+        "_right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    salted = dealt.join(repeated, same & (F.col("_salt") == F.col("_right_salt")), "left")
+    return plain.unionByName(salted.drop("_salt", "_right_salt")).drop("_right_key")
 
 
-def stage_rates(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def stage_rates(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """One row: left rows, matched, unmatched, rate in percent.
 
     Null keys count as unmatched.  Both sides are reduced to one row per key
     before they meet, so neither a frequent key nor a wide row is shuffled.
     """
     known = right.select(quoted(key).alias("k")).where("k is not null").distinct().withColumn("hit", F.lit(True))
+    counts = key_counts(left, key) if counts is None else counts
     return (
-        _key_counts(left, key)
-        .join(known, "k", "left")
+        counts.join(known, "k", "left")
         .agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("left_rows"),
             F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched_rows"),
@@ -205,13 +238,17 @@ def stage_rates(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def find_orphans(left: DataFrame, left_name: str, right: DataFrame, right_name: str, key: str, stage: int) -> DataFrame:
+def find_orphans(
+    left: DataFrame, left_name: str, right: DataFrame, right_name: str, key: str, stage: int,
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Right rows whose key is not among the left keys, with stage, origin and reason.
 
     Rows with a null key are always orphans; they are filtered out on the spot
     instead of being sent to the one partition that nulls hash to.
     """
-    keys = left.select(quoted(key).alias("_k")).where("_k is not null").distinct()
+    counts = key_counts(left, key) if counts is None else counts
+    keys = counts.where("k is not null").select(F.col("k").alias("_k"))
     named = right.where(quoted(key).isNotNull()).join(keys, quoted(key) == F.col("_k"), "left_anti")
     unnamed = right.where(quoted(key).isNull())
     before, after = fv.REASON_ORPHAN.format(key=key, value="\0", left=left_name).split("\0")
@@ -222,11 +259,14 @@ def find_orphans(left: DataFrame, left_name: str, right: DataFrame, right_name:
     )
 
 
-def join_chain(tables: Tables, keys: str | Sequence[str], how: str = "left", cut_lineage: bool = True) -> JoinResult:
+def join_chain(
+    tables: Tables, keys: str | Sequence[str], how: str = "left", cut_lineage: bool = True, hot_rows: int = 1_000_000
+) -> JoinResult:
     """Chained left join with match rates and orphan rows per stage.
 
-    Each intermediate result feeds its rate, its orphans and the next join, so
-    with ``cut_lineage`` results of two joins and more are written once.
+    The left keys of a stage are counted once, into a table with one line per key
+    that serves the search for frequent keys, the rate and the orphans.  With
+    ``cut_lineage`` that table and the intermediate results are written once.
     """
     keys = check_join(tables, keys, how)
     items = list(tables.items())
@@ -236,14 +276,17 @@ def join_chain(tables: Tables, keys: str | Sequence[str], how: str = "left", cut
         left_name = items[0][0].rsplit("/", 1)[-1] if no == 1 else fv.JOINED_NAME
         path, right = items[no]
         right_name = path.rsplit("/", 1)[-1]
-        rate = stage_rates(joined, right, key).select(
+        counts = key_counts(joined, key)
+        if cut_lineage:
+            counts = materialise(counts, "keys")
+        rate = stage_rates(joined, right, key, counts).select(
             F.lit(no).alias("stage"), F.lit(left_name).alias("left_name"), F.lit(right_name).alias("right_name"),
             F.lit(key).alias("key"), "*",
         )
-        lost = find_orphans(joined, left_name, right, right_name, key, no)
+        lost = find_orphans(joined, left_name, right, right_name, key, no, counts)
         stages = rate if stages is None else stages.unionByName(rate)
         orphans = lost if orphans is None else _union_wide(orphans, lost)
-        joined = join_stage(joined, right_name, right, key)
+        joined = join_stage(joined, right_name, right, key, counts, hot_rows)
         if cut_lineage and no < len(keys):
             joined = materialise(joined, "joined")
     return JoinResult(joined, stages, orphans)

@@ -14,8 +14,8 @@ sorting them.
 
 from __future__ import annotations
 
-import json
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -93,8 +93,6 @@ def with_buckets(
     The driver receives at most ``max_buckets`` cut points, whatever the size of
     the table; at most 32 sampled keys per bucket are ranked to find them.
     """
-    if not order_by:
-        raise ValueError("Filling from neighbouring rows needs order_by: a Spark table has no row order.")
     leaves = tuple(order_key(df, order_by))
     rows = df.count()
     buckets = min(max_buckets, math.ceil(rows / rows_per_bucket))
@@ -132,14 +130,13 @@ def _cut_points(df: DataFrame, leaves: Sequence[Column], rows: int, buckets: int
         F.to_json("key", {**_JSON_OPTIONS, "ignoreNullFields": "false"}).alias("key")
     )
     keys = [r["key"] for r in picked.collect()]
-    distinct = list(dict.fromkeys(keys))
-    return distinct, [keys.count(k) > 1 for k in distinct] if len(distinct) < len(keys) else [False] * len(keys), schema
+    times = Counter(keys)
+    return list(times), [n > 1 for n in times.values()], schema
 
 
 def _literal(cuts: Sequence[str], schema: T.StructType) -> Column:
     """The cut keys as one constant array (folded at planning time)."""
-    text = json.dumps([json.loads(c) for c in cuts], ensure_ascii=False)
-    return F.from_json(F.lit(text), T.ArrayType(schema), _JSON_OPTIONS)
+    return F.from_json(F.lit("[" + ",".join(cuts) + "]"), T.ArrayType(schema), _JSON_OPTIONS)
 
 
 def _position(key: Column, cuts: Sequence[str], schema: T.StructType) -> Column:

@@ -365,14 +365,8 @@ def fill_missing(
     for p in plans.values():
         carried.update({c: r.strategy for c, r in p.fills.items() if r.strategy in CARRIED})
     if carried:
-        if by is None:
-            df = carry_fill(df, carried, order_by)
-        else:
-            # order-based fills never reach across tables
-            parts = [carry_fill(df.where(quoted(by) == F.lit(g)), carried, order_by) for g in plans]
-            df = parts[0]
-            for part in parts[1:]:
-                df = df.unionByName(part)
+        # order-based fills never reach across tables
+        df = carry_fill(df, carried, order_by, within=by)
     filled = {}
     columns = list(dict.fromkeys(c for p in plans.values() for c in p.fills))
     for c in columns:

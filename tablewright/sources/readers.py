@@ -103,21 +103,24 @@ def read_csv(
     source_col: str | None = None,
     with_order: bool = False,
     multi_line: bool = False,
+    encoding: str | None = None,
 ) -> DataFrame:
     """CSV files with equal headers as one table.
 
-    Each file is read in its own encoding, files of one encoding together.
+    Each file is read in its own encoding, files of one encoding together;
+    ``encoding`` (utf-8, windows-1252 or latin-1) skips the pass that finds it out.
     ``source_col`` keeps the file name (S7).  ``with_order`` adds ``_ord``, which
     sorts rows as they stand in the files.  ``multi_line`` allows line breaks in
     quoted cells, at the price that a file is read by one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    by_encoding: dict[str, list[str]] = {}
-    for row in file_encodings(spark, paths).orderBy("path").collect():
-        by_encoding.setdefault(row["encoding"], []).append(row["path"])
+    by_encoding: dict[str, list[str]] = {encoding: paths} if encoding else {}
+    if not encoding:
+        for row in file_encodings(spark, paths).orderBy("path").collect():
+            by_encoding.setdefault(row["encoding"], []).append(row["path"])
     parts = []
-    for encoding, group in by_encoding.items():
-        df = _csv(spark, group, encoding, multi_line)
+    for name, group in by_encoding.items():
+        df = _csv(spark, group, name, multi_line)
         data = [c for c in df.columns if c != "_metadata"]
         extra = []
         if source_col:

@@ -388,3 +388,40 @@ def test_modes_and_constants_per_file(frame):
         cfg = CleanConfig.from_dict({"missing": {"numeric_strategy": strategy}})
         got = {r["k"]: (r["v"], r["b"]) for r in tw.append_tables(frame(cols, [("a", 0, True)]), files, cfg).data.collect()}
         assert [got["r"], got["t"]] == want
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_join_with_keys_that_hold_a_third_of_the_rows(spark, hot_rows):
+    rows = [(7, i) for i in range(60)] + [(None, i) for i in range(60)] + [(i, i) for i in range(60)]
+    left = spark.createDataFrame(rows, "k int, a int").repartition(6)
+    right = spark.createDataFrame([(7, "x"), (7, "y"), (None, "n"), (3, "z")], "k int, b string")
+    result = tw.join_chain({"l": left, "r": right}, "k", hot_rows=hot_rows)
+    partners = {7: ["x", "y"], None: ["n"], 3: ["z"]}
+    want = sorted(str((k, a, b)) for k, a in rows for b in partners.get(k, [None]))
+    assert sorted(str((r["k"], r["a"], r["b"])) for r in result.data.collect()) == want
+    assert tuple(result.stages.select("left_rows", "matched_rows").first()) == (180, 62)
+    assert [r["b"] for r in result.orphans.collect()] == ["n"]
+
+
+def test_order_based_fills_stay_inside_their_file(frame):
+    cols = "kode string, i int, v double, t string"
+    files = {f"f{n}": frame(cols, [(f"{n}{i}", i, float(10 * n + i) if i % 3 == 1 else None, None if i < 2 else f"t{n}{i}") for i in range(7)]) for n in range(3)}
+    cfg = CleanConfig.from_dict({"missing": {"numeric_strategy": "interpolate", "text_strategy": "ffill"}})
+    result = tw.append_tables(frame(cols, [("x", 0, 0.0, "b")]), files, cfg, order_by=["i"])
+    got = {r["kode"]: (r["v"], r["t"]) for r in result.data.collect()}
+    for n in range(3):
+        assert [got[f"{n}{i}"][0] for i in range(7)] == pytest.approx([10 * n + x for x in (1, 1, 2, 3, 4, 4, 4)])
+        assert [got[f"{n}{i}"][1] for i in range(7)] == ["Unknown", "Unknown"] + [f"t{n}{i}" for i in range(2, 7)]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 1000])
+def test_fills_within_tables_over_buckets(spark, rows_per_bucket):
+    from tablewright.operators.carry import carry_fill
+
+    rows = [(g, i, float(i) if i in (4, 9) else None) for g in range(3) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, i int, v double").repartition(5)
+    want = {"ffill": [None] * 4 + [4.0] * 5 + [9.0] * 3, "bfill": [4.0] * 5 + [9.0] * 5 + [None] * 2,
+            "interpolate": [4.0] * 4 + [4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 9.0, 9.0]}
+    for how, values_ in want.items():
+        out = carry_fill(df, {"v": how}, ["i"], rows_per_bucket=rows_per_bucket, within="g").orderBy("g", "i").collect()
+        assert [r["v"] for r in out] == values_ * 3

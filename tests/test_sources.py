@@ -20,6 +20,8 @@ def test_encodings(spark, tmp_path, encoding):
     df = tw.read_table(spark, write(tmp_path / "a.csv", NAMES, encoding))
     assert df.columns == ["nama", "kota"]
     assert values(df) == [("Ana", "Ulm"), ("José", "Müller “x”")]
+    told = tw.read_csv(spark, str(tmp_path / "a.csv"), encoding="utf-8" if encoding.startswith("utf") else encoding)
+    assert values(told) == values(df)
 
 
 def test_bytes_that_windows_1252_does_not_know(spark, tmp_path):
