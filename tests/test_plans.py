@@ -79,6 +79,6 @@ def test_spread_leaves_large_scans_alone(spark):
     from tablewright.sources.readers import spread
 
     small = read(spark, "nation")
-    assert spread(small).rdd.getNumPartitions() >= 8
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(100, numPartitions=20)
     assert spread(wide) is wide
