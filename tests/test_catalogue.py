@@ -1,6 +1,5 @@
 """Every registered query against its SQL, on the smallest tables."""
 
-import math
 from collections import Counter
 
 import duckdb
@@ -23,11 +22,11 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
-    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf":
+    if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", None) in ("i", "u", "f"):
         return float(v)
     return pd.Timestamp(v) if hasattr(v, "isoformat") else str(v)
 
