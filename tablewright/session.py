@@ -30,21 +30,14 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder for tables of one run.
 
-    Only where that setting is missing (tests on one machine) a folder of our
-    own is made and set.
+    It is the folder the cluster names in ``spark.checkpoint.dir``; where that is
+    unset (tests on one machine) the warehouse folder of the session is used.
+    Both are resolved by Hadoop, so executors and driver see the same place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    import tempfile
-
-    root = tempfile.mkdtemp(prefix="tablewright-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 _written: list[str] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.dates import java_format
 from tablewright.operators.order import quoted
-from tablewright.session import filesystem, path_exists, scratch_path
+from tablewright.session import filesystem, path_exists
 
 
 def as_text_dates(df: DataFrame, output_format: str | None) -> DataFrame:
@@ -55,11 +57,11 @@ def replace_base(df: DataFrame, base_path: str, fmt: str = "parquet", overwrite:
     """
     spark = df.sparkSession
     if not path_exists(spark, base_path):
-        raise FileNotFoundError(f"File '{base_path}' tidak ditemukan!")
+        raise FileNotFoundError(f"There is no table at '{base_path}'.")
     if not overwrite:
         raise ValueError("The output is the base itself; pass overwrite=True to keep a .bak copy and go on.")
     base = base_path.rstrip("/")
-    aside = f"{base}.new-{scratch_path(spark, 'x').rsplit('-', 1)[-1]}"
+    aside = f"{base}.new-{uuid.uuid4().hex}"
     write_table(df, aside, fmt, mode="errorifexists", **options)
     fs, base_p = filesystem(spark, base)
     backup = f"{base}.bak"
