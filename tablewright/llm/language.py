@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 A bounded sample of labelled texts gives each language a raw-content zstandard
-dictionary.  A text is cut into blocks, so that the dictionary counts in a long
+dictionary.  Of a text the letters count,
+lower-cased; it is cut into blocks, so that the dictionary counts in a long
 text as much as in a short one; all blocks are compressed with every dictionary,
 and the language with the fewest bytes wins.  The score is the share of bytes it saves
 against the runner-up; a narrow margin is a rejection.
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 128  # bound of the learning sample: documents for each language …
+SAMPLE_DOCS = 256  # bound of the learning sample: documents for each language …
 SAMPLE_CHARS = 2000  # … and characters of each
 BLOCK = 4096
-LEVEL = 1
 MARGIN = 0.002
-LETTER = re.compile(r"[^\W\d_]")
+# short matches count here, so the matcher looks for four bytes and tries several places
+CODER = {"window_log": 20, "chain_log": 17, "hash_log": 18, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_GREEDY}
+LEAD = bytes(128)  # before every block: a coder stores a tiny block as it is unless it can save some bytes
+NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -55,23 +58,30 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sa
     found: dict[str, list] = {}
     for lang, r, text in first.select("lang", "r", "text").collect():
         found.setdefault(lang, []).append((r, text))
-    return {lang: "\n".join(t.lower() for _, t in sorted(found[lang])).encode() for lang in sorted(found)}
+    return {lang: b"".join(letters(t) for _, t in sorted(found[lang])) for lang in sorted(found)}
+
+
+def letters(text: str) -> bytes:
+    """Words of lower-case letters, one space before and after each; empty if there is no letter."""
+    words = f" {NO_LETTER.sub(' ', text.lower()).strip()} "
+    return words.encode("utf-8", "replace") if words != "  " else b""
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes], block: int = BLOCK):
         self.langs, self.block = list(dictionaries), block
         self.coders = []
+        coder = zstandard.ZstdCompressionParameters(**CODER, write_content_size=False)
         for raw in dictionaries.values():
             words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=words, level=level, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+            words.precompute_compress(compression_params=coder)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=words, compression_params=coder).compress)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        raw = letters(text) if text and self.langs else b""
+        if not raw:
             return UNKNOWN, 0.0
-        raw = text.lower().encode("utf-8", "replace")
-        blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
+        blocks = [LEAD + raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         sizes = [sum([len(coder(b)) for b in blocks]) for coder in self.coders]
         best = min(sizes)
         lang = self.langs[sizes.index(best)]

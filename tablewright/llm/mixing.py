@@ -11,7 +11,7 @@ Defined results
 * null or empty text: size 0, taken 0; a null source is a source of its own and comes last
 * null or repeated ids: rows of equal id and text share one hash.  If the budget
   ends within such rows, each gives an equal part of its words.  A single
-  document at the end of the budget is taken whole if at least half of it fits.
+  document at the end of the budget gives as many words as are still missing.
 * an empty table gives an empty result; other columns are left alone
 """
 
@@ -127,7 +127,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     cuts = thresholds(slim, weights, share, max_repeats)
     need, cell, cell_size = (F.col(f"c.{n}") for n in ("need", "cell", "cell_size"))
     size, at = F.col("d.size"), F.col("d.place")
-    end = F.when(F.col("c.rows") > 1, F.floor(size * need / cell_size)).when(need * 2 >= cell_size, size).otherwise(0)
+    end = F.floor(size * need / cell_size)
     more = F.when(at < cell, size).when((at == cell) & (cell_size > 0) & (need > 0), end).otherwise(0)
     return _with_cuts(slim, cuts).select(
         F.col("d.id").alias(id_col), F.col("d.source").alias(source_col), size.alias("size"), F.col("c.source_size").alias("source_size"),

@@ -49,8 +49,8 @@ QUERIES: dict[str, Query] = {
 SHINGLES_SQL = """
   SELECT {id} AS id, list_distinct(CASE WHEN len(w) >= 5 THEN
       [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS s
-  FROM (SELECT {id}, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM {table}) WHERE len(w) > 0"""
+  FROM (SELECT {id}, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM {table}) WHERE len(w) > 0"""
 
 SQL: dict[str, str] = {
     "op2_decontaminate": f"""
