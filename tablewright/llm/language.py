@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.work import Work
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 256  # bound of the learning sample: documents for each language …
 SAMPLE_CHARS = 2000  # … and characters of each
@@ -50,7 +52,8 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sa
     those are taken.  What comes to the driver is bounded by languages x documents x characters.
     """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, lang_col).alias("h"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    # stored, so that the join knows its size and need not shuffle texts by language
+    counts = Work(docs.sparkSession, "languages").save(labelled.groupBy("lang").agg(F.count("*").alias("n")), "counts")
     part = F.shiftrightunsigned("h", 24)  # 0 … 2^40 - 1
     near = labelled.join(counts, "lang").where(part * F.col("n") < F.lit(float(2 * sample_docs * (1 << 40))))
     excerpt = near.where(F.col("text").rlike(r"\p{L}")).select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
