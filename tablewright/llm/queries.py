@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, language, mixing, simhash, tokens
+from tablewright.llm import decontamination, language, mixing, simhash, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs))
 
 
+def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Work(spark, "op10").path("ids")
     tokens.write(_table(spark, sf_dir, "documents"), path)
@@ -43,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_simhash, op5_language, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_simhash, op5_language, op9_vector_duplicates, op10_token_files)
 }
 
 SHINGLES_SQL = """

@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.work import chunks, text_key
+from tablewright.llm.work import Work, chunks, text_key
 
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 300_000  # words whose ids a worker keeps
+REMEMBERED = 500_000  # words whose ids a worker keeps
 CHUNK = 1 << 21
 ROW_GROUP = 32 << 20
 LINE_BREAK = 198  # the id of a line break on its own in the byte-level vocabularies of this family
@@ -49,15 +50,21 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes; ``of`` keeps one for each worker process."""
+    """Ids of texts as little-endian bytes; ``of`` keeps one for each worker process.
+
+    A text is cut at single spaces; a line break is a cut too, and FIRST and BREAK
+    mark the words after the start of a text and after a line break.
+    """
+
+    FIRST, BREAK = "\x01", "\x00"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.line = self.whole("\n")
         self.by_words = self.line == np.array([LINE_BREAK], "<u4").tobytes()
 
@@ -68,53 +75,54 @@ class Encoder:
         return _encoders[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str], memory: dict[str, bytes], before: str) -> None:
-        """Encode many words in one call, parted by line breaks."""
-        plain = [w for w in words if w and w == w.strip()]
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words; stems are remembered.  ASCII signs after a letter are tokens of their own, so both are looked up apart."""
+        parted, stems = [], set()
+        for word in words:
+            stem = word.rstrip(string.punctuation)
+            if stem and stem[-1].isalpha():
+                parted.append((word, stem, word[len(stem) :]))
+                stems.add(stem)
+            else:
+                stems.add(word)
+        self.ask(stems - self.memory.keys(), self.memory)
+        signs = {self.FIRST + s for _, _, s in parted if s} - self.signs.keys()
+        self.ask(signs, self.signs)
+        get, sign, first = self.memory.get, self.signs.get, self.FIRST
+        return {w: a + b for w, s, t in parted if t and (a := get(s)) is not None and (b := sign(first + t)) is not None}
+
+    def ask(self, words: set[str], memory: dict[str, bytes]) -> None:
+        """Encode many words in one call, parted by line breaks; words with other white space at an end are left out."""
+        plain = [w for w in words if (t := w.lstrip("\x00\x01")) and t == t.strip()]
         if not plain:
             return
-        ids = np.array(self.model.encode("\n".join([before + w for w in plain]), add_special_tokens=False).ids, "<u4")
+        marks = {self.FIRST: b"", self.BREAK: self.line}
+        spoken = [w[1:] if w[0] in marks else f" {w}" for w in plain]
+        ids = np.array(self.model.encode_batch_fast(["\n".join(spoken)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == LINE_BREAK)
-        if len(cuts) != len(plain) - 1:
-            memory.update((w, self.whole(before + w)) for w in plain)
-            return
-        raw = ids.tobytes()
-        starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-        memory.update((w, raw[a:b]) for w, a, b in zip(plain, starts, ends))
-
-    def put_together(self, text: str) -> list:
-        out = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            out.append(self.bare.get(pieces[0]))
-            out.extend(map(self.spaced.get, pieces[1:]))
-            out.append(self.line)
-        out.pop()
-        return out
+        if len(cuts) + 1 == len(plain):
+            raw = ids.tobytes()
+            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
+            coded = [raw[a:b] for a, b in zip(starts, ends)]
+        else:
+            coded = map(self.whole, spoken)
+        memory.update((w, marks.get(w[0], b"") + c) for w, c in zip(plain, coded))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
-            return [self.whole(t) for t in texts]
-        simple = [t and "<|" not in t for t in texts]
-        bare, spaced = set(), set()
-        for text, ok in zip(texts, simple):
-            if ok:
-                for line in text.split("\n"):
-                    first, *rest = line.split(" ")
-                    bare.add(first)
-                    spaced.update(rest)
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.spaced.clear()
-            self.bare.clear()
-        self.learn(bare - self.bare.keys(), self.bare, "")
-        self.learn(spaced - self.spaced.keys(), self.spaced, " ")
-        out = []
-        for text, ok in zip(texts, simple):
-            parts = self.put_together(text) if ok else [None]
-            out.append((self.whole(text) if text else b"") if None in parts else b"".join(parts))
-        return out
+        simple = [i for i, t in enumerate(texts) if self.by_words and t and not ("<|" in t or "\x00" in t or "\x01" in t)]
+        pieces = {i: (self.FIRST + texts[i].replace("\n", " \x00")).split(" ") for i in simple}
+        if len(self.memory) + len(self.signs) > REMEMBERED:
+            self.memory.clear()
+            self.signs.clear()
+        get = self.memory.get
+        found = {i: list(map(get, p)) for i, p in pieces.items()}
+        new = {i for i, f in found.items() if None in f}
+        here = self.learn({w for i in new for w, f in zip(pieces[i], found[i]) if f is None})
+        for i in new:
+            found[i] = [f or get(w) or here.get(w) for w, f in zip(pieces[i], found[i])]
+        return [b"".join(f) if (f := found.get(i)) and None not in f else self.whole(t) for i, t in enumerate(texts)]
 
 
 def _encode(path: str, end: int):
@@ -162,6 +170,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sums = table.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sums.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("tokens_before"))
+    offsets = Work(spark, "token-offsets").save(offsets, "offsets")  # stored: the join knows how small it is
     return table.join(offsets, "part").withColumn("start", F.col("tokens_before") + F.col("start_in_part")).drop("tokens_before")
 
 
