@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, language, licenses, mixing, simhash, tokens, vectors
+from tablewright.llm import decontamination, language, licenses, mixing, pages, simhash, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_simhash, op5_language, op6_licenses, op9_vector_duplicates, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_simhash, op5_language, op6_licenses, op7_main_text, op9_vector_duplicates, op10_token_files)
 }
 
 SHINGLES_SQL = """
