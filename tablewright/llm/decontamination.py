@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import rolling
+from tablewright.llm.bits import bit_map, marked
 from tablewright.llm.work import Work, chunks, text_key
 
 WIDTH = 5
@@ -97,22 +98,6 @@ def _shingle(data, starts, ends, word: int, width: int) -> str:
     return " ".join(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in range(word, word + width))
 
 
-def bit_map(rows: DataFrame, bits: int = MAP_BITS) -> bytes:
-    """Marks of the leading hash bits; its size does not depend on the rows."""
-    spot = F.shiftrightunsigned("hash", 64 - bits) + 1  # Spark numbers buckets from 1 for the values 1 to 32,768
-    parts = rows.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("part")
-    )
-    marks = np.zeros((1 << bits) // 8, np.uint8)
-    for bucket, part in parts.collect():
-        marks[(bucket - 1) * len(part) : bucket * len(part)] = np.frombuffer(part, np.uint8)
-    return marks.tobytes()
-
-
-def _marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _hits(sketch: bytes, every: bytes, widths: list[int], bits: int, slots: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketched, known = np.frombuffer(sketch, np.uint8), np.frombuffer(every, np.uint8)
@@ -121,13 +106,12 @@ def _hits(sketch: bytes, every: bytes, widths: list[int], bits: int, slots: tupl
             for a, b in chunks(texts, CHUNK):
                 for width in widths:
                     data, starts, ends, of, whole, hashes = shingled([t or b"" for t in texts[a:b]], width)
-                    at = (hashes >> rolling.U64(64 - bits)).astype(np.int64)
-                    found = _marked(sketched, at)
+                    found = marked(sketched, hashes, bits)
                     if not found.any():
                         continue
                     candidate = np.zeros(b - a, bool)
                     candidate[of[whole[found]]] = True
-                    take = np.flatnonzero(_marked(known, at) & candidate[of[whole]])
+                    take = np.flatnonzero(marked(known, hashes, bits) & candidate[of[whole]])
                     rows = pa.array(a + of[whole[take]])
                     text = [_shingle(data, starts, ends, w, width) for w in whole[take].tolist()]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(text, pa.string())], names=[*slots, "shingle"])
@@ -152,7 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     slim = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     doc_kind = docs.schema[id_col].dataType.simpleString()
     found = slim.mapInArrow(
-        _hits(bit_map(shingles.where("in_sketch")), bit_map(shingles), widths, MAP_BITS, ("id", "key")), f"id {doc_kind}, key bigint, shingle string"
+        _hits(bit_map(shingles.where("in_sketch"), MAP_BITS), bit_map(shingles, MAP_BITS), widths, MAP_BITS, ("id", "key")), f"id {doc_kind}, key bigint, shingle string"
     )
     found = work.save(found, "found")
     pairs = found.join(shingles.select("item", "shingle", "item_id", "n_items", "q", "in_sketch"), "shingle").groupBy("id", "key", "item").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, language, licenses, mixing, pages, simhash, tokens, vectors
+from tablewright.llm import decontamination, language, licenses, mixing, pages, simhash, substrings, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.without_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.classes(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +49,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.without_later_copies(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_simhash, op5_language, op6_licenses, op7_main_text, op9_vector_duplicates, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files)
 }
 
 SHINGLES_SQL = """
