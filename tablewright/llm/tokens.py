@@ -21,10 +21,12 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ END = 0
 VOCABULARY = "byte_bpe_50k.json"
 REMEMBERED = 500_000  # words whose ids a worker keeps
 CHUNK = 1 << 21
+AT_ONCE = 64  # words in one text given to the library
 ROW_GROUP = 32 << 20
 LINE_BREAK = 198  # the id of a line break on its own in the byte-level vocabularies of this family
 
@@ -79,19 +82,13 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of new words; stems are remembered.  ASCII signs after a letter are tokens of their own, so both are looked up apart."""
-        parted, stems = [], set()
-        for word in words:
-            stem = word.rstrip(string.punctuation)
-            if stem and stem[-1].isalpha():
-                parted.append((word, stem, word[len(stem) :]))
-                stems.add(stem)
-            else:
-                stems.add(word)
+        pairs = [(w, w.rstrip(string.punctuation)) for w in words]
+        stems = {s if s and s[-1].isalpha() else w for w, s in pairs}
         self.ask(stems - self.memory.keys(), self.memory)
-        signs = {self.FIRST + s for _, _, s in parted if s} - self.signs.keys()
-        self.ask(signs, self.signs)
+        signed = [(w, s, w[len(s) :]) for w, s in pairs if len(s) < len(w) and s and s[-1].isalpha()]
+        self.ask({self.FIRST + t for _, _, t in signed} - self.signs.keys(), self.signs)
         get, sign, first = self.memory.get, self.signs.get, self.FIRST
-        return {w: a + b for w, s, t in parted if t and (a := get(s)) is not None and (b := sign(first + t)) is not None}
+        return {w: a + b for w, s, t in signed if (a := get(s)) is not None and (b := sign(first + t)) is not None}
 
     def ask(self, words: set[str], memory: dict[str, bytes]) -> None:
         """Encode many words in one call, parted by line breaks; words with other white space at an end are left out."""
@@ -100,7 +97,10 @@ class Encoder:
             return
         marks = {self.FIRST: b"", self.BREAK: self.line}
         spoken = [w[1:] if w[0] in marks else f" {w}" for w in plain]
-        ids = np.array(self.model.encode_batch_fast(["\n".join(spoken)], add_special_tokens=False)[0].ids, "<u4")
+        lines = ["\n".join(spoken[i : i + AT_ONCE]) + "\n" for i in range(0, len(spoken), AT_ONCE)]
+        lines[-1] = lines[-1][:-1]
+        coded_lines = self.model.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded_lines), "<u4")
         cuts = np.flatnonzero(ids == LINE_BREAK)
         if len(cuts) + 1 == len(plain):
             raw = ids.tobytes()
@@ -111,18 +111,34 @@ class Encoder:
         memory.update((w, marks.get(w[0], b"") + c) for w, c in zip(plain, coded))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # many short-lived lists and tuples, none of them in a cycle
+        try:
+            return self.encoded(texts)
+        finally:
+            gc.enable()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
         simple = [i for i, t in enumerate(texts) if self.by_words and t and not ("<|" in t or "\x00" in t or "\x01" in t)]
         pieces = {i: (self.FIRST + texts[i].replace("\n", " \x00")).split(" ") for i in simple}
         if len(self.memory) + len(self.signs) > REMEMBERED:
             self.memory.clear()
             self.signs.clear()
-        get = self.memory.get
-        found = {i: list(map(get, p)) for i, p in pieces.items()}
-        new = {i for i, f in found.items() if None in f}
-        here = self.learn({w for i in new for w, f in zip(pieces[i], found[i]) if f is None})
-        for i in new:
-            found[i] = [f or get(w) or here.get(w) for w, f in zip(pieces[i], found[i])]
-        return [b"".join(f) if (f := found.get(i)) and None not in f else self.whole(t) for i, t in enumerate(texts)]
+        get, put_together = self.memory.get, b"".join
+        out: list = [None] * len(texts)
+        open_ = {}  # texts with words not known yet
+        for i, p in pieces.items():
+            found = list(map(get, p))
+            try:
+                out[i] = put_together(found)
+            except TypeError:
+                open_[i] = found
+        here = self.learn({w for i, f in open_.items() for w, c in zip(pieces[i], f) if c is None})
+        for i, found in open_.items():
+            try:
+                out[i] = put_together([c or get(w) or here.get(w) for w, c in zip(pieces[i], found)])
+            except TypeError:
+                pass  # white space of another kind: encoded as a whole below
+        return [self.whole(t) if c is None else c for t, c in zip(texts, out)]
 
 
 def _encode(path: str, end: int):
