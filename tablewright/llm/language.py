@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.llm.work import Work
 
@@ -119,5 +120,6 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col="text", m
     """Rows of ``docs``, with all their columns, whose language is told clearly."""
     plain = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.select(plain.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    rows = marked.mapInArrow(_classify(dictionaries), f"row {marked.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    schema = T.StructType([marked.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = marked.mapInArrow(_classify(dictionaries), schema)
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).select("row.*")

@@ -147,6 +147,6 @@ def mix_rows(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     cuts = thresholds(work.save(slim, "sizes"), weights, share, max_repeats)
     rows = docs.select(F.col(source_col).alias("source"), place(id_col, text_col).alias("place"), plain.alias("row"))
     taken = (F.col("d.place") < F.col("c.cell")) | ((F.col("d.place") == F.col("c.cell")) & (F.col("c.need") * 2 >= F.col("c.cell_size")) & (F.col("c.need") > 0))
-    copies = F.col("c.copies") + F.when(taken, 1).otherwise(0)
+    copies = F.least(F.col("c.copies") + F.when(taken, 1).otherwise(0), F.lit(max_repeats))  # empty texts cost nothing, and stand before any end
     out = _with_cuts(rows, cuts).select("d.row", copies.alias("copies")).where("copies > 0")
     return out.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
