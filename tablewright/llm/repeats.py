@@ -29,7 +29,7 @@ from tablewright.llm.bits import bit_map, marked
 from tablewright.llm.work import Work, chunks, text_key
 
 CHUNK = 1 << 20  # bytes of text handled at once
-MOST = 4096  # contents of an anchor that stay together
+MOST = 16384  # contents of an anchor that stay together
 SHARD = 1 << 18  # units of text in one index, or those of a single anchor
 MAP_BITS = 26
 
@@ -53,8 +53,8 @@ class Unit:
 
 
 def _place_hash(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Names an occurrence."""
-    return rolling.mixed(keys.view(np.uint64) + rolling.mixed(starts.astype(np.uint64) + rolling.U64(1))).view(np.int64)
+    """Names an occurrence, as Spark's xxhash64(key, start) does."""
+    return rolling.xxhash64_of_longs(keys, starts).view(np.int64)
 
 
 def _cut(unit: Unit, batches: Iterator[pa.RecordBatch]):
@@ -88,8 +88,8 @@ def _segments(unit: Unit, anchors):
             rows = pa.array(a + s.text)
             keys = batch.column(1).take(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), keys, pa.array(s.start), pa.array(s.windows), pa.array(s.anchor), pa.array(s.content), pa.array(_place_hash(np.asarray(keys), s.start))],
-                names=["id", "key", "start", "windows", "anchor", "content", "place"],
+                [batch.column(0).take(rows), keys, pa.array(s.start), pa.array(s.windows), pa.array(s.anchor), pa.array(s.content)],
+                names=["id", "key", "start", "windows", "anchor", "content"],
             )
 
     return run
@@ -100,32 +100,45 @@ def _payloads(unit: Unit, places):
         marks = np.frombuffer(places.value, np.uint8)
         for batch, a, found, bounds, payload, _ in _cut(unit, batches):
             keys = np.asarray(batch.column(1))
-            place = _place_hash(keys[a + found.text], found.start)
-            s = _chosen(marks, found, place)
-            place = place[marked(marks, place, MAP_BITS)]
+            s = _chosen(marks, found, _place_hash(keys[a + found.text], found.start))
             first = bounds[s.text] + s.start
             texts = [payload(x, y) for x, y in zip(first.tolist(), (first + s.windows + unit.width - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(s.anchor), pa.array(s.content), pa.array(place), pa.array(texts, pa.binary())], names=["anchor", "content", "place", "payload"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.anchor), pa.array(s.content), pa.array(keys[a + s.text]), pa.array(s.start), pa.array(texts, pa.binary())],
+                names=["anchor", "content", "key", "start", "payload"],
+            )
 
     return run
 
 
-def _windows(unit: Unit, anchors):
-    """Single windows of the segments of very common anchors."""
-
-    def run(batches):
-        marks = np.frombuffer(anchors.value, np.uint8)
-        for batch, a, found, bounds, _, values in _cut(unit, batches):
-            s = _chosen(marks, found, found.anchor)
-            if not len(s.text):
-                continue
+def _singled(unit: Unit, batches, anchors):
+    """Single windows of the segments of very common anchors: (batch, row, start, content)."""
+    marks = np.frombuffer(anchors.value, np.uint8)
+    for batch, a, found, bounds, _, values in _cut(unit, batches):
+        s = _chosen(marks, found, found.anchor)
+        if len(s.text):
             text = np.repeat(s.text, s.windows)
-            inside = np.arange(len(text)) - np.repeat(np.cumsum(s.windows) - s.windows, s.windows)
-            start = np.repeat(s.start, s.windows) + inside
+            start = np.repeat(s.start, s.windows) + np.arange(len(text)) - np.repeat(np.cumsum(s.windows) - s.windows, s.windows)
             at = bounds[text] + start
-            content = rolling.Ranges(values).hashes(at, at + unit.width).view(np.int64)
-            rows = pa.array(a + text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(np.repeat(s.anchor, s.windows)), pa.array(content)], names=["id", "key", "start", "anchor", "content"])
+            yield batch, a + text, start, rolling.Ranges(values).hashes(at, at + unit.width).view(np.int64)
+
+
+def _window_counts(unit: Unit, anchors):
+    def run(batches):
+        for _, _, _, content in _singled(unit, batches, anchors):
+            hashes, n = np.unique(content, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["hash", "n"])
+
+    return run
+
+
+def _windows(unit: Unit, anchors, twice):
+    def run(batches):
+        marks = np.frombuffer(twice.value, np.uint8)
+        for batch, row, start, content in _singled(unit, batches, anchors):
+            take = marked(marks, content, MAP_BITS)
+            rows = pa.array(row[take])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start[take]), pa.array(content[take])], names=["id", "key", "start", "content"])
 
     return run
 
@@ -177,9 +190,9 @@ def removed_windows(rows: DataFrame, unit: Unit, index: Callable, keep_first: bo
 
     counted = rows.select("key", "text").mapInArrow(_anchors(unit), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     twice = shared(bit_map(counted.where("n > 1"), MAP_BITS))
-    found = work.save(rows.mapInArrow(_segments(unit, twice), f"id {kind}, key bigint, start bigint, windows bigint, anchor bigint, content bigint, place bigint"), "segments")
+    found = work.save(rows.mapInArrow(_segments(unit, twice), f"id {kind}, key bigint, start bigint, windows bigint, anchor bigint, content bigint"), "segments")
 
-    rank = F.struct(F.col("id").isNull(), "id", "key", "start", "place")
+    rank = F.struct(F.col("id").isNull(), "id", "key", "start")
     contents = work.save(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(rank).alias("first")), "contents")
     groups = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("n").alias("places")).where("places > 1")
     groups = work.save(groups, "groups")
@@ -187,30 +200,37 @@ def removed_windows(rows: DataFrame, unit: Unit, index: Callable, keep_first: bo
     work.drop("contents", "groups")
 
     contested = held.where(F.col("contents").between(2, MOST)).select("anchor", "content", "n", "first")
-    places = shared(bit_map(contested.select(F.col("first.place").alias("hash")), MAP_BITS))
-    texts = rows.mapInArrow(_payloads(unit, places), "anchor bigint, content bigint, place bigint, payload binary")
-    whole = texts.join(contested, ["anchor", "content"]).where("place = first.place").select("anchor", "content", "payload", "n", "first.*").drop("place")
+    places = shared(bit_map(contested.select(F.xxhash64("first.key", "first.start").alias("hash")), MAP_BITS))
+    texts = rows.mapInArrow(_payloads(unit, places), "anchor bigint, content bigint, key bigint, start bigint, payload binary")
+    whole = texts.join(contested, ["anchor", "content"]).where("key = first.key AND start = first.start").select("anchor", "content", "payload", "n", "first.*")
     dealt = whole.repartition("anchor").sortWithinPartitions("anchor")
     runs = dealt.mapInArrow(_shards(unit, index), "anchor bigint, content bigint, from bigint, to bigint")
     runs = work.save(runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
 
     every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).alias("to")))
-    here = F.col("place") == F.col("first.place") if keep_first else F.col("n") == 1
-    lines = held.where(F.col("contents") <= MOST).select("anchor", "content", "n", "first").join(runs, ["anchor", "content"], "left")
-    gone = found.join(work.save(lines, "lines"), ["anchor", "content"]).select("key", "start", F.explode(F.when(here, F.col("runs")).otherwise(every)).alias("run"))
+    here = (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start")) if keep_first else F.col("n") == 1
+    lines = held.where(F.col("contents") <= MOST).select("anchor", "content", "n", F.struct("first.key", "first.start").alias("first"))
+    lines = work.save(lines.join(runs, ["anchor", "content"], "left"), "lines")
+    gone = found.join(lines, ["anchor", "content"]).select("key", "start", F.explode(F.when(here, F.col("runs")).otherwise(every)).alias("run"))
     gone = gone.select("key", (F.col("start") + F.col("run.from")).alias("from"), (F.col("start") + F.col("run.to")).alias("to"))
 
     common = held.where(F.col("contents") > MOST).select(F.col("anchor").alias("hash")).distinct()
     if not common.isEmpty():
-        single = work.save(rows.mapInArrow(_windows(unit, shared(bit_map(common, MAP_BITS))), f"id {kind}, key bigint, start bigint, anchor bigint, content bigint"), "windows")
-        gone = gone.unionByName(_single(single, keep_first, work))
-    return work.save(gone.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")), "gone")
-
-
-def _single(single: DataFrame, keep_first: bool, work: Work) -> DataFrame:
+        gone = gone.unionByName(_common(rows, unit, shared(bit_map(common, MAP_BITS)), keep_first, work))
+    gone = work.save(gone.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")), "gone")
+    work.drop("segments", "held", "runs", "lines")
+    return gone
+
+
+def _common(rows: DataFrame, unit: Unit, anchors, keep_first: bool, work: Work) -> DataFrame:
+    """Repeated windows of very common anchors, as runs of one window: counted first, then only those seen twice are dealt out."""
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    counted = rows.select("key", "text").mapInArrow(_window_counts(unit, anchors), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    twice = spark.sparkContext.broadcast(bit_map(counted.where("n > 1"), MAP_BITS))
+    single = work.save(rows.mapInArrow(_windows(unit, anchors, twice), f"id {kind}, key bigint, start bigint, content bigint"), "windows")
     rank: Column = F.struct(F.col("id").isNull(), "id", "key", "start")
-    counted = single.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
-    more = single.join(work.save(counted, "windows-twice"), ["anchor", "content"])
+    repeated = single.groupBy("content").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
+    more = single.join(work.save(repeated.select("content", F.struct("first.key", "first.start").alias("first")), "windows-twice"), "content")
     if keep_first:
         more = more.where(~((F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))))
     return more.select("key", F.col("start").alias("from"), F.col("start").alias("to"))

@@ -94,3 +94,18 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:]) if len(out) > step else out[:0]
         have += step
     return out
+
+
+def xxhash64_of_longs(*columns: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of eight-byte values, each seeded with the hash of those before it, as Spark's xxhash64 does."""
+    p1, p2, p3, p4, p5 = (U64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    hashed = np.full(len(columns[0]), seed, np.uint64)
+    for column in columns:
+        value = column.astype(np.int64).view(np.uint64) * p2
+        value = ((value << U64(31)) | (value >> U64(33))) * p1
+        hashed = (hashed + p5 + U64(8)) ^ value
+        hashed = ((hashed << U64(27)) | (hashed >> U64(37))) * p1 + p4
+        hashed = (hashed ^ (hashed >> U64(33))) * p2
+        hashed = (hashed ^ (hashed >> U64(29))) * p3
+        hashed = hashed ^ (hashed >> U64(32))
+    return hashed
