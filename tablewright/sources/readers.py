@@ -22,7 +22,7 @@ SUPPORTED = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc", "
 ORDER = "_ord"
 UTF8, WINDOWS, LATIN = "utf-8", "windows-1252", "latin-1"
 
-INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER = r"^\s*[+-]?\d+\s*$"
 DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -152,7 +152,8 @@ def infer_types(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Whole columns of integers, decimals or booleans get their type.
 
     One aggregate over all text columns (melted, so it is one small set of
-    measures); dates and mixed columns stay text.  Leading zeros are lost, as
+    measures); dates and mixed columns stay text, and so do whole numbers beyond
+    64 bits, which no type here would keep to the last digit.  Leading zeros are lost, as
     they are for any reader that infers numbers.
     """
     cols = [c for c in string_columns(df) if c not in skip]
@@ -163,6 +164,7 @@ def infer_types(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
         r["no"]: r
         for r in df.select(F.inline(pairs)).where("v is not null").groupBy("no").agg(
             F.bool_and(F.col("v").rlike(INTEGER)).alias("integer"),
+            F.bool_and(trim_all(F.col("v")).try_cast("bigint").isNotNull()).alias("fits"),
             F.bool_and(F.col("v").rlike(DECIMAL)).alias("decimal"),
             F.bool_and(F.col("v").isin(*BOOLEAN)).alias("boolean"),
         ).collect()
@@ -172,6 +174,8 @@ def infer_types(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
         r = found.get(i)
         if r is None:
             continue
+        if r["integer"] and not r["fits"]:
+            continue
         kind = "bigint" if r["integer"] else "double" if r["decimal"] else "boolean" if r["boolean"] else None
         if kind:
             typed[c] = trim_all(quoted(c)).try_cast(kind)

@@ -203,3 +203,10 @@ def test_scratch_tables_can_be_cleared(spark, tmp_path):
     assert df.count() == 3 and tw.clear_scratch(spark) == 1
     assert not any(session.path_exists(spark, p.removeprefix("file:")) for p in df.inputFiles())
     session._written.extend(before)
+
+
+def test_wide_integers_keep_their_digits(spark):
+    rows = [("1234567890123456789", "12345678901234567890", "7"), ("1234567890123456788", "3", "2.5")]
+    out = readers.infer_types(spark.createDataFrame(rows, "a string, b string, c string"))
+    assert dict(out.dtypes) == {"a": "bigint", "b": "string", "c": "double"}
+    assert {r.a for r in out.collect()} == {1234567890123456789, 1234567890123456788}
