@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import tablewright as tw
 from tablewright.config import CleanConfig
 from tablewright.functions import dates, numbers, text
+from tablewright.functions import fixed_values as fv
 from tablewright.operators import combine, profile
 from tablewright.plans.clean import read_dates
 from tablewright.session import materialise, scratch_path
@@ -536,6 +537,19 @@ def text_smart_title_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.smart_title(F.col("text")).alias("text"))
 
 
+LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@query("text_smart_title_words", f"""
+    SELECT doc_id, array_to_string(list_transform(string_split(words, ' '), lambda w:
+        CASE WHEN list_contains({list(fv.ACRONYMS)}, upper(w)) THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') AS text
+    FROM (SELECT doc_id, trim(regexp_replace(translate(text, '{LETTERS[0]}', '{LETTERS[1]}'), '[^a-z]+', ' ', 'g')) AS words FROM documents)""")
+def text_smart_title_words(spark, sf):
+    """Whole documents, folded to words of plain letters first."""
+    words = F.trim(F.regexp_replace(F.translate("text", *LETTERS), "[^a-z]+", " "))
+    return table(spark, sf, "documents").select("doc_id", text.smart_title(words).alias("text"))
+
+
 # ------------------------------------------------------------ joins
 
 

@@ -105,8 +105,7 @@ class CleanConfig:
 
     ``exempt`` columns (provenance) are touched by no rule and never compared.
     ``match`` is ``"word"`` or ``"substring"`` and governs all name tests.
-    ``sample_rows`` limits detection to the first known values of a column in
-    table order; by default shares are taken over the whole column.
+    Detection takes its shares over the whole column.
     """
 
     missing: MissingConfig = field(default_factory=MissingConfig)
@@ -117,27 +116,26 @@ class CleanConfig:
     formatting: OutputConfig = field(default_factory=OutputConfig)
     exempt: tuple[str, ...] = ()
     match: str = "word"
-    sample_rows: int | None = None
 
     @classmethod
     def from_dict(cls, values: Mapping[str, Any] | None = None) -> "CleanConfig":
         """Section-wise shallow merge over the defaults; unknown sections are ignored."""
         values = values or {}
         parts = {name: _section(c, values.get(name)) for name, c in _SECTIONS.items()}
-        extra = {k: values[k] for k in ("exempt", "match", "sample_rows") if k in values}
+        extra = {k: values[k] for k in ("exempt", "match") if k in values}
         if "exempt" in extra:
             extra["exempt"] = tuple(extra["exempt"])
         return cls(**parts, **extra)
 
     @classmethod
     def from_yaml(cls, path: str) -> "CleanConfig":
-        """Read a YAML file; an unreadable or missing file means the defaults."""
-        try:
-            import yaml
+        """Read a YAML file; an unreadable or missing file means the defaults, a missing YAML package is an error."""
+        import yaml
 
+        try:
             with open(path, encoding="utf-8") as handle:
                 return cls.from_dict(yaml.safe_load(handle))
-        except (ImportError, OSError, ValueError):
+        except (OSError, ValueError):
             return cls()
         except Exception as error:  # a malformed document, whatever yaml calls it
             if type(error).__module__.startswith("yaml"):

@@ -24,6 +24,8 @@ from tablewright.operators.order import (
     with_buckets,
 )
 
+CARRY = "_carry_"  # prefix of all helper columns
+
 
 def carry_fill(
     df: DataFrame,
@@ -86,51 +88,51 @@ def _carry_table(b: Bucketed, how: Mapping[str, str], group: Sequence[str]) -> D
     """Per bucket: rows before it, and the nearest known values outside it.
 
     At most two rows per bucket (and one more per table), hence safe to sort in
-    one task and broadcast.
+    one task.  Values may be long texts: whether the table is broadcast is left to its measured size.
     """
     place = [BUCKET, *group]
     key = key_struct(b.leaves)
     lines = [c for c, h in how.items() if h == "interpolate"]
-    measures = [F.count("*").alias("rows")]
+    measures = [F.count("*").alias(f"{CARRY}rows")]
     for i, c in enumerate(how):
         known = F.when(quoted(c).isNotNull(), key)
-        measures += [F.min_by(quoted(c), known).alias(f"first{i}"), F.max_by(quoted(c), known).alias(f"last{i}")]
+        measures += [F.min_by(quoted(c), known).alias(f"{CARRY}first{i}"), F.max_by(quoted(c), known).alias(f"{CARRY}last{i}")]
         if c in lines:
-            measures += [F.min(known).alias(f"firstkey{i}"), F.max(known).alias(f"lastkey{i}")]
+            measures += [F.min(known).alias(f"{CARRY}firstkey{i}"), F.max(known).alias(f"{CARRY}lastkey{i}")]
     summary = b.df.groupBy(*place).agg(*measures)
 
     if lines:
         # where the outermost known values stand inside their bucket
-        keyed = b.df.join(F.broadcast(summary.drop("rows")), place)
         index = {c: i for i, c in enumerate(how)}
+        keyed = b.df.join(F.broadcast(summary.select(*place, *[f"{CARRY}{k}key{index[c]}" for k in ("first", "last") for c in lines])), place)
         gaps = keyed.groupBy(*place).agg(
-            *[F.count_if(key < F.col(f"firstkey{index[c]}")).alias(f"lead{index[c]}") for c in lines],
-            *[F.count_if(key > F.col(f"lastkey{index[c]}")).alias(f"trail{index[c]}") for c in lines],
+            *[F.count_if(key < F.col(f"{CARRY}firstkey{index[c]}")).alias(f"{CARRY}lead{index[c]}") for c in lines],
+            *[F.count_if(key > F.col(f"{CARRY}lastkey{index[c]}")).alias(f"{CARRY}trail{index[c]}") for c in lines],
         )
-        summary = summary.join(F.broadcast(gaps), place)
+        summary = summary.join(gaps, place)
 
     tables = Window.partitionBy(*group)
     back = tables.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     ahead = tables.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("rows").over(back), F.lit(0))
-    cols = [*map(F.col, place), start.alias("start")]
+    start = F.coalesce(F.sum(f"{CARRY}rows").over(back), F.lit(0))
+    cols = [*map(F.col, place), start.alias(f"{CARRY}start")]
     for i, c in enumerate(how):
         cols += [
-            F.last(f"last{i}", ignorenulls=True).over(back).alias(f"prev{i}"),
-            F.last(f"first{i}", ignorenulls=True).over(ahead).alias(f"next{i}"),
+            F.last(f"{CARRY}last{i}", ignorenulls=True).over(back).alias(f"{CARRY}prev{i}"),
+            F.last(f"{CARRY}first{i}", ignorenulls=True).over(ahead).alias(f"{CARRY}next{i}"),
         ]
         if c in lines:
-            known = F.col(f"last{i}").isNotNull()
-            last_at = F.when(known, start + F.col("rows") - F.col(f"trail{i}"))
-            first_at = F.when(known, start + F.col(f"lead{i}") + 1)
-            cols += [last_at.alias(f"lastat{i}"), first_at.alias(f"firstat{i}")]
+            known = F.col(f"{CARRY}last{i}").isNotNull()
+            last_at = F.when(known, start + F.col(f"{CARRY}rows") - F.col(f"{CARRY}trail{i}"))
+            first_at = F.when(known, start + F.col(f"{CARRY}lead{i}") + 1)
+            cols += [last_at.alias(f"{CARRY}lastat{i}"), first_at.alias(f"{CARRY}firstat{i}")]
     carried = summary.select(*cols)
     for i, c in enumerate(how):
         if c in lines:
             carried = carried.withColumns({
-                f"prevat{i}": F.last(f"lastat{i}", ignorenulls=True).over(back),
-                f"nextat{i}": F.last(f"firstat{i}", ignorenulls=True).over(ahead),
-            }).drop(f"lastat{i}", f"firstat{i}")
+                f"{CARRY}prevat{i}": F.last(f"{CARRY}lastat{i}", ignorenulls=True).over(back),
+                f"{CARRY}nextat{i}": F.last(f"{CARRY}firstat{i}", ignorenulls=True).over(ahead),
+            }).drop(f"{CARRY}lastat{i}", f"{CARRY}firstat{i}")
     return carried
 
 
@@ -150,22 +152,22 @@ def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFr
 
     work = df
     if "interpolate" in how.values():
-        work = work.withColumn("_n", F.row_number().over(upward))
+        work = work.withColumn(f"{CARRY}n", F.row_number().over(upward))
     near = {}
     for i, (c, h) in enumerate(how.items()):
         value = quoted(c)
         if h in ("ffill", "interpolate"):
-            near[f"_prev{i}"] = F.last(value, ignorenulls=True).over(back)
+            near[f"{CARRY}own_prev{i}"] = F.last(value, ignorenulls=True).over(back)
         if h in ("bfill", "interpolate"):
-            near[f"_next{i}"] = F.last(value, ignorenulls=True).over(ahead)
+            near[f"{CARRY}own_next{i}"] = F.last(value, ignorenulls=True).over(ahead)
         if h == "interpolate":
-            at = F.when(value.isNotNull(), F.col("_n"))
-            near[f"_prevat{i}"] = F.last(at, ignorenulls=True).over(back)
-            near[f"_nextat{i}"] = F.last(at, ignorenulls=True).over(ahead)
+            at = F.when(value.isNotNull(), F.col(f"{CARRY}n"))
+            near[f"{CARRY}own_prevat{i}"] = F.last(at, ignorenulls=True).over(back)
+            near[f"{CARRY}own_nextat{i}"] = F.last(at, ignorenulls=True).over(ahead)
     work = work.withColumns(near)
     if carry is not None:
-        work = work.join(F.broadcast(carry), [BUCKET, *group], "left")
-    start = F.lit(0) if carry is None else F.col("start")
+        work = work.join(carry, [BUCKET, *group], "left")
+    start = F.lit(0) if carry is None else F.col(f"{CARRY}start")
 
     def known(inside: Column, outside: str) -> Column:
         return inside if carry is None else F.coalesce(inside, F.col(outside))
@@ -173,16 +175,16 @@ def _fill_cold(df: DataFrame, b: Bucketed, how: Mapping[str, str], carry: DataFr
     filled = {}
     for i, (c, h) in enumerate(how.items()):
         if h == "ffill":
-            filled[c] = known(F.col(f"_prev{i}"), f"prev{i}")
+            filled[c] = known(F.col(f"{CARRY}own_prev{i}"), f"{CARRY}prev{i}")
         elif h == "bfill":
-            filled[c] = known(F.col(f"_next{i}"), f"next{i}")
+            filled[c] = known(F.col(f"{CARRY}own_next{i}"), f"{CARRY}next{i}")
         else:
             filled[c] = _line(
-                quoted(c).cast("double"), start + F.col("_n"),
-                known(F.col(f"_prev{i}"), f"prev{i}").cast("double"),
-                known(start + F.col(f"_prevat{i}"), f"prevat{i}"),
-                known(F.col(f"_next{i}"), f"next{i}").cast("double"),
-                known(start + F.col(f"_nextat{i}"), f"nextat{i}"),
+                quoted(c).cast("double"), start + F.col(f"{CARRY}n"),
+                known(F.col(f"{CARRY}own_prev{i}"), f"{CARRY}prev{i}").cast("double"),
+                known(start + F.col(f"{CARRY}own_prevat{i}"), f"{CARRY}prevat{i}"),
+                known(F.col(f"{CARRY}own_next{i}"), f"{CARRY}next{i}").cast("double"),
+                known(start + F.col(f"{CARRY}own_nextat{i}"), f"{CARRY}nextat{i}"),
             )
     return work.select(*[filled[n].alias(n) if n in filled else quoted(n) for n in names])
 
@@ -194,17 +196,17 @@ def _fill_hot(df: DataFrame, how: Mapping[str, str], carry: DataFrame, names: Se
     the copies are counted, then laid out again with their positions.
     """
     if "interpolate" in how.values():
-        df = df.groupBy(*[quoted(n) for n in names], F.col(BUCKET)).agg(F.count("*").alias("_copies"))
-        df = expand_copies(df, "_copies", "_n")
-    work = df.join(F.broadcast(carry), [BUCKET, *group], "left")
+        df = df.groupBy(*[quoted(n) for n in names], F.col(BUCKET)).agg(F.count("*").alias(f"{CARRY}copies"))
+        df = expand_copies(df, f"{CARRY}copies", f"{CARRY}n")
+    work = df.join(carry, [BUCKET, *group], "left")
     filled = {}
     for i, (c, h) in enumerate(how.items()):
         if h == "interpolate":
             filled[c] = _line(
-                quoted(c).cast("double"), F.col("start") + F.col("_n") + 1,
-                F.col(f"prev{i}").cast("double"), F.col(f"prevat{i}"),
-                F.col(f"next{i}").cast("double"), F.col(f"nextat{i}"),
+                quoted(c).cast("double"), F.col(f"{CARRY}start") + F.col(f"{CARRY}n") + 1,
+                F.col(f"{CARRY}prev{i}").cast("double"), F.col(f"{CARRY}prevat{i}"),
+                F.col(f"{CARRY}next{i}").cast("double"), F.col(f"{CARRY}nextat{i}"),
             )
         else:
-            filled[c] = F.coalesce(quoted(c), F.col(f"prev{i}" if h == "ffill" else f"next{i}"))
+            filled[c] = F.coalesce(quoted(c), F.col(f"{CARRY}prev{i}" if h == "ffill" else f"{CARRY}next{i}"))
     return work.select(*[filled[n].alias(n) if n in filled else quoted(n) for n in names])

@@ -16,6 +16,7 @@ from tablewright.session import materialise, scratch_path
 
 FILE_NO = "_file_no"
 SIGNATURE = "_signature"
+MOST_HOT = 1 << 16  # a key is frequent only above this part of all rows
 
 Tables = Mapping[str, DataFrame]
 
@@ -166,15 +167,37 @@ class JoinResult:
     orphans: DataFrame  # right rows without a left partner
 
 
-def key_counts(df: DataFrame, key: str) -> DataFrame:
-    """(k, n): one row per key, counted where the rows are read."""
-    return df.groupBy(quoted(key).alias("k")).agg(F.count("*").alias("n"))
+def key_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(k, n, m): one line per key with its rows on the left and on the right, counted where the rows are read."""
+    n = left.groupBy(quoted(key).alias("_left")).agg(F.count("*").alias("n"))
+    m = right.groupBy(quoted(key).alias("_right")).agg(F.count("*").alias("m"))
+    zero = F.lit(0).cast("bigint")
+    return n.join(m, F.col("_left").eqNullSafe(F.col("_right")), "full").select(
+        F.coalesce("_left", "_right").alias("k"), F.coalesce("n", zero).alias("n"), F.coalesce("m", zero).alias("m")
+    )
+
+
+def frequent_keys(counts: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(_hot, _lefts, _rights) of the keys with more than ``hot_rows`` rows on a side, or None without any.
+
+    ``_lefts`` and ``_rights`` say over how many shares the rows of a side are dealt; zero means no row.
+    A null key meets nothing, so it has no share on the right.  A key must also hold more than one in
+    ``MOST_HOT`` of all rows: this bounds the lines that are broadcast, and what is left to the
+    plain join is at most that part of the table per key.
+    """
+    m = F.when(F.col("k").isNotNull(), F.col("m")).otherwise(0)
+    rows, top = counts.agg(F.sum(F.col("n") + m), F.max(F.greatest("n", m))).first()
+    least = max(hot_rows, (rows or 0) / MOST_HOT)
+    if (top or 0) <= least:
+        return None
+    shares = [F.ceil(side / F.lit(hot_rows)).alias(name) for side, name in ((F.col("n"), "_lefts"), (m, "_rights"))]
+    return counts.where(F.greatest("n", m) > least).select(F.col("k").alias("_hot"), *shares)
 
 
-def frequent_keys(counts: DataFrame, hot_rows: int, hot_keys: int = 1024) -> list:
-    """The keys (null included) with more than ``hot_rows`` rows, at most ``hot_keys``."""
-    top = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n")).select("k").limit(hot_keys)
-    return [r["k"] for r in top.collect()]
+def _share(df: DataFrame, of: str) -> Column:
+    """A share of the row that is the same when its task runs again: task number and values hashed."""
+    plain = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.col(of))
 
 
 def join_stage(
@@ -182,37 +205,35 @@ def join_stage(
     right_name: str,
     right: DataFrame,
     key: str,
-    counts: DataFrame | None = None,
-    hot_rows: int = 1_000_000,
-    salts: int = 64,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """left ⟕ right on one key; null keys meet null keys, clashing names get a suffix.
+    """left ⟕ right on one key; null keys stay unmatched, clashing names get a suffix.
 
     The strategy of the plain join is left to Spark: a right side that is small
-    when measured is broadcast, otherwise both sides are shuffled.  Left keys with
-    more than ``hot_rows`` rows (``counts`` as of :func:`key_counts`) are joined
-    apart: their rows are dealt out over ``salts`` tasks and the right rows of just
-    these keys are repeated once per salt.  The salt is the number of the task that
-    reads the row, so it is the same when that task runs again.
+    when measured is broadcast, otherwise both sides are shuffled.  Rows of the keys in
+    ``hot`` (as of :func:`frequent_keys`) are joined apart.  Without a partner they need no join;
+    with one, the left rows are dealt over their shares and repeated for each share of the
+    right side, and the other way round, so every pair meets once in a task of its own.
     """
     names = joined_columns(left.columns, right_name, right.columns, key)
-    renamed = right.select(quoted(key).alias("_right_key"), *[quoted(o).alias(n) for o, n in names.items()])
-    same = quoted(key).eqNullSafe(F.col("_right_key"))
-    hot = frequent_keys(counts, hot_rows) if counts is not None else []
-    if not hot:
+    renamed = right.where(quoted(key).isNotNull()).select(quoted(key).alias("_right_key"), *[quoted(o).alias(n) for o, n in names.items()])
+    same = quoted(key) == F.col("_right_key")
+    if hot is None:
         return left.join(renamed, same, "left").drop("_right_key")
 
-    def is_hot(c: Column) -> Column:
-        named = F.coalesce(c.isin(*[k for k in hot if k is not None]), F.lit(False)) if set(hot) - {None} else F.lit(False)
-        return named | c.isNull() if None in hot else named
-
-    plain = left.where(~is_hot(quoted(key))).join(renamed.where(~is_hot(F.col("_right_key"))), same, "left")
-    dealt = left.where(is_hot(quoted(key))).withColumn("_salt", F.spark_partition_id() % salts)
-    repeated = renamed.where(is_hot(F.col("_right_key"))).withColumn(
-        "_right_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    lines = F.broadcast(hot)  # at most 2 * MOST_HOT lines
+    tell = ("_hot", "_lefts", "_rights")
+    left_marked = left.join(lines, quoted(key).eqNullSafe(F.col("_hot")), "left")
+    right_marked = renamed.join(lines, F.col("_right_key") == F.col("_hot"), "left")
+    plain = left_marked.where("_rights IS NULL").drop(*tell).join(right_marked.where("_lefts IS NULL").drop(*tell), same, "left").drop("_right_key")
+    alone = left_marked.where("_rights = 0").drop(*tell).select(
+        "*", *[F.lit(None).cast(renamed.schema[n].dataType).alias(n) for n in names.values()]
     )
-    salted = dealt.join(repeated, same & (F.col("_salt") == F.col("_right_salt")), "left")
-    return plain.unionByName(salted.drop("_salt", "_right_salt")).drop("_right_key")
+    numbers = [F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)) for c in ("_rights", "_lefts")]
+    dealt = left_marked.where("_rights > 0").withColumn("_a", _share(left, "_lefts")).withColumn("_b", numbers[0]).drop(*tell)
+    spread = right_marked.where("_lefts > 0").withColumn("_y", _share(renamed, "_rights")).withColumn("_x", numbers[1]).drop(*tell)
+    pairs = dealt.join(spread, same & (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))).drop("_a", "_b", "_x", "_y", "_right_key")
+    return plain.unionByName(alone).unionByName(pairs)
 
 
 def stage_rates(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
@@ -221,13 +242,12 @@ def stage_rates(left: DataFrame, right: DataFrame, key: str, counts: DataFrame |
     Null keys count as unmatched.  Both sides are reduced to one row per key
     before they meet, so neither a frequent key nor a wide row is shuffled.
     """
-    known = right.select(quoted(key).alias("k")).where("k is not null").distinct().withColumn("hit", F.lit(True))
-    counts = key_counts(left, key) if counts is None else counts
+    counts = key_counts(left, right, key) if counts is None else counts
+    zero = F.lit(0).cast("bigint")
     return (
-        counts.join(known, "k", "left")
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("left_rows"),
-            F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched_rows"),
+        counts.agg(
+            F.coalesce(F.sum("n"), zero).alias("left_rows"),
+            F.coalesce(F.sum(F.when((F.col("m") > 0) & F.col("k").isNotNull(), F.col("n"))), zero).alias("matched_rows"),
         )
         .select(
             "left_rows", "matched_rows",
@@ -240,17 +260,23 @@ def stage_rates(left: DataFrame, right: DataFrame, key: str, counts: DataFrame |
 
 def find_orphans(
     left: DataFrame, left_name: str, right: DataFrame, right_name: str, key: str, stage: int,
-    counts: DataFrame | None = None,
+    counts: DataFrame | None = None, hot: DataFrame | None = None,
 ) -> DataFrame:
     """Right rows whose key is not among the left keys, with stage, origin and reason.
 
     Rows with a null key are always orphans; they are filtered out on the spot
-    instead of being sent to the one partition that nulls hash to.
+    instead of being sent to the one partition that nulls hash to.  The keys in ``hot`` are
+    decided by a broadcast of their lines, without moving their rows.
     """
-    counts = key_counts(left, key) if counts is None else counts
-    keys = counts.where("k is not null").select(F.col("k").alias("_k"))
-    named = right.where(quoted(key).isNotNull()).join(keys, quoted(key) == F.col("_k"), "left_anti")
+    counts = key_counts(left, right, key) if counts is None else counts
+    keys = counts.where("k IS NOT NULL AND n > 0").select(F.col("k").alias("_k"))
+    known = right.where(quoted(key).isNotNull())
     unnamed = right.where(quoted(key).isNull())
+    if hot is not None:
+        marked = known.join(F.broadcast(hot.select("_hot", "_lefts")), quoted(key) == F.col("_hot"), "left")
+        unnamed = unnamed.unionByName(marked.where("_lefts = 0").drop("_hot", "_lefts"))
+        known = marked.where("_lefts IS NULL").drop("_hot", "_lefts")
+    named = known.join(keys, quoted(key) == F.col("_k"), "left_anti")
     before, after = fv.REASON_ORPHAN.format(key=key, value="\0", left=left_name).split("\0")
     reason = F.concat(F.lit(before), F.coalesce(quoted(key).cast("string"), F.lit(fv.EMPTY_KEY)), F.lit(after))
     return named.unionByName(unnamed).select(
@@ -264,7 +290,7 @@ def join_chain(
 ) -> JoinResult:
     """Chained left join with match rates and orphan rows per stage.
 
-    The left keys of a stage are counted once, into a table with one line per key
+    The keys of both sides of a stage are counted once, into a table with one line per key
     that serves the search for frequent keys, the rate and the orphans.  With
     ``cut_lineage`` that table and the intermediate results are written once.
     """
@@ -276,17 +302,18 @@ def join_chain(
         left_name = items[0][0].rsplit("/", 1)[-1] if no == 1 else fv.JOINED_NAME
         path, right = items[no]
         right_name = path.rsplit("/", 1)[-1]
-        counts = key_counts(joined, key)
+        counts = key_counts(joined, right, key)
         if cut_lineage:
             counts = materialise(counts, "keys")
+        hot = frequent_keys(counts, hot_rows)
         rate = stage_rates(joined, right, key, counts).select(
             F.lit(no).alias("stage"), F.lit(left_name).alias("left_name"), F.lit(right_name).alias("right_name"),
             F.lit(key).alias("key"), "*",
         )
-        lost = find_orphans(joined, left_name, right, right_name, key, no, counts)
+        lost = find_orphans(joined, left_name, right, right_name, key, no, counts, hot)
         stages = rate if stages is None else stages.unionByName(rate)
         orphans = lost if orphans is None else _union_wide(orphans, lost)
-        joined = join_stage(joined, right_name, right, key, counts, hot_rows)
+        joined = join_stage(joined, right_name, right, key, hot)
         if cut_lineage and no < len(keys):
             joined = materialise(joined, "joined")
     return JoinResult(joined, stages, orphans)
@@ -305,23 +332,20 @@ def _union_wide(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- append
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_rows: int = 1_000_000, hot_keys: int = 1024) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_rows: int = 1_000_000) -> DataFrame:
     """Left join of ``rows`` to a table with one line per key, safe for frequent keys.
 
-    ``weight`` holds how many rows a key has.  Keys above ``hot_rows`` (at most
-    ``hot_keys`` of them, the most frequent) are looked up in a broadcast of just
-    those lines, without moving their rows; all other keys are shuffled.
+    ``weight`` holds how many rows a key has.  Keys above ``hot_rows`` and above one in ``MOST_HOT`` of
+    all rows are looked up in a broadcast of just those lines (fewer than ``MOST_HOT``), without
+    moving their rows; all other keys are shuffled.
     """
-    hot = [
-        r[key] for r in table.where(F.col(weight) > hot_rows).orderBy(F.desc(weight)).select(key).limit(hot_keys).collect()
-    ]
-    if not hot:
+    total, top = table.agg(F.sum(weight), F.max(weight)).first()
+    least = max(hot_rows, (total or 0) / MOST_HOT)
+    if (top or 0) <= least:
         return rows.join(table, key, "left")
-    frequent = F.col(key).isin(*hot)
-    return (
-        rows.where(frequent).join(F.broadcast(table.where(frequent)), key, "left")
-        .unionByName(rows.where(~frequent).join(table.where(~frequent), key, "left"))
-    )
+    hot = table.where(F.col(weight) > least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= least), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def classify_new(

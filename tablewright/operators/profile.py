@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tablewright.config import CleanConfig, DateConfig, NumberConfig
 from tablewright.functions import dates, fixed_values as fv, numbers
 from tablewright.functions.names import name_matches
-from tablewright.operators.order import order_key, quoted
+from tablewright.operators.order import quoted
 
 COLUMNS_PER_PASS = 100
 
@@ -175,32 +175,15 @@ def is_date_candidate(name: str, m: Mapping[str, object], cfg: DateConfig, match
     return name_matches(name, fv.DATE_NAMES, match) or m["date"] > 0.5
 
 
-def first_values(df: DataFrame, cols: Sequence[str], n: int, order_by: Sequence[str] | None) -> DataFrame:
-    """The first ``n`` known values of each column in table order, as one row per
-    value with nulls elsewhere (O1).  Each part is a distributed top-n."""
-    leaves = order_key(df, order_by)
-    parts = []
-    for c in cols:
-        head = df.where(quoted(c).isNotNull()).orderBy(*[k.asc_nulls_first() for k in leaves]).limit(n)
-        parts.append(head.select(quoted(c).alias(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
 def shape_profile(
     df: DataFrame,
     cols: Sequence[str],
     by: str | None = None,
-    sample_rows: int | None = None,
-    order_by: Sequence[str] | None = None,
 ) -> dict:
     """Shape shares and date evidence of text columns, per group of ``by`` if given;
     groups without any text value are left out.
 
-    One pass over the text columns.  By default the whole column counts;
-    ``sample_rows`` takes the shares from its first values only.
+    One pass over the text columns; the whole column counts.
     """
     if not cols:
         return {}
@@ -216,9 +199,6 @@ def shape_profile(
         return out
 
     full = run(df, by)
-    if sample_rows and not by:
-        for c, m in run(first_values(df, cols, sample_rows, order_by), None)[None].items():
-            full[None][c].update({k: m[k] for k in ("stripped_numeric", "currency", "percent", "numeric", "date")})
     return {g: {c: {**_EMPTY, **found.get(c, {})} for c in cols} for g, found in full.items()}
 
 
@@ -249,7 +229,7 @@ def detect_columns(df: DataFrame, cfg: CleanConfig | None = None, order_by: Sequ
     cols = [c for c in string_columns(df) if c not in cfg.exempt]
     if not cols:
         return Detected({}, (), {})
-    found = shape_profile(df, cols, sample_rows=cfg.sample_rows, order_by=order_by)
+    found = shape_profile(df, cols)
     return decide(cols, found[None], cfg)
 
 

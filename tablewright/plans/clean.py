@@ -63,7 +63,7 @@ def plan_and_parse(
     columns = tuple(c for c in df.columns if c not in hidden)
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c in columns and c not in cfg.exempt]
-    shapes = profile.shape_profile(df, texts, by, cfg.sample_rows, order_by) or ({} if by else {None: {}})
+    shapes = profile.shape_profile(df, texts, by) or ({} if by else {None: {}})
     plans, parsed = _plan_parsing(df, shapes, texts, columns, cfg, by)
     plans = _plan_fills(parsed, plans, by, cfg)
     return _plan_text(plans, texts, shapes, cfg), parsed
@@ -74,7 +74,7 @@ def read_dates(df: DataFrame, cfg: CleanConfig, order_by: Sequence[str] | None =
     cfg = cfg.with_(number={"auto_detect": False, "number_columns": (), "currency_columns": (), "percent_columns": ()})
     df = profile.nan_to_null(df)
     texts = [c for c in profile.string_columns(df) if c not in cfg.exempt]
-    shapes = profile.shape_profile(df, texts, None, cfg.sample_rows, order_by) or {None: {}}
+    shapes = profile.shape_profile(df, texts, None) or {None: {}}
     return _plan_parsing(df, shapes, texts, tuple(df.columns), cfg, None)[1]
 
 

@@ -85,13 +85,14 @@ def test_orphan_columns(frame):
     assert result.orphans.columns == ["ID", "Total", "Tahap", "File Asal", "Alasan"]
 
 
-def test_null_keys_meet_but_count_as_unmatched_orphans(frame):
-    left = frame("k int, a string", [(1, "x"), (None, "y")])
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_null_keys_meet_nothing(frame, hot_rows):
+    left = frame("k int, a string", [(1, "x"), (None, "y"), (None, "z")])
     right = frame("k int, b string", [(1, "p"), (None, "q"), (None, "r")])
-    result = tw.join_chain({"left": left, "right": right}, "k")
-    assert sorted((r["a"], r["b"]) for r in result.data.collect()) == [("x", "p"), ("y", "q"), ("y", "r")]
-    assert tuple(result.stages.select("left_rows", "matched_rows", "match_rate").first()) == (2, 1, 50.0)
-    assert values(result.orphans.select("b", "Alasan")) == [("q", "k <kosong> tidak ditemukan di left"), ("r", "k <kosong> tidak ditemukan di left")]
+    result = tw.join_chain({"left": left, "right": right}, "k", hot_rows=hot_rows)
+    assert sorted((r["a"], r["b"] or "") for r in result.data.collect()) == [("x", "p"), ("y", ""), ("z", "")]
+    assert tuple(result.stages.select("left_rows", "matched_rows", "match_rate").first()) == (3, 1, 33.33)
+    assert sorted(r["b"] for r in result.orphans.select("b").collect()) == ["q", "r"]
 
 
 def test_empty_left_has_rate_zero(frame):
@@ -392,15 +393,22 @@ def test_modes_and_constants_per_file(frame):
 
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])
 def test_join_with_keys_that_hold_a_third_of_the_rows(spark, hot_rows):
-    rows = [(7, i) for i in range(60)] + [(None, i) for i in range(60)] + [(i, i) for i in range(60)]
+    rows = [(7, i) for i in range(60)] + [(None, i) for i in range(60)] + [(8, i) for i in range(20)] + [(i, i) for i in range(60)]
     left = spark.createDataFrame(rows, "k int, a int").repartition(6)
-    right = spark.createDataFrame([(7, "x"), (7, "y"), (None, "n"), (3, "z")], "k int, b string")
+    others = [(7, "x"), (7, "y"), (None, "n"), (3, "z")] + [(5, f"m{i}") for i in range(40)] + [(99, f"o{i}") for i in range(40)]
+    right = spark.createDataFrame(others, "k int, b string").repartition(3)
     result = tw.join_chain({"l": left, "r": right}, "k", hot_rows=hot_rows)
-    partners = {7: ["x", "y"], None: ["n"], 3: ["z"]}
-    want = sorted(str((k, a, b)) for k, a in rows for b in partners.get(k, [None]))
+    want = sorted(str((k, a, b)) for k, a in rows for b in ([y for x, y in others if k is not None and x == k] or [None]))
     assert sorted(str((r["k"], r["a"], r["b"])) for r in result.data.collect()) == want
-    assert tuple(result.stages.select("left_rows", "matched_rows").first()) == (180, 62)
-    assert [r["b"] for r in result.orphans.collect()] == ["n"]
+    assert tuple(result.stages.select("left_rows", "matched_rows").first()) == (200, 63)
+    assert sorted(r["b"] for r in result.orphans.collect()) == sorted(b for k, b in others if k in (None, 99))
+
+
+def test_more_frequent_keys_than_any_list(spark):
+    left = spark.range(6000).selectExpr("id % 2000 AS k", "id AS a")
+    right = spark.range(4000).selectExpr("id % 2000 AS k", "id AS b")
+    result = tw.join_chain({"l": left, "r": right}, "k", hot_rows=1)
+    assert (result.data.count(), result.data.select("a", "b").distinct().count(), result.orphans.count()) == (12000, 12000, 0)
 
 
 def test_order_based_fills_stay_inside_their_file(frame):

@@ -219,3 +219,12 @@ def test_text_falls_back_to_the_constant(frame):
     out = tw.clean(df, missing(text_strategy="ffill"), order_by=["i"]).data
     assert [r["v"] for r in out.orderBy("i").collect()] == ["Unknown", "a", "a"]
     assert [r["v"] for r in tw.fill_backward(df, ["v"], ["i"], fallback="-").orderBy("i").collect()] == ["a", "a", "-"]
+
+
+def test_columns_named_like_helpers(spark):
+    rows = [(i, i * 10, f"p{i}", None if i % 4 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, start int, prev0 string, rows double").repartition(4)
+    out = tw.fill_forward(df, ["rows"], ["i"], rows_per_bucket=7).orderBy("i").collect()
+    assert [tuple(r) for r in out] == [(i, s, p, float(i - i % 4)) for i, s, p, _ in rows]
+    line = tw.interpolate_linear(df, ["rows"], ["i"], rows_per_bucket=7).orderBy("i").collect()
+    assert [r["rows"] for r in line] == [float(min(i, 36)) for i in range(40)]
