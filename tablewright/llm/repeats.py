@@ -7,7 +7,8 @@
    The text of one occurrence of each goes to a shard, whole anchors together, and an index of the shard
    (given by the caller) tells which windows of each content are repeated.
 4. An anchor of more than ``MOST`` contents (a passage in a great part of all documents)
-   is no longer kept together: its windows are dealt out and counted one by one.
+   is no longer kept together: the windows of its contents are dealt out and counted one by one,
+   each content once, however many copies it has.
 
 Bit maps only spare shuffles: what they let through is matched exactly afterwards.
 Documents are named by a 64-bit digest of id and text.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import rolling
@@ -111,34 +112,44 @@ def _payloads(unit: Unit, places):
     return run
 
 
-def _singled(unit: Unit, batches, anchors):
-    """Single windows of the segments of very common anchors: (batch, row, start, content)."""
-    marks = np.frombuffer(anchors.value, np.uint8)
-    for batch, a, found, bounds, _, values in _cut(unit, batches):
-        s = _chosen(marks, found, found.anchor)
-        if len(s.text):
-            text = np.repeat(s.text, s.windows)
-            start = np.repeat(s.start, s.windows) + np.arange(len(text)) - np.repeat(np.cumsum(s.windows) - s.windows, s.windows)
-            at = bounds[text] + start
-            yield batch, a + text, start, rolling.Ranges(values).hashes(at, at + unit.width).view(np.int64)
+def _content_windows(unit: Unit, batches):
+    """All single windows of contents: (batch, row, place in the content, hash)."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for a, b in chunks(texts, CHUNK):
+            values, bounds, _ = unit.laid_out(texts[a:b])
+            windows = np.maximum(0, np.diff(bounds) - unit.width + 1)
+            row = np.repeat(np.arange(b - a), windows)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            at = bounds[row] + place
+            yield batch, a + row, place, rolling.Ranges(values).hashes(at, at + unit.width).view(np.int64)
+
 
+def _window_counts(unit: Unit, keep_first: bool):
+    """Times a window stands in different contents (``keep_first``), or in all their copies."""
 
-def _window_counts(unit: Unit, anchors):
     def run(batches):
-        for _, _, _, content in _singled(unit, batches, anchors):
-            hashes, n = np.unique(content, return_counts=True)
+        for batch, row, _, content in _content_windows(unit, batches):
+            hashes, inverse = np.unique(content, return_inverse=True)
+            n = np.zeros(len(hashes), np.int64)
+            np.add.at(n, inverse, 1 if keep_first else np.asarray(batch.column(3))[row])
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], names=["hash", "n"])
 
     return run
 
 
-def _windows(unit: Unit, anchors, twice):
+def _windows(unit: Unit, twice):
+    """The windows marked, each with its content and its first place there."""
+    names = ["anchor", "content", "n", "nothing", "id", "key", "start", "at", "hash"]
+
     def run(batches):
         marks = np.frombuffer(twice.value, np.uint8)
-        for batch, row, start, content in _singled(unit, batches, anchors):
+        for batch, row, place, content in _content_windows(unit, batches):
             take = marked(marks, content, MAP_BITS)
             rows = pa.array(row[take])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start[take]), pa.array(content[take])], names=["id", "key", "start", "content"])
+            anchor, named_, n, nothing, id_, key = (batch.column(i).take(rows) for i in (0, 1, 3, 4, 5, 6))
+            start = np.asarray(batch.column(7))[row[take]] + place[take]
+            yield pa.RecordBatch.from_arrays([anchor, named_, n, nothing, id_, key, pa.array(start), pa.array(place[take]), pa.array(content[take])], names=names)
 
     return run
 
@@ -192,45 +203,48 @@ def removed_windows(rows: DataFrame, unit: Unit, index: Callable, keep_first: bo
     twice = shared(bit_map(counted.where("n > 1"), MAP_BITS))
     found = work.save(rows.mapInArrow(_segments(unit, twice), f"id {kind}, key bigint, start bigint, windows bigint, anchor bigint, content bigint"), "segments")
 
-    rank = F.struct(F.col("id").isNull(), "id", "key", "start")
+    rank = F.struct(F.col("id").isNull().alias("nothing"), "id", "key", "start")
     contents = work.save(found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("windows").alias("windows"), F.min(rank).alias("first")), "contents")
     groups = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("n").alias("places")).where("places > 1")
     groups = work.save(groups, "groups")
     held = work.save(contents.join(groups.select("anchor", "contents"), "anchor"), "held")
     work.drop("contents", "groups")
 
-    contested = held.where(F.col("contents").between(2, MOST)).select("anchor", "content", "n", "first")
+    contested = held.where("contents > 1").select("anchor", "content", "n", "contents", "first")
     places = shared(bit_map(contested.select(F.xxhash64("first.key", "first.start").alias("hash")), MAP_BITS))
     texts = rows.mapInArrow(_payloads(unit, places), "anchor bigint, content bigint, key bigint, start bigint, payload binary")
-    whole = texts.join(contested, ["anchor", "content"]).where("key = first.key AND start = first.start").select("anchor", "content", "payload", "n", "first.*")
-    dealt = whole.repartition("anchor").sortWithinPartitions("anchor")
+    whole = texts.join(contested, ["anchor", "content"]).where("key = first.key AND start = first.start").select("anchor", "content", "payload", "n", "first.*", "contents")
+    whole = work.save(whole, "payloads")
+    dealt = whole.where(F.col("contents") <= MOST).drop("contents").repartition("anchor").sortWithinPartitions("anchor")
     runs = dealt.mapInArrow(_shards(unit, index), "anchor bigint, content bigint, from bigint, to bigint")
+    runs = runs.unionByName(_counted(whole.where(F.col("contents") > MOST).drop("contents"), unit, kind, keep_first, work))
     runs = work.save(runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("from", "to")).alias("runs")), "runs")
+    work.drop("payloads", "windows", "windows-twice")
 
     every = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.col("windows") - 1).alias("to")))
     here = (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start")) if keep_first else F.col("n") == 1
-    lines = held.where(F.col("contents") <= MOST).select("anchor", "content", "n", F.struct("first.key", "first.start").alias("first"))
+    lines = held.select("anchor", "content", "n", F.struct("first.key", "first.start").alias("first"))
     lines = work.save(lines.join(runs, ["anchor", "content"], "left"), "lines")
     gone = found.join(lines, ["anchor", "content"]).select("key", "start", F.explode(F.when(here, F.col("runs")).otherwise(every)).alias("run"))
     gone = gone.select("key", (F.col("start") + F.col("run.from")).alias("from"), (F.col("start") + F.col("run.to")).alias("to"))
-
-    common = held.where(F.col("contents") > MOST).select(F.col("anchor").alias("hash")).distinct()
-    if not common.isEmpty():
-        gone = gone.unionByName(_common(rows, unit, shared(bit_map(common, MAP_BITS)), keep_first, work))
     gone = work.save(gone.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs")), "gone")
     work.drop("segments", "held", "runs", "lines")
     return gone
 
 
-def _common(rows: DataFrame, unit: Unit, anchors, keep_first: bool, work: Work) -> DataFrame:
-    """Repeated windows of very common anchors, as runs of one window: counted first, then only those seen twice are dealt out."""
-    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
-    counted = rows.select("key", "text").mapInArrow(_window_counts(unit, anchors), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    twice = spark.sparkContext.broadcast(bit_map(counted.where("n > 1"), MAP_BITS))
-    single = work.save(rows.mapInArrow(_windows(unit, anchors, twice), f"id {kind}, key bigint, start bigint, content bigint"), "windows")
-    rank: Column = F.struct(F.col("id").isNull(), "id", "key", "start")
-    repeated = single.groupBy("content").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
-    more = single.join(work.save(repeated.select("content", F.struct("first.key", "first.start").alias("first")), "windows-twice"), "content")
+def _counted(contents: DataFrame, unit: Unit, kind: str, keep_first: bool, work: Work) -> DataFrame:
+    """(anchor, content, from, to): what an index of these contents would return, in runs of one window."""
+    counts = contents.select("anchor", "content", "payload", "n").mapInArrow(_window_counts(unit, keep_first), "hash bigint, n bigint")
+    twice = contents.sparkSession.sparkContext.broadcast(bit_map(counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), MAP_BITS))
+    line = f"anchor bigint, content bigint, n bigint, nothing boolean, id {kind}, key bigint, start bigint, at bigint, hash bigint"
+    single = work.save(contents.mapInArrow(_windows(unit, twice), line), "windows")
     if keep_first:
-        more = more.where(~((F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))))
-    return more.select("key", F.col("start").alias("from"), F.col("start").alias("to"))
+        repeated = single.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct("nothing", "id", "key", "start")).alias("first"))
+        repeated = repeated.select("hash", "times", "first.key", "first.start")
+        gone = (F.col("s.key") != F.col("r.key")) | (F.col("s.start") != F.col("r.start"))
+    else:
+        repeated = single.groupBy("hash").agg(F.sum("n").alias("times"))
+        gone = F.col("s.n") == 1  # more copies: all of the content goes anyway
+    repeated = work.save(repeated.where("times > 1"), "windows-twice")
+    more = single.alias("s").join(repeated.alias("r"), "hash").where(gone)
+    return more.select("s.anchor", "s.content", F.col("at").alias("from"), F.col("at").alias("to"))
