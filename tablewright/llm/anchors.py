@@ -5,6 +5,10 @@ neighbouring windows that share one minimizer, the place with the smallest hash
 of ``gram`` units in the window (the leftmost of equal ones).  Equal windows have equal minimizers, wherever they
 stand, so segments with equal anchors hold all windows that can be equal, and every
 window is in one segment.  A segment is named by its anchor, its content, its start and its number of windows.
+
+Short anchors stand in many texts by chance.  So a segment also has two longer keys: the anchor with the
+units before it, which its earlier windows all hold, and with those after it, which its later windows hold.
+A window can only stand elsewhere if the key of its half does.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ class Segments(NamedTuple):
     windows: np.ndarray
     anchor: np.ndarray  # signed 64-bit numbers
     content: np.ndarray
+    before: np.ndarray  # key of the windows up to the middle; that of the others if there are none
+    after: np.ndarray
 
 
 def segments(values: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Segments:
@@ -37,7 +43,7 @@ def _slice(values: np.ndarray, bounds: np.ndarray, offset: int, width: int, gram
     n = len(values) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return Segments(none, none, none, none, none)
+        return Segments(*[none] * 7)
     ranges = Ranges(values)
     at = np.arange(len(values) - gram + 1)
     grams = ranges.hashes(at, at + gram)
@@ -52,7 +58,14 @@ def _slice(values: np.ndarray, bounds: np.ndarray, offset: int, width: int, gram
     sizes = np.diff(np.append(first, n))
     keep = whole[first]
     first, sizes = first[keep], sizes[keep]
+    half = (width - gram) // 2
+    anchor, last = place[first], first + sizes - 1
+    early, late = first <= anchor - half, last > anchor - half
+    before = ranges.hashes(np.where(early, anchor - half, anchor), np.where(early, anchor + gram, anchor))
+    after = ranges.hashes(anchor, np.where(late, anchor + width - half + 1, anchor))
+    before, after = np.where(early, before, after), np.where(late, after, before)
     return Segments(
         text[first], first + offset - bounds[text[first]], sizes,
-        grams[place[first]].view(np.int64), ranges.hashes(first, first + sizes + width - 1).view(np.int64),
+        grams[anchor].view(np.int64), ranges.hashes(first, first + sizes + width - 1).view(np.int64),
+        before.view(np.int64), after.view(np.int64),
     )

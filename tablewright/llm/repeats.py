@@ -1,7 +1,7 @@
 """Windows that stand more than once in a corpus, found shard by shard.
 
-1. Anchors of all segments are counted; those seen twice mark a bit map of fixed size.
-2. Segments with a marked anchor are stored by position and counted by content.
+1. The keys of all segments are counted; those seen twice mark a bit map of fixed size.
+2. Segments with a marked key are stored by position and counted by content.
    Copies of one content are one line from here on, with their number and first place.
 3. Anchors with two or more contents are contested: the contents share some windows at most.
    The text of one occurrence of each goes to a shard, whole anchors together, and an index of the shard
@@ -67,25 +67,26 @@ def _cut(unit: Unit, batches: Iterator[pa.RecordBatch]):
             yield batch, a, segments(values, bounds, unit.width, unit.gram), bounds, payload, values
 
 
-def _anchors(unit: Unit):
+def _keys(unit: Unit):
     def run(batches):
         for _, _, found, _, _, _ in _cut(unit, batches):
-            anchors, n = np.unique(found.anchor, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(n)], names=["hash", "n"])
+            keys, n = np.unique(np.concatenate((found.before, found.after[found.after != found.before])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["hash", "n"])
 
     return run
 
 
-def _chosen(marks: np.ndarray, found: Segments, by: np.ndarray) -> Segments:
-    take = marked(marks, by, MAP_BITS)
+def _chosen(marks: np.ndarray, found: Segments, *by: np.ndarray) -> Segments:
+    """Segments one of whose hashes is marked."""
+    take = np.logical_or.reduce([marked(marks, x, MAP_BITS) for x in by])
     return Segments(*(c[take] for c in found))
 
 
-def _segments(unit: Unit, anchors):
+def _segments(unit: Unit, twice):
     def run(batches):
-        marks = np.frombuffer(anchors.value, np.uint8)
+        marks = np.frombuffer(twice.value, np.uint8)
         for batch, a, found, _, _, _ in _cut(unit, batches):
-            s = _chosen(marks, found, found.anchor)
+            s = _chosen(marks, found, found.before, found.after)
             rows = pa.array(a + s.text)
             keys = batch.column(1).take(rows)
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +200,7 @@ def removed_windows(rows: DataFrame, unit: Unit, index: Callable, keep_first: bo
     def shared(marks: bytes):
         return spark.sparkContext.broadcast(marks)  # of fixed size
 
-    counted = rows.select("key", "text").mapInArrow(_anchors(unit), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = rows.select("key", "text").mapInArrow(_keys(unit), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     twice = shared(bit_map(counted.where("n > 1"), MAP_BITS))
     found = work.save(rows.mapInArrow(_segments(unit, twice), f"id {kind}, key bigint, start bigint, windows bigint, anchor bigint, content bigint"), "segments")
 
