@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from tablewright.operators.order import quoted
 # value -> count map, so it must stay bounded
 SMALL = 1_000_000
 ACCURACY = 10_000
+SIGN_OFF = (1 << 63) - 1
 
 
 def medians(df: DataFrame, cols: Sequence[str], counts: Mapping[str, int], small: int = SMALL) -> dict[str, float | None]:
@@ -83,14 +86,29 @@ def _count_up(bracket: DataFrame, low_rank: int, high_rank: int, bounded: bool =
     return (row["a"] + row["z"]) / 2
 
 
+def _between(lo: float, hi: float) -> float:
+    """A value from lo up to below hi that halves the floats between them, also for infinities and extreme ranges.
+
+    The bits of a float, read as a whole number, have the order of its values (below zero the reverse one).
+    """
+
+    def number(x: float) -> int:
+        bits = struct.unpack("<q", struct.pack("<d", x + 0.0))[0]
+        return bits if bits >= 0 else -(bits & SIGN_OFF)
+
+    middle = (number(lo) + number(hi)) // 2
+    value = struct.unpack("<d", struct.pack("<q", abs(middle)))[0]
+    return value if middle >= 0 else -value
+
+
 def _walk(counted: DataFrame, low_rank: int, high_rank: int) -> float:
-    """Halve the value range until both ranks are pinned down."""
+    """Halve the floats of the range until both ranks are pinned down, in 64 steps at most."""
 
     def at_rank(rank: int) -> float:
         edge = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         lo, hi = edge["lo"], edge["hi"]
         while lo < hi:
-            mid = lo + (hi - lo) / 2
+            mid = _between(lo, hi)
             # snap to the largest value not above the midpoint
             row = counted.agg(
                 F.coalesce(F.sum(F.when(F.col("v") <= mid, F.col("n"))), F.lit(0)).alias("n"),
@@ -103,7 +121,10 @@ def _walk(counted: DataFrame, low_rank: int, high_rank: int) -> float:
                 lo = row["up"]
         return lo
 
-    return (at_rank(low_rank) + at_rank(high_rank)) / 2
+    low = at_rank(low_rank)
+    high = low if low_rank == high_rank else at_rank(high_rank)
+    middle = (low + high) / 2
+    return middle if math.isfinite(middle) else low if low == high else low / 2 + high / 2
 
 
 def means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:

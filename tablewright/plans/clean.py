@@ -204,12 +204,12 @@ def _plan_fills(parsed: DataFrame, plans: dict, by: str | None, cfg: CleanConfig
     numeric = wanted.numeric_strategy
     if numeric not in ("mean", "mode", "constant", "interpolate"):
         numeric = "median"
-    dropped = _rows_after_drop(parsed, plans, by)
+    kept, missing = _after_drop(parsed, plans, by)
     # a table without a single null is left alone, as a whole
-    holes = {g: [c for c in p.subject if p.missing[c] and kinds[c]] for g, p in plans.items()}
+    holes = {g: [c for c in p.subject if missing[g][c] and kinds[c]] for g, p in plans.items()}
 
     def needs(test: Callable[[str], bool]) -> dict[object, dict[str, int]]:
-        return {g: {c: p.rows_in - p.missing[c] for c in holes[g] if test(c)} for g, p in plans.items()}
+        return {g: {c: kept[g] - missing[g][c] for c in holes[g] if test(c)} for g in plans}
 
     flags = {c for c, k in kinds.items() if k == "numeric" and isinstance(parsed.schema[c].dataType, T.BooleanType)}
     values: dict[object, dict[str, object]] = {g: {} for g in plans}
@@ -234,16 +234,23 @@ def _plan_fills(parsed: DataFrame, plans: dict, by: str | None, cfg: CleanConfig
             else:
                 strategy = wanted.text_strategy if wanted.text_strategy in ("ffill", "bfill") else "constant"
                 value = wanted.text_constant
-            fills[c] = FillRule(kinds[c], strategy, value, p.missing[c])
-        out[g] = replace(p, fills=fills, rows_dropped=p.rows_in - dropped[g])
+            fills[c] = FillRule(kinds[c], strategy, value, missing[g][c])
+        out[g] = replace(p, fills=fills, rows_dropped=p.rows_in - kept[g])
     return out
 
 
-def _rows_after_drop(parsed: DataFrame, plans: dict, by: str | None) -> dict:
+def _after_drop(parsed: DataFrame, plans: dict, by: str | None) -> tuple[dict, dict]:
+    """Rows, and nulls per column, that sparse rows leave behind in each table."""
     if not any(p.drop_threshold and 0 < p.drop_threshold <= 1 for p in plans.values()):
-        return {g: p.rows_in for g, p in plans.items()}
-    counted = profile.measure(parsed, {("", "rows"): F.count("*")}, by)
-    return {g: counted.get(g, {}).get(("", "rows"), 0) for g in plans}
+        return {g: p.rows_in for g, p in plans.items()}, {g: p.missing for g, p in plans.items()}
+    columns = list(dict.fromkeys(c for p in plans.values() for c in p.columns))
+    measures = {("", "rows"): F.count("*")} | {(c, "nulls"): F.count_if(quoted(c).isNull()) for c in columns}
+    counted = profile.measure(parsed, measures, by)
+    found = {g: counted.get(g, {}) for g in plans}
+    return (
+        {g: found[g].get(("", "rows"), 0) for g in plans},
+        {g: {c: found[g].get((c, "nulls"), 0) for c in p.columns} for g, p in plans.items()},
+    )
 
 
 def _plan_text(plans: dict, texts: Sequence[str], shapes: Mapping, cfg: CleanConfig) -> dict:

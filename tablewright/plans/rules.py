@@ -46,8 +46,8 @@ class TextRule:
 
 @dataclass(frozen=True)
 class Action:
-    column: str
-    step: str  # number | date | missing | text
+    column: str | None  # None: the table as a whole
+    step: str  # number | date | drop | missing | text
     code: str
     detail: str = ""
     rows: int = 0
@@ -103,6 +103,8 @@ class CleanPlan:
             out.append(Action(c, "date", "datetime"))
             if rule.ambiguous:
                 out.append(Action(c, "date", "ambiguous", rows=rule.ambiguous))
+        if self.rows_dropped:
+            out.append(Action(None, "drop", "sparse", rows=self.rows_dropped))
         for c, rule in self.fills.items():
             if rule.missing:
                 detail = "" if rule.value is None else str(rule.value)
@@ -127,6 +129,7 @@ ACTION_TEXTS = {
         "numeric": "'{c}' (numeric): {n} missing → {how}",
         "datetime_fill": "'{c}' (datetime): {n} missing → {how}",
         "text_fill": "'{c}' (text): {n} missing → {how}",
+        "sparse": "{n} sparse rows dropped",
         "keep_nat": "left empty (valid datetime)",
         "interpolate": "linear interpolation",
         "ffill": "forward fill",
@@ -148,6 +151,7 @@ ACTION_TEXTS = {
         "numeric": "'{c}' (numerik): {n} missing → {how}",
         "datetime_fill": "'{c}' (datetime): {n} missing → {how}",
         "text_fill": "'{c}' (teks): {n} missing → {how}",
+        "sparse": "{n} baris terlalu kosong dihapus",
         "keep_nat": "dibiarkan NaT (valid datetime)",
         "interpolate": "interpolasi linear",
         "ffill": "forward fill",
@@ -171,6 +175,8 @@ def action_text(action: Action, lang: str = "en") -> str:
         return "⚠️ " + fv.AMBIGUOUS_WARNING.format(column=action.column, n=action.rows)
     if action.step in ("number", "date"):
         return words[action.code].format(c=action.column)
+    if action.step == "drop":
+        return words[action.code].format(n=action.rows)
     if action.step == "text":
         return f"'{action.column}': " + ", ".join(words[p] for p in action.code.split(","))
     kind, strategy = action.code.split(":")

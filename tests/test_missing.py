@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -63,6 +64,12 @@ def test_drop_threshold(frame):
     df = frame("a string, b string, c string, d string", [("x", None, None, None), ("x", "y", None, None), ("x", "y", "z", "w")])
     out = tw.clean(df, missing(drop_threshold=0.5))
     assert out.data.count() == 2 and out.plan.rows_dropped == 1
+    repaired = {r["metric"]: r["value"] for r in out.run_metrics().collect()}
+    assert repaired["missing_repaired"] == 2 and repaired["missing_found"] == 5  # c and d of the second row
+    assert [(r["column"], r["rows"]) for r in out.actions().collect() if r["step"] in ("drop", "missing")] == [(None, 1), ("c", 1), ("d", 1)]
+    only = tw.clean(df.where("b is null or c is not null"), missing(drop_threshold=0.5))
+    assert {r["metric"]: r["value"] for r in only.run_metrics().collect()}["missing_repaired"] == 0
+    assert [r["step"] for r in only.actions().collect() if r["step"] != "text"] == ["drop"]
     whole = frame("a string, b string", [("x", "y")])
     assert tw.clean(whole, missing(drop_threshold=0.0)).data.count() == 1
     assert tw.drop_sparse_rows(df, 1.5).count() == 3
@@ -96,6 +103,14 @@ def test_rank_search_without_narrowing(spark):
     assert quantiles._count_up(df, 3, 4, bounded=False) == statistics.median(data)
 
 
+def test_rank_search_with_infinities(spark):
+    numbers = [-math.inf, -1.7e308, -3.0, -0.0, 5e-324, 2.0, 1.7e308, math.inf, math.inf]
+    counted = spark.createDataFrame([(x,) for x in numbers], "v double").groupBy("v").agg(F.count("*").alias("n"))
+    for rank, x in enumerate(numbers):
+        assert quantiles._walk(counted, rank, rank) == x
+    assert quantiles._between(-math.inf, math.inf) in (0.0, -5e-324) and quantiles._between(1.0, math.nextafter(1.0, 2)) == 1.0
+
+
 def test_fill_values_without_counts(frame):
     df = frame("v double", [1.0, 2.0, None, 9.0])
     assert fill_values(df, ["v"], "median") == {"v": 2.0}
