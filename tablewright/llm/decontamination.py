@@ -16,7 +16,8 @@ Defined results
 * words are runs of anything but ASCII white space, A-Z lower-cased; an item of
   fewer than five words is one shingle of all its words, an item without words
   (null, empty) is found nowhere; a document without words holds nothing
-* items of equal shingles are one item, named by the smallest id, with their number
+* items of equal shingles are one item, named by the smallest id, with their number;
+  ``every_item`` tells each of their ids
 * rows of equal id and text are one document; equal ids with other texts, and null
   ids, stay apart by their text; other columns are left alone
 * empty tables give an empty result
@@ -119,11 +120,8 @@ def _hits(sketch: bytes, every: bytes, widths: list[int], bits: int, slots: tupl
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", width=WIDTH, similarity=SIMILARITY) -> DataFrame:
-    """(id, key, item_id, n_items, n_shingles, n_found, containment) of every document that holds ``similarity`` of an item.
-
-    ``key`` is the digest of the document's text.
-    """
+def _found_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, key, item, item_id, n_items, n_shingles, n_found, containment), where ``item`` is the digest of equal items; and the stored items."""
     work = Work(docs.sparkSession, "decontamination")
     kind = items.schema[item_id].dataType.simpleString()
     raw = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(
@@ -144,8 +142,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     )
     share = F.col("n_found") / F.col("n_shingles")
     return pairs.where(F.col("sketched") & (F.col("n_found") >= F.ceil(F.round(F.col("n_shingles") * similarity, 9)))).select(
-        F.col("id").alias(id_col), "key", "item_id", "n_items", "n_shingles", "n_found", share.alias("containment")
-    )
+        F.col("id").alias(id_col), "key", "item", "item_id", "n_items", "n_shingles", "n_found", share.alias("containment")
+    ), stored
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", width=WIDTH, similarity=SIMILARITY) -> DataFrame:
+    """(id, key, item_id, n_items, n_shingles, n_found, containment) of every document that holds ``similarity`` of an item.
+
+    ``key`` is the digest of the document's text.  Items of equal shingles are one.
+    """
+    return _found_items(docs, items, id_col, text_col, item_id, item_text, width, similarity)[0].drop("item")
+
+
+def every_item(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", width=WIDTH, similarity=SIMILARITY) -> DataFrame:
+    """(id, key, item_id, n_shingles, n_found, containment): like ``contaminated``, with a row for each of the items of equal shingles."""
+    found, stored = _found_items(docs, items, id_col, text_col, item_id, item_text, width, similarity)
+    members = stored.where("rank = 0").select("item", "item_id").distinct()
+    return found.drop("item_id", "n_items").join(members, "item").select(id_col, "key", "item_id", "n_shingles", "n_found", "containment")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:

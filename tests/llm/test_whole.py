@@ -83,3 +83,12 @@ def test_pipeline_without_near_copies(spark, tmp_path):
     want = set(kept_of([tuple(r) for r in told]))
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
     assert got and got <= want and len(want) < len(told)
+
+
+def test_every_repeated_item(spark, tmp_path):
+    items = [(1, "the quick brown fox jumps over it"), (2, "THE quick  brown fox jumps over it"), (3, " the quick brown fox jumps over it"), (3, "the quick brown fox jumps over it"), (None, "the quick brown fox jumps over it"), (4, "not in any of them at all")]
+    docs = [(7, "so the quick brown fox jumps over it again"), (8, "nothing here"), (9, "The quick brown fox jumps over it")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op2_decontaminate(spark, str(tmp_path)).collect()]
+    assert len(got) == 8 and set(got) == {(d, i, 3, 3, 1.0) for d in (7, 9) for i in (1, 2, 3, None)}
