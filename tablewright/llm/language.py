@@ -9,7 +9,7 @@ against the runner-up; a narrow margin is a rejection.
 
 Defined results
 * null text, or one without a letter: ``und``, score 0, rejected
-* rows without a language teach nothing; a null id is in the learning part, and
+* rows without a language or a letter teach nothing, repeated rows once; a null id is in the learning part, and
   held_out is false
 * one learned language: score 1; none (empty table): ``und``; equal sizes: the first in code point order
 * rows are judged one by one, so repeats and null ids get what their text gets;
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.work import Work
+from tablewright.llm.work import Work, text_key
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 256  # bound of the learning sample: documents for each language …
@@ -48,17 +48,19 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sample_docs=SAMPLE_DOCS, sample_chars=SAMPLE_CHARS) -> dict[str, bytes]:
     """A dictionary for every language of the learning part.
 
-    The sample is chosen by a hash of the id: a scan of two columns counts the
-    labels, a threshold for each label leaves about twice the sample, the lowest hashes of
+    The sample is chosen by a hash of the id and the text, among the distinct ones whose text has a letter:
+    a scan counts them for each label, a threshold for each label leaves about twice the sample, the lowest hashes of
     those are taken.  What comes to the driver is bounded by languages x documents x characters.
     """
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, lang_col).alias("h"))
+    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(lang_col), text_key(text_col)).alias("h"))
     # stored, so that the join knows its size and need not shuffle texts by language
-    counts = Work(docs.sparkSession, "languages").save(labelled.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    counts = Work(docs.sparkSession, "languages").save(labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "counts")
     part = F.shiftrightunsigned("h", 24)  # 0 … 2^40 - 1
     near = labelled.join(counts, "lang").where(part * F.col("n") < F.lit(float(2 * sample_docs * (1 << 40))))
-    excerpt = near.where(F.col("text").rlike(r"\p{L}")).select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
-    first = excerpt.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= sample_docs)
+    letter = rf"(?s)\p{{L}}.{{0,{sample_chars - 1}}}"  # from the first letter on, or a text may teach nothing
+    excerpt = near.groupBy("lang", "h").agg(F.min(F.regexp_extract("text", letter, 0)).alias("text"))  # repeated rows teach once
+    first = excerpt.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs)
     found: dict[str, list] = {}
     for lang, r, text in first.select("lang", "r", "text").collect():
         found.setdefault(lang, []).append((r, text))

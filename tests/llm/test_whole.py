@@ -92,3 +92,16 @@ def test_every_repeated_item(spark, tmp_path):
     spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     got = [tuple(r) for r in queries.op2_decontaminate(spark, str(tmp_path)).collect()]
     assert len(got) == 8 and set(got) == {(d, i, 3, 3, 1.0) for d in (7, 9) for i in (1, 2, 3, None)}
+
+
+def test_scarce_texts_are_learned(spark):
+    """The sample counts usable rows only, and rows of one id are not one draw."""
+    empty = [(i, None if i % 2 else "12 ?!", "xx") for i in range(40000)]
+    scarce = [(10**6 + i, f"lo mi ra {i} zz", "xx") for i in range(40)]
+    without_id = [(None, f"ta bu {i} ne", "yy") for i in range(3000)]
+    repeated = [(None, "qo qe", "zz")] * 3000 + [(None, "... " * 800 + "wo", "vv")]
+    docs = spark.createDataFrame(empty + scarce + without_id + repeated, "doc_id bigint, text string, lang string").repartition(4)
+    got = language.learn(docs)
+    assert sorted(got) == ["vv", "xx", "yy", "zz"]
+    usable = docs.where(~language.held_out() & (docs.lang == "xx") & docs.text.rlike("[a-z]")).count()
+    assert got["xx"].count(b"lo") == usable > 20 and got["yy"].count(b"ta") == language.SAMPLE_DOCS and got["zz"].count(b"qo") == 1
