@@ -215,6 +215,7 @@ def removed_windows(rows: DataFrame, unit: Unit, index: Callable, keep_first: bo
     places = shared(bit_map(contested.select(F.xxhash64("first.key", "first.start").alias("hash")), MAP_BITS))
     texts = rows.mapInArrow(_payloads(unit, places), "anchor bigint, content bigint, key bigint, start bigint, payload binary")
     whole = texts.join(contested, ["anchor", "content"]).where("key = first.key AND start = first.start").select("anchor", "content", "payload", "n", "first.*", "contents")
+    whole = whole.dropDuplicates(["anchor", "content"])  # repeated rows are one document, whose first places are read once for each row
     whole = work.save(whole, "payloads")
     dealt = whole.where(F.col("contents") <= MOST).drop("contents").repartition("anchor").sortWithinPartitions("anchor")
     runs = dealt.mapInArrow(_shards(unit, index), "anchor bigint, content bigint, from bigint, to bigint")

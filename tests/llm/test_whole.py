@@ -85,6 +85,24 @@ def test_pipeline_without_near_copies(spark, tmp_path):
     assert got and got <= want and len(want) < len(told)
 
 
+def test_repeated_rows_stay_once(spark):
+    """Rows of equal id and text are one document: its first copy of a passage stays."""
+    rng = random.Random(2)
+    passage, *other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (400, 150, 150, 150))
+    texts = {1: other[0] + passage, 2: passage + other[1], 3: other[2] + passage[:300]}
+    rows = [(1, texts[1])] * 3 + [(2, texts[2])] * 2 + [(3, texts[3])]
+    seen, want = set(), {}
+    for n, text in texts.items():
+        gone = set()
+        for i in range(len(text) - 99):
+            if text[i : i + 100] in seen:
+                gone.update(range(i, i + 100))
+            seen.add(text[i : i + 100])
+        want[n] = "".join(c for i, c in enumerate(text) if i not in gone).encode()
+    got = substrings.without_later_copies(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert len(got) == len(rows) and all(bytes(r.kept) == want[r.doc_id] for r in got) and want[1] == texts[1].encode()
+
+
 def test_every_repeated_item(spark, tmp_path):
     items = [(1, "the quick brown fox jumps over it"), (2, "THE quick  brown fox jumps over it"), (3, " the quick brown fox jumps over it"), (3, "the quick brown fox jumps over it"), (None, "the quick brown fox jumps over it"), (4, "not in any of them at all")]
     docs = [(7, "so the quick brown fox jumps over it again"), (8, "nothing here"), (9, "The quick brown fox jumps over it")]
