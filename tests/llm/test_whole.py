@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tablewright.llm import language, near_copies, queries, substrings
+from tablewright.llm import language, near_copies, pages, queries, substrings
 
 DOCS = "doc_id bigint, text string"
 
@@ -123,3 +123,14 @@ def test_scarce_texts_are_learned(spark):
     assert sorted(got) == ["vv", "xx", "yy", "zz"]
     usable = docs.where(~language.held_out() & (docs.lang == "xx") & docs.text.rlike("[a-z]")).count()
     assert got["xx"].count(b"lo") == usable > 20 and got["yy"].count(b"ta") == language.SAMPLE_DOCS and got["zz"].count(b"qo") == 1
+
+
+def test_names_inside_an_article():
+    """Slugs, inline names and title headers inside an article stay; comments go, as articles too."""
+    html = (
+        '<article><header class="entry-header"><h1>Title</h1></header><div class="post-header"><p>By A</p></div><h2 id="related-work">Related work</h2>'
+        '<section id="search-methods"><p>We <a class="related">searched</a> far</p></section><h2 id="social-effects">Effects</h2>'
+        '<div class="comments-area"><p>no</p></div><div id="comments">no</div><div class="ad">no</div><ul class="social-share"><li>no</ul><article class="comment">no</article></article>'
+        '<article class="comment">no</article><article class="post has-comments"><p>yes</p></article>'
+    )
+    assert [text for _, _, text, _ in pages.blocks(html)] == ["Title", "By A", "Related work", "We searched far", "Effects", "yes"]
