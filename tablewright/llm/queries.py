@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, language, licenses, mixing, pages, simhash, substrings, tokens, vectors
+from tablewright.llm import byte_bpe, decontamination, language, licenses, mixing, pages, simhash, substrings, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(spark, path)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents")))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files, op11_byte_bpe)
 }
 
 SHINGLES_SQL = """
