@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, decontamination, language, licenses, mixing, pages, simhash, substrings, tokens, vectors
+from tablewright.llm import byte_bpe, decontamination, language, licenses, manifest, mixing, pages, simhash, substrings, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,8 +70,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(chosen, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.verified(_table(spark, sf_dir, "documents"), changed={"text": tampered})
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files, op11_byte_bpe)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files, op11_byte_bpe, op12_merkle_manifest)
 }
 
 SHINGLES_SQL = """
