@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, decontamination, language, licenses, manifest, mixing, pages, simhash, substrings, tokens, vectors
+from tablewright.llm import byte_bpe, conversations, decontamination, language, licenses, manifest, mixing, pages, simhash, substrings, tokens, vectors
 from tablewright.llm.work import Work
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,8 +76,29 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(_table(spark, sf_dir, "documents"), changed={"text": tampered})
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that the repair is to find."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(told[0], F.lit(":"), told[1]).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", told[2].alias("role"), told[3].alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    done = conversations.repair(damaged(turns))
+    sums = conversations.digests(conversations.repaired(done)).withColumnRenamed("conv", "c")
+    counts = done.counts.join(sums, F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    every = turns.select("conv_id").distinct().join(counts, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files, op11_byte_bpe, op12_merkle_manifest)
+    f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_repeated_passages, op4_simhash, op5_language, op6_licenses, op7_main_text, op8_suffix_dedup, op9_vector_duplicates, op10_token_files, op11_byte_bpe, op12_merkle_manifest, op13_repair_conversations)
 }
 
 SHINGLES_SQL = """
