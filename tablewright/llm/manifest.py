@@ -3,10 +3,11 @@
 A row's leaf is the hash of its fields.  The leaves of a source, in order of id, are hashed in
 runs of three until one node is left, its subroot; the subroots, in order of source, give the root.
 
-Built levels are stored as node rows, each with a link to its parent: a row stands for one node three levels
-up and holds the hashes of the (at most 27, 9 and 3) nodes below it.  A recursive query
-ascends from every leaf along these links.  Each step appends the siblings of three levels to the
+Built levels are stored as node rows, each with a link to its parent: a row stands for one node six levels
+up and holds the hashes of the (at most 729, 243, … and 3) nodes below it.  A recursive query
+ascends from every leaf along these links.  Each step appends the siblings of these levels to the
 proof and folds the leaf that was computed anew, so what it ends with is the root if and only if nothing was changed.
+Six levels a step, as Spark stores the rows of every step: with one level a row would be stored a dozen times.
 
 Rows are numbered by ranges: their place in a range plus the sizes of the ranges before; no task sees a whole
 source.  Texts stay where they are read; what travels are ids and hashes.
@@ -31,7 +32,8 @@ from tablewright.llm.work import Work
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 RUN = 3
-SPAN = RUN**3  # nodes below one stored node row
+DEPTH = 6  # levels in one stored node row
+SPAN = RUN**DEPTH  # nodes below it
 ROOTS = -1  # the tree over the subroots
 ROW = (1 << 33) - 1  # monotonically_increasing_id: row in the lower 33 bits, partition above
 
@@ -61,27 +63,27 @@ def _numbered(rows: DataFrame, order: list[Column], work: Work, name: str) -> Da
     return stored.withColumn("part", part).join(sizes, "part").withColumn("place", F.col("before") + row).drop("part", "before", "at")
 
 
-def _up(hashes: str) -> Column:
+def _up(hashes: Column) -> Column:
     """The level above: a hash of every run."""
     runs = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int"))
     return F.transform(runs, lambda i: F.sha2(F.array_join(F.slice(hashes, i * RUN + 1, F.lit(RUN)), ""), 256))
 
 
 def _blocks(rows: DataFrame, hashed: Column) -> DataFrame:
-    """Node rows over (tree, place, total, kid): levels, top and the link to the parent.
+    """Node rows over (tree, place, total, kid): the hashes of each level, the top and the number of levels.
 
     ``total`` counts the nodes of the tree on the level of the kids; a tree ends where one node is left.
     """
-    none = F.array().cast("array<string>")
     whole = rows.groupBy("tree", F.floor(F.col("place") / SPAN).alias("block")).agg(
         F.first("total").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("place", "kid"))), lambda k: k["kid"]).alias("kids")
     )
-    levels = F.when(F.col("total") == 1, 0).when(F.col("total") <= RUN, 1).when(F.col("total") <= RUN**2, 2).otherwise(3)
-    whole = whole.withColumn("h0", hashed).withColumn("levels", levels)
-    whole = whole.withColumn("h1", F.when(F.col("levels") >= 1, _up("h0")).otherwise(none))
-    whole = whole.withColumn("h2", F.when(F.col("levels") >= 2, _up("h1")).otherwise(none))
-    top = F.when(F.col("levels") == 0, F.col("h0")[0]).when(F.col("levels") == 1, F.col("h1")[0]).when(F.col("levels") == 2, F.col("h2")[0]).otherwise(_up("h2")[0])
-    return whole.withColumn("top", top)
+    levels = F.lit(DEPTH)
+    for j in reversed(range(DEPTH)):
+        levels = F.when(F.col("total") <= RUN**j, j).otherwise(levels)
+    whole = whole.withColumn("levels", levels)
+    steps = F.when(F.col("levels") > 0, F.sequence(F.lit(1), F.col("levels"))).otherwise(F.array().cast("array<int>"))
+    grown = F.aggregate(steps, F.array(hashed), lambda built, _: F.concat(built, F.array(_up(F.element_at(built, -1)))))
+    return whole.withColumn("hashes", grown).withColumn("top", F.element_at("hashes", -1)[0])
 
 
 def _linked(blocks: DataFrame, step: int) -> DataFrame:
@@ -147,45 +149,43 @@ def build(docs: DataFrame, fields=FIELDS, id_col="doc_id", group_col="source", c
     nodes = stored[0]
     for s in stored[1:]:
         nodes = nodes.unionByName(s)
-    leaves = low.select("*", F.posexplode("kids").alias("index", "kid")).drop("kids")
-    return Manifest(leaves, work.save(nodes, "nodes"), work)
+    return Manifest(low, work.save(nodes, "nodes"), work)
 
 
 def _ascent(proof: str, folded: str, index: str) -> str:
-    """SQL for the siblings of three levels appended to ``proof``, and for ``folded`` hashed with them."""
-    places = [index, f"({index} div {RUN})", f"({index} div {RUN * RUN})"]
-    left = [f"array_join(slice(h{j}, {i} - {i} % {RUN} + 1, {i} % {RUN}), '')" for j, i in enumerate(places)]
-    right = [f"array_join(slice(h{j}, {i} + 2, {RUN - 1} - {i} % {RUN}), '')" for j, i in enumerate(places)]
-    for j in range(3):
-        folded = f"CASE WHEN levels > {j} THEN sha2(concat({left[j]}, {folded}, {right[j]}), 256) ELSE {folded} END" if j == 0 else (
-            f"aggregate(array(0), {folded}, (x, _) -> CASE WHEN levels > {j} THEN sha2(concat({left[j]}, x, {right[j]}), 256) ELSE x END)"
-        )
-    siblings = ", ".join(f"CASE WHEN levels > {j} THEN concat({left[j]}, {right[j]}) ELSE '' END" for j in range(3))
-    return f"concat({proof}, unhex(concat({siblings}))) AS proof, {folded} AS folded"
+    """SQL for the siblings of a node row's levels appended to ``proof``, and for ``folded`` hashed with them; all are bytes."""
+    place = f"({index} div bigint(pow({RUN}, j)))"
+    left = f"array_join(slice(hashes[j], int({place} - {place} % {RUN} + 1), int({place} % {RUN})), '')"
+    right = f"array_join(slice(hashes[j], int({place} + 2), int({RUN - 1} - {place} % {RUN})), '')"
+    steps = "CASE WHEN levels > 0 THEN sequence(0, levels - 1) ELSE CAST(array() AS array<int>) END"
+    return (
+        f"concat({proof}, unhex(array_join(transform({steps}, j -> concat({left}, {right})), ''))) AS proof, "
+        f"aggregate({steps}, {folded}, (x, j) -> unhex(sha2(concat({left}, lower(hex(x)), {right}), 256))) AS folded"
+    )
 
 
 def proofs(manifest: Manifest) -> DataFrame:
-    """(id, leaf, subroot, root, proof, folded_root) of every leaf, hashes in hex; proof holds the siblings' bytes, from leaf to root.
+    """(id, leaf, subroot, root, proof, folded) of every leaf, as bytes; proof holds the siblings from leaf to root.
 
-    ``folded_root`` is what the leaf computed anew gives with the siblings as stored.
+    ``folded`` is what the leaf computed anew gives with the siblings as stored.
     """
     spark, work = manifest.leaves.sparkSession, manifest.work
     tag = work.root.rsplit("-", 1)[1]
     manifest.leaves.createOrReplaceTempView(f"leaves_{tag}")
     manifest.nodes.createOrReplaceTempView(f"nodes_{tag}")
-    link = "up_tree AS tree, up_step AS step, up_block AS block, up_index AS index"
-    ends = f"CASE WHEN up_tree = {ROOTS} AND {{tree}} >= 0 THEN top END"
+    root = manifest.nodes.where("up_tree IS NULL").select("top").first()
+    ends = f"CASE WHEN up_tree = {ROOTS} AND {{tree}} >= 0 THEN unhex(top) END"
+    at_leaf = _ascent("X''", "coalesce(k.anew, k.leaf)", "i").replace(" AS proof, ", ", 'folded', ").removesuffix(" AS folded")
     climb = f"""
 WITH RECURSIVE climb AS (
-  SELECT kid.id, lower(hex(kid.leaf)) AS leaf, {ends.format(tree='tree')} AS subroot, CAST(NULL AS STRING) AS root,
-         {_ascent("X''", "lower(hex(coalesce(kid.anew, kid.leaf)))", "index")}, {link}
-  FROM leaves_{tag}
+  SELECT kid.id, kid.leaf, {ends.format(tree='tree')} AS subroot, kid.proof, kid.folded, up_tree AS tree, up_step AS step, up_block AS block, kid.index
+  FROM (SELECT tree, top, up_tree, up_step, up_block, explode(transform(kids, (k, i) -> named_struct('id', k.id, 'leaf', k.leaf, 'index', up_index, 'proof', {at_leaf}))) AS kid
+        FROM leaves_{tag})
   UNION ALL
-  SELECT c.id, c.leaf, coalesce(c.subroot, {ends.format(tree='n.tree')}), CASE WHEN n.up_tree IS NULL THEN n.top END,
-         {_ascent("c.proof", "c.folded", "c.index")}, n.up_tree, n.up_step, n.up_block, n.up_index
+  SELECT c.id, c.leaf, coalesce(c.subroot, {ends.format(tree='n.tree')}), {_ascent("c.proof", "c.folded", "c.index")}, n.up_tree, n.up_step, n.up_block, n.up_index
   FROM climb c JOIN nodes_{tag} n ON c.tree = n.tree AND c.step = n.step AND c.block = n.block
 )
-SELECT id, leaf, subroot, root, proof, folded AS folded_root FROM climb WHERE root IS NOT NULL"""
+SELECT id, leaf, subroot, unhex('{root.top if root else ""}') AS root, proof, folded FROM climb WHERE tree IS NULL"""
     limit = "spark.sql.cteRecursionRowLimit"
     held = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # rows grow with the leaves; the depth is what bounds the recursion
@@ -201,6 +201,7 @@ def verified(docs: DataFrame, fields=FIELDS, id_col="doc_id", group_col="source"
     manifest = build(docs, fields, id_col, group_col, changed)
     rows = proofs(manifest)
     manifest.work.drop("leaves", "leaves-ranges", "groups", "groups-in-order", "groups-in-order-ranges", "trees", "blocks")
+    told = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
     return rows.select(
-        F.col("id").alias(id_col), "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+        F.col("id").alias(id_col), *told, F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified")
     )
