@@ -7,7 +7,7 @@ the functions these classes generate under composition are a small monoid, so a
 its multiplication table gives the state before every code point, and state and class say
 where a token begins.  The scan is associative: it runs over many blocks side by side.
 
-The slices between two beginnings are looked up; those that are no entry of the vocabulary are merged
+The slices between two beginnings are told apart as numbers and each looked up once; those that are no entry of the vocabulary are merged
 pair by pair, lowest rank first, and remembered.  Every token keeps the offset of its first byte in its text, so
 decoding places each token's bytes directly, for a whole text or a range of its tokens.
 
@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.slices import distinct, spread
 from tablewright.llm.work import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK = 1 << 20  # bytes of text in one scan
+CHUNK = 1 << 21  # bytes of text in one scan
 YOUNG = 1 << 18  # slices remembered; then they become the older half of the memory, and the older half before is given up
 SHORT = 64  # bytes; longer slices are merged with a heap
 NEVER = 1 << 60
@@ -95,16 +96,17 @@ def monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 known[h] = len(known)
                 todo.append(h)
     elements = list(known)
-    product = np.array([[known[tuple(g[s] for s in f)] for g in elements] for f in elements], np.intp)
-    return np.array([known[g] for g in generators], np.intp), product, np.array([f[NEW] for f in elements], np.uint8)
+    product = np.zeros((16, 16), np.uint8)  # fifteen elements
+    product[: len(elements), : len(elements)] = [[known[tuple(g[s] for s in f)] for g in elements] for f in elements]
+    return np.array([known[g] for g in generators], np.uint8), product, np.array([f[NEW] for f in elements], np.uint8)
 
 
 def scan(elements: np.ndarray) -> np.ndarray:
     """All prefix products; blocks are scanned side by side, their totals by the same function."""
     _, product, _ = monoid()
-    n, size = len(elements), product.shape[0]
+    n = len(elements)
     if n <= 64:
-        out = np.empty(n, np.intp)
+        out = np.empty(n, np.uint8)
         held = 0  # the identity
         for i, e in enumerate(elements):
             out[i] = held = product[held, e]
@@ -112,16 +114,18 @@ def scan(elements: np.ndarray) -> np.ndarray:
     flat = product.ravel()
     steps = max(2, int(n**0.5) // 4)
     blocks = -(-n // steps)
-    table = np.zeros((blocks, steps), np.intp)
+    table = np.zeros((blocks, steps), np.uint8)
     table.ravel()[:n] = elements
     table = np.ascontiguousarray(table.T)
     held = table[0]
     for t in range(1, steps):
-        held = flat.take(held * size + table[t])
+        held = flat.take((held << 4) | table[t])
         table[t] = held
-    carry = np.zeros(blocks, np.intp)
+    carry = np.zeros(blocks, np.uint8)
     carry[1:] = scan(held)[:-1]
-    table = flat.take(carry[None, :] * size + table)
+    carry <<= 4
+    for t in range(steps):
+        table[t] = flat.take(carry | table[t])
     return np.ascontiguousarray(table.T).ravel()[:n]
 
 
@@ -160,13 +164,18 @@ def beginnings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before = np.empty(len(kinds), np.uint8)
     before[0] = NEW
     before[1:] = reached.take(scan(of_class.take(kinds))[:-1])
-    begins = _begins().ravel().take(kinds.astype(np.intp) * 8 + before)
+    begins = _begins().ravel().take(kinds * np.uint8(8) + before)
     begins[ends] = False
-    width = (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF) + 1
-    width[ends] = 0
     at = np.flatnonzero(begins)
     counts = np.diff(np.searchsorted(at, np.append(0, ends + 1)))
-    return (np.cumsum(width) - width)[at], counts
+    return byte_places(points, ends)[at], counts
+
+
+def byte_places(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The byte of every code point in the UTF-8 of the texts put together; the signs at ``ends`` are not part of them."""
+    width = (points > 0x7F).view(np.uint8) + (points > 0x7FF) + (points > 0xFFFF) + np.uint8(1)
+    width[ends] = 0
+    return np.cumsum(width, dtype=np.int64) - width
 
 
 class Vocabulary:
@@ -276,9 +285,9 @@ class Vocabulary:
         if None in met:
             if len(self.young) >= YOUNG:
                 self.old, self.young = self.young, {}
-            missed = {p for p, m in zip(pieces, met) if m is None}
-            here = {p: self.old[p] for p in missed & self.old.keys()}
-            missed = list(missed - here.keys())
+            missed = [p for p, m in zip(pieces, met) if m is None]
+            here = {p: m for p in missed if (m := self.old.get(p)) is not None}
+            missed = [p for p in missed if p not in here]
             here.update(zip(missed, self.merge(missed)))
             self.young.update(here)
             met = [here[p] if m is None else m for p, m in zip(pieces, met)]
@@ -289,22 +298,17 @@ class Vocabulary:
         raws = [t.encode() for t in texts]
         data = b"".join(raws)
         first, counts = beginnings(texts)
-        bounds = [*first.tolist(), len(data)]
-        pieces = [data[a:b] for a, b in zip(bounds, bounds[1:])]
-        single = np.array(list(map(self.ranks.get, pieces, [-1] * len(pieces))), np.int64)
-        many = np.flatnonzero(single < 0)
-        merged = self.ids([pieces[i] for i in many.tolist()])
-        sizes = np.ones(len(pieces), np.int64)
-        sizes[many] = [len(m) for m in merged]
-        at = np.cumsum(sizes) - sizes
-        ids = np.empty(int(sizes.sum()), np.int64)
-        whole = single >= 0
-        ids[at[whole]] = single[whole]
-        if len(many):
-            of_many = np.repeat(at[many] - (np.cumsum(sizes[many]) - sizes[many]), sizes[many]) + np.arange(int(sizes[many].sum()))
-            ids[of_many] = np.fromiter(chain.from_iterable(merged), np.int64, len(of_many))
+        last = np.append(first[1:], len(data))
+        which, places = distinct(data, first, last) if len(first) else (first, first)
+        pieces = [data[a:b] for a, b in zip(first[which].tolist(), last[which].tolist())]
+        single = list(map(self.ranks.get, pieces))
+        many = iter(self.ids([p for p, s in zip(pieces, single) if s is None]))
+        lists = [next(many) if s is None else (s,) for s in single]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum()))
+        ids, sizes = spread(flat, np.cumsum(lengths) - lengths, lengths, places)
         of_text = np.repeat(np.arange(len(texts)), counts)
-        per_text = np.bincount(of_text, sizes, len(texts)).astype(np.int64) if len(pieces) else np.zeros(len(texts), np.int64)
+        per_text = np.bincount(of_text, sizes, len(texts)).astype(np.int64) if len(first) else np.zeros(len(texts), np.int64)
         lengths = self.lengths[ids]
         text_start = np.cumsum([0, *(len(r) for r in raws)])[:-1]
         return ids, np.cumsum(lengths) - lengths - np.repeat(text_start, per_text), per_text

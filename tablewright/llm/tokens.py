@@ -9,9 +9,10 @@ place in it; the start over all files is that place plus the sizes of the ranges
 one row for each range.
 
 Encoding uses the ``tokenizers`` library.  Its splitting pattern never joins what a single space or line
-break between two words parts, so the ids of words are remembered and a text is put
-together from them; a text with other white space, or with what looks like a special
-token, is encoded as a whole.  The memory of a task is bounded.
+break between two words parts, nor a letter and the sign or figure after it, so texts are cut there.  The
+slices of a batch are told apart as numbers; each distinct one is given to the library once and its ids are put wherever it
+stands.  A text with other white space, or with what looks like a special token, is one slice.  Slices
+met lately are remembered, in two halves of bounded size, of which the older one gives way.
 
 Defined results
 * null or empty text: only the end id; null ids come last; rows of one id are
@@ -33,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tablewright.llm.byte_bpe import byte_places
+from tablewright.llm.slices import distinct, spread
 from tablewright.llm.work import Work, chunks, text_key
 
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-REMEMBERED = 500_000  # words whose ids a worker keeps
+YOUNG = 1 << 18  # slices remembered; then they become the older half of the memory, and the older half before is given up
+SHORT = 64  # bytes of a slice worth remembering
 CHUNK = 1 << 21
-AT_ONCE = 64  # words in one text given to the library
+AT_ONCE = 64  # slices in one text given to the library
 ROW_GROUP = 32 << 20
 LINE_BREAK = 198  # the id of a line break on its own in the byte-level vocabularies of this family
 
@@ -52,24 +56,31 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of texts as little-endian bytes; ``of`` keeps one for each worker process.
+def _kinds() -> np.ndarray:
+    """What is known for sure of the code points below 0x3001: a letter, a sign or figure, white space; the last place is for all others."""
+    kinds = np.zeros(0x3002, np.uint8)
+    kinds[[c for c in range(256) if chr(c).isalpha() and (c < 128 or c >= 0xC0)]] = LETTER
+    kinds[[ord(c) for c in string.punctuation + string.digits]] = SIGN
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = WHITE
+    kinds[[ord(" "), ord("\n")]] = PART
+    return kinds
 
-    A text is cut at single spaces; a line break is a cut too, and FIRST and BREAK
-    mark the words after the start of a text and after a line break.
-    """
 
-    FIRST, BREAK = "\x01", "\x00"
+LETTER, SIGN, WHITE, PART = range(1, 5)
+KINDS = _kinds()
+
+
+class Encoder:
+    """Ids of texts; ``of`` keeps one for each worker process."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.line = self.whole("\n")
-        self.by_words = self.line == np.array([LINE_BREAK], "<u4").tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.by_words = self.whole("\n") == [LINE_BREAK]
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -77,82 +88,97 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; stems are remembered.  ASCII signs after a letter are tokens of their own, so both are looked up apart."""
-        pairs = [(w, w.rstrip(string.punctuation)) for w in words]
-        stems = {s if s and s[-1].isalpha() else w for w, s in pairs}
-        self.ask(stems - self.memory.keys(), self.memory)
-        signed = [(w, s, w[len(s) :]) for w, s in pairs if len(s) < len(w) and s and s[-1].isalpha()]
-        self.ask({self.FIRST + t for _, _, t in signed} - self.signs.keys(), self.signs)
-        get, sign, first = self.memory.get, self.signs.get, self.FIRST
-        return {w: a + b for w, s, t in signed if (a := get(s)) is not None and (b := sign(first + t)) is not None}
-
-    def ask(self, words: set[str], memory: dict[str, bytes]) -> None:
-        """Encode many words in one call, parted by line breaks; words with other white space at an end are left out."""
-        plain = [w for w in words if (t := w.lstrip("\x00\x01")) and t == t.strip()]
-        if not plain:
-            return
-        marks = {self.FIRST: b"", self.BREAK: self.line}
-        spoken = [w[1:] if w[0] in marks else f" {w}" for w in plain]
-        lines = ["\n".join(spoken[i : i + AT_ONCE]) + "\n" for i in range(0, len(spoken), AT_ONCE)]
-        lines[-1] = lines[-1][:-1]
-        coded_lines = self.model.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.fromiter(chain.from_iterable(e.ids for e in coded_lines), "<u4")
-        cuts = np.flatnonzero(ids == LINE_BREAK)
-        if len(cuts) + 1 == len(plain):
+    def whole(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def cuts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte of every slice in the texts put together, number of slices of every text)."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
+        kinds = KINDS.take(np.minimum(points, 0x3001))
+        after = np.append(kinds[1:], PART)  # the end of a text counts as white space
+        special = (points[:-1] == ord("<")) & (points[1:] == ord("|"))
+        parts = kinds == PART
+        odd = (kinds == WHITE) | (parts & (after == PART)) | np.append(special, False)
+        odd[ends] = False
+        of_text = np.repeat(np.arange(len(texts)), sizes + 1)
+        whole = np.zeros(len(texts), bool)
+        whole[of_text[odd]] = True
+        begins = parts.copy()
+        begins[1:] |= points[:-1] == ord("\n")
+        begins[1:] |= (kinds[:-1] == LETTER) & (kinds[1:] == SIGN)
+        begins[1:] |= (kinds[:-1] == SIGN) & (points[:-1] != ord("'")) & (kinds[1:] == LETTER)
+        begins &= ~whole[of_text] if self.by_words else False
+        begins[starts] = True
+        begins[ends] = False
+        at = np.flatnonzero(begins)
+        return byte_places(points, ends)[at], np.diff(np.searchsorted(at, np.append(0, ends + 1)))
+
+    def ids(self, slices: list[bytes]) -> list[bytes]:
+        """Ids of slices, as little-endian 32-bit numbers."""
+        found = list(map(self.young.get, slices))
+        if None in found:
+            if len(self.young) >= YOUNG:
+                self.old, self.young = self.young, {}
+            missed = [s for s, f in zip(slices, found) if f is None]
+            here = {s: f for s in missed if (f := self.old.get(s)) is not None}
+            missed = [s for s in missed if s not in here]
+            here.update(zip(missed, self.ask([s.decode() for s in missed])))
+            self.young.update((s, f) for s, f in here.items() if len(s) <= SHORT)
+            found = [here[s] if f is None else f for s, f in zip(slices, found)]
+        return found
+
+    def ask(self, slices: list[str]) -> list[bytes]:
+        """Encode many slices in few calls: those of one word are parted by line breaks, which are tokens of their own."""
+        bare = [s[1:] if s[:1] == " " else s for s in slices]
+        plain = [s for s, t in zip(slices, bare) if self.by_words and t.split() == [t] and len(t) <= SHORT and "<|" not in t]
+        lines = ["\n".join(plain[i : i + AT_ONCE]) + "\n" for i in range(0, len(plain), AT_ONCE)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        cuts = 4 * np.flatnonzero(ids == LINE_BREAK)
+        told = {}
+        if len(cuts) == len(plain):
             raw = ids.tobytes()
-            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-            coded = [raw[a:b] for a, b in zip(starts, ends)]
-        else:
-            coded = map(self.whole, spoken)
-        memory.update((w, marks.get(w[0], b"") + c) for w, c in zip(plain, coded))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        gc.disable()  # many short-lived lists and tuples, none of them in a cycle
+            told = {s: raw[a:b] for s, a, b in zip(plain, [0, *(cuts[:-1] + 4).tolist()], cuts.tolist())}
+        rest = [s for s in slices if s not in told]
+        told.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)))
+        return [told[s] for s in slices]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of every text)."""
+        gc.disable()  # many short-lived lists, none of them in a cycle
         try:
             return self.encoded(texts)
         finally:
             gc.enable()
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        simple = [i for i, t in enumerate(texts) if self.by_words and t and not ("<|" in t or "\x00" in t or "\x01" in t)]
-        pieces = {i: (self.FIRST + texts[i].replace("\n", " \x00")).split(" ") for i in simple}
-        if len(self.memory) + len(self.signs) > REMEMBERED:
-            self.memory.clear()
-            self.signs.clear()
-        get, put_together = self.memory.get, b"".join
-        out: list = [None] * len(texts)
-        open_ = {}  # texts with words not known yet
-        for i, p in pieces.items():
-            found = list(map(get, p))
-            try:
-                out[i] = put_together(found)
-            except TypeError:
-                open_[i] = found
-        here = self.learn({w for i, f in open_.items() for w, c in zip(pieces[i], f) if c is None})
-        for i, found in open_.items():
-            try:
-                out[i] = put_together([c or get(w) or here.get(w) for w, c in zip(pieces[i], found)])
-            except TypeError:
-                pass  # white space of another kind: encoded as a whole below
-        return [self.whole(t) if c is None else c for t, c in zip(texts, out)]
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = "".join(texts).encode()
+        first, counts = self.cuts(texts)
+        if not len(first):
+            return first, counts
+        last = np.append(first[1:], len(data))
+        which, places = distinct(data, first, last)
+        lists = self.ids([data[a:b] for a, b in zip(first[which].tolist(), last[which].tolist())])
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat = np.frombuffer(b"".join(lists), "<i4")
+        ids, sizes = spread(flat, np.cumsum(lengths) - lengths, lengths, places)
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64)
+        return ids, per_text
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, row = Encoder.of(path), 0, 0
-        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, parts = batch.column(0), batch.column(1)
-            texts = batch.column(2).to_pylist()
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in chunks(texts, CHUNK):
-                coded = [c + tail for c in encoder.encode([t or "" for t in texts[a:b]])]
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                coded, sizes = encoder.encode(texts[a:b])
+                bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.insert(coded, np.cumsum(sizes), end)))
+                sizes = sizes + 1
                 yield pa.RecordBatch.from_arrays(
                     [ids[a:b], parts[a:b], pa.array(np.arange(row, row + b - a)), pa.array(before + bounds[:-1]), pa.array(sizes), lists],
                     names=["id", "part", "row", "start_in_part", "n_tokens", "ids"],
