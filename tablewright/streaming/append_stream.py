@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,28 +17,28 @@ from tablewright.operators.totals import drop_total_rows
 from tablewright.plans.clean import CARRIED, drop_rows, fill_missing, normalise_text, parse_columns, remove_duplicates
 from tablewright.plans.rules import CleanPlan
 from tablewright.session import path_exists
+from tablewright.streaming.signature_log import SignatureLog, digest
 
 BATCH = "_batch"
-BUCKET = "_sig_bucket"
 
 
 class AppendStream:
     """State of an incremental append below one folder.
 
     ``store/kept`` holds base and added rows, ``store/skipped`` the rest,
-    partitioned by micro-batch; ``store/signatures`` the comparison keys, also by
-    hash bucket.  A batch that is run again after a failure
-    replaces its own partition, so the result is the same as if it had run once.
+    partitioned by micro-batch; ``store/signatures`` the digests of the comparison keys in
+    runs that are merged as they grow in number.  A batch that is run again after a failure
+    replaces its own partition and its own run, so the result is the same as if it had run once.
     """
 
     def __init__(self, spark: SparkSession, store: str, plan: CleanPlan, keys: Sequence[str] | None = None,
-                 order_by: Sequence[str] | None = None, buckets: int = 64):
+                 order_by: Sequence[str] | None = None):
         self.spark = spark
         self.store = store.rstrip("/")
         self.plan = plan
         self.keys = signature_keys(plan.columns, keys, plan.exempt)
         self.order_by = order_by
-        self.buckets = buckets
+        self.signatures = SignatureLog(spark, f"{self.store}/signatures", SIGNATURE)
         carried = [c for c, r in plan.fills.items() if r.strategy in CARRIED]
         if carried:
             raise ValueError(f"A stream has no row order to fill {carried} from; use a constant, median, mean or mode.")
@@ -51,53 +51,38 @@ class AppendStream:
     def skipped_path(self) -> str:
         return f"{self.store}/skipped"
 
-    @property
-    def signatures_path(self) -> str:
-        return f"{self.store}/signatures"
-
     def _write(self, df: DataFrame, path: str, batch: int) -> None:
         df.drop(BATCH).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(SIGNATURE), F.lit(self.buckets)).cast("int").alias(BUCKET)
-
-    def _write_signatures(self, df: DataFrame, batch: int) -> None:
-        """One file per bucket and batch, so that a small batch reads few of them."""
-        signed = df.select(SIGNATURE, self._bucket()).repartition(self.buckets, BUCKET)
-        signed.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.signatures_path}/{BATCH}={batch}")
+    def _signed(self, parsed: DataFrame) -> DataFrame:
+        return parsed.withColumn(SIGNATURE, digest(row_signature(parsed, self.keys)))
 
     def start_from(self, base: DataFrame) -> "AppendStream":
         """Store the base as batch -1, read with the frozen plan but not filled."""
         plans = {None: self.plan}
         parsed = parse_columns(drop_total_rows(base), plans)
-        signed = parsed.withColumn(SIGNATURE, row_signature(parsed, self.keys))
+        signed = self._signed(parsed)
         # later batches may hold fractions where the base has whole numbers
         final = fill_missing(parsed, plans).schema
         self._write(parsed.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in final]), self.kept_path, -1)
-        self._write_signatures(signed.select(SIGNATURE).distinct(), -1)
+        self.signatures.add(signed, -1)
         return self
 
-    def _signatures(self, before: int, touched: Sequence[int]) -> DataFrame:
-        """Signatures of the base and of earlier batches, in the buckets touched."""
-        stored = self.spark.read.parquet(self.signatures_path)
-        return stored.where((F.col(BATCH) < before) & F.col(BUCKET).isin(*touched)).select(SIGNATURE)
-
     def process(self, rows: DataFrame, batch: int) -> None:
         """One micro-batch: parse, sign, clean, compare with everything before it."""
+        self.signatures.compact(batch)
         plans = {None: self.plan}
         parsed = parse_columns(drop_total_rows(rows), plans)
-        signed = parsed.withColumn(SIGNATURE, row_signature(parsed, self.keys))
+        signed = self._signed(parsed)
         cleaned = normalise_text(
             remove_duplicates(fill_missing(drop_rows(signed, plans), plans), plans, None, self.order_by, [SIGNATURE]), plans
         )
-        # at most `buckets` numbers, whatever the size of the batch
-        touched = [r[BUCKET] for r in signed.select(self._bucket()).distinct().collect()]
-        if not touched:
+        if signed.isEmpty():
             return
-        marked = classify_new(self._signatures(batch, touched), cleaned.withColumn(FILE_NO, F.lit(0)), self.order_by)
+        marked = classify_new(self.signatures.before(batch), cleaned.withColumn(FILE_NO, F.lit(0)), self.order_by)
         kept = marked.where(F.col("reason").isNull())
         skipped = marked.where(F.col("reason").isNotNull()).drop(FILE_NO, SIGNATURE).withColumnRenamed("reason", fv.REASON_COLUMN)
-        self._write_signatures(kept, batch)
+        self.signatures.add(kept, batch)
         self._write(kept.drop(FILE_NO, SIGNATURE, "reason"), self.kept_path, batch)
         self._write(skipped, self.skipped_path, batch)
 

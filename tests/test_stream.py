@@ -12,7 +12,7 @@ def test_files_that_arrive_are_added_once(spark, tmp_path):
     inbox, store = str(tmp_path / "in"), str(tmp_path / "store")
     first = spark.createDataFrame([("b", "Rp 9.000", "03/04/2025", 1), ("c", "Rp 2.000", "03/04/2025", 1), ("c", "Rp 2.500", "03/04/2025", 2)], cols)
     first.coalesce(1).write.parquet(inbox)
-    stream = tw.AppendStream(spark, store, plan, ["k"], order_by=["v"], buckets=4).start_from(base)
+    stream = tw.AppendStream(spark, store, plan, ["k"], order_by=["v"]).start_from(base)
     stream.run(inbox, base.schema, f"{store}/checkpoint").awaitTermination()
     got = {r["k"]: (r["harga"], str(r["tanggal"])[:10]) for r in stream.kept().collect()}
     assert got == {"a": (1000.0, "2025-03-25"), "b": (3000.0, "2025-03-26"), "c": (2000.0, "2025-04-03")}
