@@ -20,7 +20,7 @@ from tablewright.functions import fixed_values as fv
 from tablewright.operators import combine, profile
 from tablewright.plans.clean import read_dates
 from tablewright.session import materialise, scratch_path
-from tablewright.sources.readers import spread
+from tablewright.sources.readers import list_tables, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1004,6 +1004,30 @@ def csv_round_trip(spark, sf):
     return tw.read_folder(spark, path).drop("Sumber File")
 
 
+@query("csv_quoted_newlines", "SELECT doc_id, nullif(text, '') AS text, 'first' || chr(10) || lang AS lang, source, n_chars FROM documents")
+def csv_quoted_newlines(spark, sf):
+    """Whole texts as cells: records go over many lines and over the splits of a file."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("first\n"), "lang").alias("lang"), "source", "n_chars")
+    path = scratch_path(spark, "csv")
+    plain = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    d.write.options(**plain).csv(path)
+    return tw.read_folder(spark, path).drop("Sumber File")
+
+
+@query("csv_ordered_append", f"""
+    SELECT o_orderkey AS order_no, {ORDER_CENTS} + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 2 END AS cents FROM orders""")
+def csv_ordered_append(spark, sf):
+    """Two rows for each new order: the one that stands first in the files is added, whatever it holds."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_no"), cents("o_totalprice").alias("cents"))
+    copies = F.array(F.col("order_no") % 2, 1 - F.col("order_no") % 2)
+    twice = o.select("order_no", "cents", F.posexplode(copies).alias("copy", "more"))
+    path = scratch_path(spark, "csv")
+    line = twice.repartitionByRange("order_no").sortWithinPartitions("order_no", "copy")
+    line.select("order_no", (F.col("cents") + F.col("more")).alias("cents")).write.option("header", True).csv(path)
+    new = tw.read_csv(spark, list_tables(spark, path), with_order=True)
+    return tw.append_tables(o.where("order_no % 3 = 0"), new, keys=["order_no"]).data
+
+
 @query("csv_latin_encoding", "SELECT c_custkey, 'José ' || c_name AS c_name FROM customer")
 def csv_latin_encoding(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("José "), F.col("c_name")).alias("c_name"))

@@ -19,6 +19,7 @@ from tablewright.operators.order import (
     HOT,
     Bucketed,
     expand_copies,
+    file_order,
     key_struct,
     quoted,
     with_buckets,
@@ -47,6 +48,7 @@ def carry_fill(
     how = {c: h for c, h in how.items() if c in df.columns}
     if not how:
         return df
+    order_by = file_order(df, order_by)
     if not order_by:
         raise ValueError("Filling from neighbouring rows needs order_by: a Spark table has no row order.")
     group = [within] if within else []

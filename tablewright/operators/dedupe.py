@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.operators.order import order_key, quoted
+from tablewright.operators.order import ROW_ORDER, file_order, order_key, quoted
 
 
 def duplicate_keys(df: DataFrame, subset: Sequence[str] | None, exclude: Sequence[str] = ()) -> list[str]:
-    """Columns that make two rows duplicates: the existing ones of ``subset``, or all."""
+    """Columns that make two rows duplicates: those of ``subset``, or all but the place in the files."""
     if subset is None:
-        return [c for c in df.columns if c not in exclude]
+        return [c for c in df.columns if c not in exclude and c != ROW_ORDER]
     missing = [c for c in subset if c not in df.columns]
     if missing:
         raise KeyError(f"Unknown duplicate columns: {missing}")
@@ -30,7 +30,7 @@ def dedupe(
 ) -> DataFrame:
     """Keep the first, the last or none of the rows that share a key; null equals null.
 
-    The order is ``order_by``, then all remaining columns, so the survivor is
+    The order is ``order_by`` (the place in the files where it is known), then all remaining columns, so the survivor is
     defined (``dropDuplicates`` would pick any).  Comparing whole rows needs no
     order at all and is a plain partial aggregate.  Otherwise ``row_number() <= k``
     is pushed below the shuffle (window group limit): each task sends at most one
@@ -46,7 +46,7 @@ def dedupe(
         raise ValueError("keep must be 'first', 'last' or 'none'")
     if set(keys) == set(df.columns):
         return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("_n")).drop("_n")
-    leaves = order_key(df, order_by)
+    leaves = order_key(df, file_order(df, order_by))
     order = [c.asc_nulls_first() if keep == "first" else c.desc_nulls_last() for c in leaves]
     w = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+ROW_ORDER = "_ord"  # where a row stands in its files; sorted by, but touched by no rule and never compared
 BUCKET = "_bucket"
 HOT = "_hot"
 SAMPLE_PER_BUCKET = 32
@@ -40,6 +41,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def file_order(df: DataFrame, order_by: Sequence[str] | None) -> list[str] | None:
+    """``order_by``; without it the place in the files, for a table that was read with it."""
+    return list(order_by) if order_by else [ROW_ORDER] if ROW_ORDER in df.columns else None
+
+
 def _hashable(c: Column, dtype: T.DataType) -> Column:
     """Maps and variants have no hash of their own; their JSON text has."""
     simple = not any(k in dtype.simpleString() for k in ("map<", "variant"))

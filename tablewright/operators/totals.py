@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablewright.functions import fixed_values as fv
 from tablewright.functions.names import name_matches
 from tablewright.functions.numbers import trim_all
-from tablewright.operators.order import order_key, quoted
+from tablewright.operators.order import ROW_ORDER, order_key, quoted
 
 
 def total_columns(df: DataFrame, match: str = "word") -> list[str]:
@@ -56,7 +56,7 @@ def with_total_row(df: DataFrame, match: str = "word", add_total_row: bool | Non
 
 def is_total_row(df: DataFrame) -> Column:
     """"TOTAL" in the first column and nothing in the others."""
-    first, *rest = df.columns
+    first, *rest = [c for c in df.columns if c != ROW_ORDER]
     test = F.upper(trim_all(quoted(first).cast("string"))) == fv.TOTAL_LABEL
     for c in rest:
         test = test & quoted(c).isNull()

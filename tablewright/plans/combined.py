@@ -26,7 +26,7 @@ from tablewright.operators.combine import (
     unite,
 )
 from tablewright.operators.dedupe import duplicate_provenance
-from tablewright.operators.order import quoted
+from tablewright.operators.order import ROW_ORDER, file_order, quoted
 from tablewright.operators.recommend import Recommendation, recommend_combine
 from tablewright.operators.totals import drop_total_rows, is_total_row
 from tablewright.plans.clean import finish, parse_columns, plan_and_parse, read_dates
@@ -88,7 +88,7 @@ def clean_merged(
     values, the number of removed rows on cleaned ones, so the two may differ.
     """
     raw = stack(tables, source_col, number=True)
-    feature = [c for c in raw.columns if c not in (source_col, FILE_NO)]
+    feature = [c for c in raw.columns if c not in (source_col, FILE_NO, ROW_ORDER)]
     counts = duplicate_provenance(raw, FILE_NO, feature)
     files = raw.sparkSession.createDataFrame(
         [(no, _base_name(name)) for no, name in enumerate(tables)], "no int, file string"
@@ -99,7 +99,7 @@ def clean_merged(
                                 for c in ("rows", "duplicates_inside", "duplicates_across")])
     )
     cfg = (cfg or CleanConfig()).without(source_col, FILE_NO)
-    result = clean(raw, cfg, [FILE_NO, *(order_by or ())], source=f"Merged ({len(tables)} files)")
+    result = clean(raw, cfg, [FILE_NO, *(file_order(raw, order_by) or ())], source=f"Merged ({len(tables)} files)")
     result = replace(result, data=result.data.drop(FILE_NO))
     return MergeResult(result, file_counts, len(tables))
 
@@ -249,17 +249,19 @@ def append_tables(
     Signatures of new rows are taken after parsing and before empty cells are
     filled, so appending the same file twice adds nothing the second time;
     ``compare="filled"`` compares the filled values instead.  The source column
-    is never compared.
+    is never compared, nor is the place in the files: where all new tables were read with it (``_ord``)
+    it tells which of equal rows comes first.
     """
     if isinstance(new, DataFrame):
         new = {"new": new}
     if not new:
         raise ValueError("Append needs at least one new table.")
     cfg = cfg or CleanConfig()
+    base, placed = base.drop(ROW_ORDER), all(ROW_ORDER in d.columns for d in new.values())
     columns = [c for c in base.columns if c != source_col]
     if source_col:
         cfg = cfg.without(source_col)
-    cfg = cfg.without(FILE_NO)
+    cfg = cfg.without(FILE_NO, ROW_ORDER)
 
     raw_base = base
     base = drop_total_rows(base)
@@ -268,7 +270,9 @@ def append_tables(
         base = base.withColumn(source_col, F.lit(base_name))
 
     names = {no: _base_name(n) for no, n in enumerate(new)}
-    incoming = stack_new(base_name, columns, {n: d.drop(source_col) if source_col else d for n, d in new.items()}, source_col)
+    aside = [c for c in (source_col, None if placed else ROW_ORDER) if c]
+    incoming = stack_new(base_name, [*columns, *([ROW_ORDER] if placed else [])], {n: d.drop(*aside) for n, d in new.items()}, source_col)
+    order_by = file_order(incoming, order_by)
     plans, parsed = plan_and_parse(incoming, cfg, FILE_NO, order_by)
     for no in names:  # a file without rows
         plans.setdefault(no, CleanPlan(tuple(c for c in incoming.columns if c != FILE_NO), exempt=cfg.exempt))
@@ -287,7 +291,7 @@ def append_tables(
     signed_base = sign(base)
     classified = classify_new(signed_base, cleaned, order_by, hot_rows)
 
-    visible = [c for c in cleaned.columns if c not in (FILE_NO, SIGNATURE)]
+    visible = [c for c in cleaned.columns if c not in (FILE_NO, SIGNATURE, ROW_ORDER)]
     added = classified.where(F.col("reason").isNull()).select(*[quoted(c) for c in visible])
     file_names = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(FILE_NO))
     skipped = classified.where(F.col("reason").isNotNull()).select(

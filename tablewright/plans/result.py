@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.config import CleanConfig
 from tablewright.functions.names import column_role
-from tablewright.operators.order import quoted
+from tablewright.operators.order import ROW_ORDER, file_order, quoted
 from tablewright.plans.clean import apply_plans, finish, plan_and_parse
 from tablewright.plans.rules import CleanPlan, action_text
 
@@ -59,7 +59,7 @@ class CleanResult:
         schema = self.data.sparkSession.createDataFrame(
             [
                 (i, f.name, f.dataType.simpleString(), int(self.plan.missing.get(f.name, 0)))
-                for i, f in enumerate(self.data.schema.fields, start=1)
+                for i, f in enumerate((f for f in self.data.schema.fields if f.name != ROW_ORDER), start=1)
             ],
             "no int, column string, type string, missing_found bigint",
         )
@@ -97,16 +97,17 @@ def clean(
 
     The median is taken before duplicates are removed, and duplicates are compared
     before text is normalised (``duplicate.after_text`` changes that).  ``order_by``
-    defines "first", "last", forward and backward; without it all columns do.
+    defines "first", "last", forward and backward; without it the place in the files does (a
+    column ``_ord``, which no rule touches), else all columns.
     """
-    cfg = cfg or CleanConfig()
+    cfg, order_by = (cfg or CleanConfig()).without(ROW_ORDER), file_order(df, order_by)
     plans, parsed = plan_and_parse(df, cfg, order_by=order_by)
     return CleanResult(finish(parsed, plans, order_by=order_by), plans[None], source)
 
 
 def clean_with_plan(df: DataFrame, plan: CleanPlan, order_by: Sequence[str] | None = None) -> DataFrame:
     """Apply a stored plan to a table with the same columns; reads no statistics."""
-    return apply_plans(df, {None: plan}, order_by=order_by)
+    return apply_plans(df, {None: plan}, order_by=file_order(df, order_by))
 
 
 def clean_tables(

@@ -7,19 +7,24 @@ the cleaning rules to decide.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import fixed_values as fv
 from tablewright.functions.numbers import trim_all
+from tablewright.operators.order import ROW_ORDER as ORDER
 from tablewright.operators.order import quoted
 from tablewright.operators.profile import string_columns
-from tablewright.session import filesystem
+from tablewright.session import filesystem, materialise
+from tablewright.sources.records import cut_records
 
-SUPPORTED = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc", "xlsx": "workbook"}
-ORDER = "_ord"
+SUPPORTED = {"csv": "csv", "parquet": "parquet", "json": "json", "orc": "orc"}
+_NAME = "_file_name"
 UTF8, WINDOWS, LATIN = "utf-8", "windows-1252", "latin-1"
 
 INTEGER = r"^\s*[+-]?\d+\s*$"
@@ -42,7 +47,7 @@ def list_tables(spark: SparkSession, folder: str, extensions: Sequence[str] = ("
     """Paths of a folder's files with the given extensions, in name order."""
     fs, path = filesystem(spark, folder)
     if not fs.exists(path):
-        raise FileNotFoundError(f"File '{folder}' tidak ditemukan!")
+        raise FileNotFoundError(f"No folder {folder}.")
     wanted = tuple(f".{e.lower().lstrip('.')}" for e in extensions)
     found = [str(s.getPath()) for s in fs.listStatus(path) if not s.isDirectory()]
     return sorted(p for p in found if p.lower().endswith(wanted))
@@ -53,12 +58,15 @@ def format_of(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if extension not in SUPPORTED:
-        raise ValueError(f"Format '.{extension}' tidak didukung! Gunakan: {', '.join(sorted(SUPPORTED))}")
+        raise ValueError(f"Cannot read {path}: the extension is {extension!r}, known are {', '.join(sorted(SUPPORTED))}.")
     return SUPPORTED[extension]
 
 
 def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, encoding) per file: the first of UTF-8, windows-1252, latin-1 that fits.
+    """(path, encoding, long_cells) per file: the first of UTF-8, windows-1252, latin-1 that fits.
+
+    ``long_cells`` tells that a cell may go over several lines: some line has an odd number of
+    quotes, or one that neither opens nor closes a cell.
 
     Lines are checked where they are read and only flags are combined, so a file
     of any size is checked by many tasks.
@@ -68,41 +76,67 @@ def file_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     flags = raw.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(wide.rlike(fv.CP1252_UNDEFINED)).alias("undefined"),
+        F.bool_or(((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1) | F.col("value").rlike('[^,"]"[^,"]')).alias("long_cells"),
     )
     return flags.select(
         "path",
         F.when(F.col("utf8"), F.lit(UTF8)).when(~F.col("undefined"), F.lit(WINDOWS)).otherwise(F.lit(LATIN)).alias("encoding"),
+        F.coalesce("long_cells", F.lit(False)).alias("long_cells"),
     )
 
 
-def _csv(spark: SparkSession, paths: Sequence[str], encoding: str, multi_line: bool) -> DataFrame:
+def _windows(c: Column | str) -> Column:
+    """Read byte by byte before; the characters windows-1252 has instead of the control codes 0x80-0x9F are put in place."""
+    return F.translate(c, fv.CP1252_BYTES, fv.CP1252_CHARS)
+
+
+def _csv(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """Cells, file, name and place of files in which every line is a record."""
     reader = (
         spark.read.option("header", True).option("inferSchema", False)
-        .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+        .option("quote", '"').option("escape", '"')
         .option("encoding", "UTF-8" if encoding == UTF8 else "ISO-8859-1")
         .option("enforceSchema", False)
     )
     df = reader.csv(list(paths))
     data = df.columns
-    df = df.select("*", "_metadata")
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    df = df.select("*", F.col("_metadata.file_name").alias(_NAME), place.alias(ORDER))
     if encoding == WINDOWS:
-        # read byte by byte above, then the characters windows-1252 has instead
-        # of the control codes 0x80-0x9F are put in place, in names as well
         table = str.maketrans(fv.CP1252_BYTES, fv.CP1252_CHARS)
-        df = df.select(
-            *[F.translate(quoted(c), fv.CP1252_BYTES, fv.CP1252_CHARS).alias(c.translate(table)) for c in data],
-            "_metadata",
-        )
+        df = df.select(*[_windows(quoted(c)).alias(c.translate(table)) for c in data], _NAME, ORDER)
     return df
 
 
+def _csv_records(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """The same of files with line breaks inside cells: records are cut first, then each is parsed by itself."""
+    text = F.decode("record", "UTF-8" if encoding == UTF8 else "ISO-8859-1")
+    records = cut_records(spark, paths).withColumn("record", _windows(text) if encoding == WINDOWS else text)
+    order = F.struct("block", "no")
+    headers = records.groupBy("file").agg(F.min_by("record", order).alias("record"), F.min(order).alias("at"))
+    headers = materialise(headers, "csv-headers")
+    names = {tuple(next(csv.reader([r["record"].removeprefix("\ufeff")], strict=False))) for r in headers.select("record").distinct().collect()}
+    if len(names) > 1:
+        raise ValueError(f"The files have different headers: {sorted(names)}")
+    columns = list(names.pop()) if names else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    # one row for each file: where its header stands
+    body = records.join(headers.select(F.col("file").alias("f"), "at"), (F.col("file") == F.col("f")) & (F.struct("block", "no") > F.col("at")))
+    cells = F.from_csv("record", F.lit(schema.toDDL()), {"quote": '"', "escape": '"', "multiLine": "true"})
+    name = F.url_decode(F.replace(F.substring_index("file", "/", -1), F.lit("+"), F.lit("%2B")))
+    place = F.struct("file", "block", F.col("no").alias("row"))
+    return body.select(cells.alias("cells"), name.alias(_NAME), place.alias(ORDER)).select("cells.*", _NAME, ORDER)
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
     infer: bool = True,
     source_col: str | None = None,
     with_order: bool = False,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     encoding: str | None = None,
 ) -> DataFrame:
     """CSV files with equal headers as one table.
@@ -110,28 +144,24 @@ def read_csv(
     Each file is read in its own encoding, files of one encoding together;
     ``encoding`` (utf-8, windows-1252 or latin-1) skips the pass that finds it out.
     ``source_col`` keeps the file name (S7).  ``with_order`` adds ``_ord``, which
-    sorts rows as they stand in the files.  ``multi_line`` allows line breaks in
-    quoted cells, at the price that a file is read by one task.
+    sorts rows as they stand in the files.
+
+    Quoted cells may hold line breaks.  Files in which that may be (the same pass tells) are cut
+    into records by many tasks; ``multi_line`` says so (or that it is not so) without that pass.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    by_encoding: dict[str, list[str]] = {encoding: paths} if encoding else {}
-    if not encoding:
+    groups: dict[tuple[str, bool], list[str]] = {}
+    if encoding and multi_line is not None:
+        groups[encoding, multi_line] = paths
+    else:
         for row in file_encodings(spark, paths).orderBy("path").collect():
-            by_encoding.setdefault(row["encoding"], []).append(row["path"])
+            groups.setdefault((encoding or row["encoding"], row["long_cells"] if multi_line is None else multi_line), []).append(unquote(row["path"]))
     parts = []
-    for name, group in by_encoding.items():
-        df = _csv(spark, group, name, multi_line)
-        data = [c for c in df.columns if c != "_metadata"]
-        extra = []
-        if source_col:
-            extra.append(F.col("_metadata.file_name").alias(source_col))
-        if with_order:
-            extra.append(F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias(ORDER))
-        parts.append(df.select(*[quoted(c) for c in data], *extra))
+    for (name, records), group in groups.items():
+        df = (_csv_records if records else _csv)(spark, group, name)
+        data = [c for c in df.columns if c not in (_NAME, ORDER)]
+        extra = [F.col(_NAME).alias(source_col)] if source_col else []
+        parts.append(df.select(*[quoted(c) for c in data], *extra, *([ORDER] if with_order else [])))
     if not parts:
         raise ValueError("No rows found in the given files.")
     out = parts[0]
@@ -189,18 +219,14 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return read_table(spark, path).columns
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, sheet: str | int = 0, **options) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
     """One table in any supported format."""
     fs, p = filesystem(spark, path)
     if not fs.exists(p):
-        raise FileNotFoundError(f"File '{path}' tidak ditemukan!")
+        raise FileNotFoundError(f"Nothing at {path}.")
     fmt = fmt or format_of(path)
     if fmt == "csv":
         return read_csv(spark, path, **options)
-    if fmt == "workbook":
-        from tablewright.sources.workbooks import read_sheet
-
-        return read_sheet(spark, path, sheet, **options)
     return spark.read.format(fmt).load(path)
 
 
