@@ -572,7 +572,8 @@ JOIN_SQL = """
     c AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS cust, c_name FROM customer),
     o AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS cust, o_orderkey AS "order", o_orderstatus AS status FROM orders),
     l AS (SELECT l_orderkey AS "order", l_linenumber, l_quantity, l_linestatus AS status_lineitem FROM lineitem),
-    co AS (SELECT c.cust, c_name, "order", status FROM c LEFT JOIN o ON c.cust = o.cust)"""
+    co AS (SELECT c.cust, c_name, "order", status FROM c LEFT JOIN o ON c.cust = o.cust),
+    col AS (SELECT co.*, l_linenumber, l_quantity, status_lineitem FROM co LEFT JOIN l ON co."order" = l."order")"""
 
 
 @query("join_chain", f"""
@@ -865,37 +866,38 @@ def merge_summary(spark, sf):
 
 @query("clean_joined", f"""
     WITH {JOIN_SQL}
-    SELECT DISTINCT co.cust, c_name, coalesce("order", -1) AS "order", coalesce(status, 'Unknown') AS status FROM co""")
+    SELECT DISTINCT cust, c_name, coalesce("order", -1) AS "order", coalesce(status, 'Unknown') AS status, coalesce(l_linenumber, -1) AS l_linenumber,
+           coalesce(l_quantity, -1) AS l_quantity, coalesce(status_lineitem, 'Unknown') AS status_lineitem FROM col""")
 def clean_joined(spark, sf):
-    two = dict(list(join_tables(spark, sf).items())[:2])
     cfg = CleanConfig.from_dict({"missing": {"numeric_strategy": "constant", "numeric_constant": -1}, "text": {"case_format": None}})
-    return tw.clean_joined(two, "cust", cfg).data
+    return tw.clean_joined(join_tables(spark, sf), "cust,order", cfg).data
 
 
 @query("join_summary", f"""
     WITH {JOIN_SQL},
-    r AS (SELECT count(*) AS n, count(*) FILTER (WHERE "order" IS NULL) AS e FROM co),
-    u AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM co)),
-    w AS (SELECT count(*) AS n FROM o WHERE cust IS NULL OR cust NOT IN (SELECT cust FROM c))
-    SELECT 'rows_in' AS metric, n AS value FROM r UNION ALL SELECT 'columns_in', 4 UNION ALL SELECT 'rows_dropped', 0
+    r AS (SELECT count(*) AS n, 2 * count(*) FILTER (WHERE "order" IS NULL) + 3 * count(*) FILTER (WHERE l_linenumber IS NULL) AS e FROM col),
+    u AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM col)),
+    w AS (SELECT (SELECT count(*) FROM o WHERE cust IS NULL OR cust NOT IN (SELECT cust FROM c))
+               + (SELECT count(*) FROM l WHERE "order" NOT IN (SELECT "order" FROM co WHERE "order" IS NOT NULL)) AS n)
+    SELECT 'rows_in' AS metric, n AS value FROM r UNION ALL SELECT 'columns_in', 7 UNION ALL SELECT 'rows_dropped', 0
     UNION ALL SELECT 'duplicates_removed', r.n - u.n FROM r, u
-    UNION ALL SELECT 'missing_found', 2 * e FROM r UNION ALL SELECT 'missing_repaired', 2 * e FROM r
-    UNION ALL SELECT 'unparsed', 0 UNION ALL SELECT 'rows_out', n FROM u UNION ALL SELECT 'columns_out', 4
+    UNION ALL SELECT 'missing_found', e FROM r UNION ALL SELECT 'missing_repaired', e FROM r
+    UNION ALL SELECT 'unparsed', 0 UNION ALL SELECT 'rows_out', n FROM u UNION ALL SELECT 'columns_out', 7
     UNION ALL SELECT 'orphans', n FROM w""")
 def join_summary(spark, sf):
-    two = dict(list(join_tables(spark, sf).items())[:2])
-    return tw.clean_joined(two, "cust").summary()
+    return tw.clean_joined(join_tables(spark, sf), "cust,order").summary()
 
 
 @query("join_stage_summary", f"""
     WITH {JOIN_SQL},
-    s AS (SELECT count(*) AS n, count(*) FILTER (WHERE cust IN (SELECT cust FROM o WHERE cust IS NOT NULL)) AS m FROM c)
-    SELECT 1 AS stage, 'customer.csv' AS left_name, 'orders.csv' AS right_name, 'cust' AS key, n AS left_rows, m AS matched_rows,
+    s AS (SELECT 1 AS stage, 'customer.csv' AS left_name, 'orders.csv' AS right_name, 'cust' AS key,
+                 count(*) AS n, count(*) FILTER (WHERE cust IN (SELECT cust FROM o WHERE cust IS NOT NULL)) AS m FROM c
+          UNION ALL SELECT 2, 'hasil gabungan', 'lineitem.csv', 'order', count(*), count(*) FILTER (WHERE "order" IN (SELECT "order" FROM l)) FROM co)
+    SELECT stage, left_name, right_name, key, n AS left_rows, m AS matched_rows,
            n - m AS unmatched_rows, round(m * 100.0 / n, 2) AS match_rate, printf('%.2f%%', round(m * 100.0 / n, 2)) AS rate_text,
-           'customer.csv + orders.csv (key: cust) → ' || printf('%.2f%%', round(m * 100.0 / n, 2)) || ' match' AS flow FROM s""")
+           left_name || ' + ' || right_name || ' (key: ' || key || ') → ' || printf('%.2f%%', round(m * 100.0 / n, 2)) || ' match' AS flow FROM s""")
 def join_stage_summary(spark, sf):
-    two = dict(list(join_tables(spark, sf).items())[:2])
-    return tw.clean_joined(two, "cust").stage_summary()
+    return tw.clean_joined(join_tables(spark, sf), "cust,order").stage_summary()
 
 
 @query("auto_merge", f"""
@@ -905,19 +907,20 @@ def auto_merge(spark, sf):
 
 
 @query("auto_join", """
-    SELECT n_name, s_name, s_acctbal, s_suppkey, l_linenumber, l_quantity, n_nationkey FROM nation
-    LEFT JOIN supplier ON n_nationkey = s_nationkey LEFT JOIN
-      (SELECT DISTINCT l_suppkey, l_linenumber, l_quantity FROM lineitem) ON s_suppkey = l_suppkey
-    WHERE s_suppkey IS NOT NULL""")
+    SELECT DISTINCT n_name, coalesce(s_name, 'Unknown') AS s_name, coalesce(s_acctbal, -1) AS s_acctbal, coalesce(s_suppkey, -1) AS s_suppkey,
+           coalesce(l_linenumber, -1) AS l_linenumber, coalesce(l_quantity, -1) AS l_quantity, n_nationkey FROM nation
+    LEFT JOIN supplier ON n_nationkey = s_nationkey LEFT JOIN lineitem ON s_suppkey = l_suppkey""")
 def auto_join(spark, sf):
     parts = {
         "nation.csv": table(spark, sf, "nation").select("n_nationkey", "n_name"),
         "supplier.csv": table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey", "s_name", "s_acctbal"),
         "lineitem.csv": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_linenumber", "l_quantity"),
     }
-    cfg = CleanConfig.from_dict({"text": {"case_format": None}, "number": {"auto_detect": False}, "date": {"auto_detect": False}})
-    # nations without a supplier have no key to look at further
-    return tw.combine_auto(parts, cfg)[1].data.where("s_name <> 'Unknown'")
+    cfg = CleanConfig.from_dict({
+        "text": {"case_format": None}, "number": {"auto_detect": False}, "date": {"auto_detect": False},
+        "missing": {"numeric_strategy": "constant", "numeric_constant": -1},
+    })
+    return tw.combine_auto(parts, cfg)[1].data
 
 
 @query("tables_summary", """
