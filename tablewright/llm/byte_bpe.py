@@ -25,7 +25,7 @@ import base64
 import gc
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.slices import distinct, spread
+from tablewright.llm.slices import Memory, told
 from tablewright.llm.work import chunks
 
 RANKS = "byte_bpe_50k.tiktoken"
-CHUNK = 1 << 21  # bytes of text in one scan
-YOUNG = 1 << 18  # slices remembered; then they become the older half of the memory, and the older half before is given up
+CHUNK = 1 << 20  # bytes of text in one scan
+REMEMBERED = 1 << 18  # slices, in each half of the memory of a worker: some 12 MB
 SHORT = 64  # bytes; longer slices are merged with a heap
 NEVER = 1 << 60
+ROWS = 512  # rows taken from a batch at once
 
 LETTER, NUMBER, OTHER, BLANK, SPACE, BREAK, SHORT_FORM, LONG_FORM, END = range(9)  # classes
 NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, ONE_MORE, TWO_MORE = range(8)  # states
@@ -193,14 +194,7 @@ class Vocabulary:
             words[rank], self.lengths[rank] = word, len(word)
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        made = [(self.ranks[a] * size + self.ranks[b], r) for w, r in self.ranks.items() for i in range(1, len(w)) if (a := w[:i]) in self.ranks and (b := w[i:]) in self.ranks]
-        made.sort()
-        self.pairs, self.made = (np.array(x, np.int64) for x in zip(*made))
-        letters = np.arange(256)
-        self.two = self.pair(self.single[np.repeat(letters, 256)], self.single[np.tile(letters, 256)]).reshape(256, 256)
-        self.young: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
+        self.memory = Memory(REMEMBERED)
 
     @classmethod
     def of(cls, path: str) -> "Vocabulary":
@@ -208,6 +202,28 @@ class Vocabulary:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @cached_property
+    def single(self) -> np.ndarray:
+        """The id of every byte."""
+        return np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+
+    @cached_property
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """(two ids as one number, the id of their bytes put together), sorted, for all pairs that make an entry."""
+        size = len(self.lengths)
+        made = [
+            (self.ranks[a] * size + self.ranks[b], r) for w, r in self.ranks.items() for i in range(1, len(w)) if (a := w[:i]) in self.ranks and (b := w[i:]) in self.ranks
+        ]
+        pairs, ids = np.array(made, np.int64).reshape(-1, 2).T
+        order = np.argsort(pairs)
+        return pairs[order], ids[order]
+
+    @cached_property
+    def two(self) -> np.ndarray:
+        """The rank of every pair of bytes."""
+        letters = np.arange(256)
+        return self.pair(self.single[np.repeat(letters, 256)], self.single[np.tile(letters, 256)]).reshape(256, 256)
+
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of slices: in each the adjacent pair of lowest rank is merged, the leftmost of equals, until none has a rank.
 
@@ -251,9 +267,10 @@ class Vocabulary:
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the bytes of two ids put together, or NEVER."""
+        pairs, made = self.joined
         wanted = left * len(self.lengths) + right
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == wanted, self.made[at], NEVER)
+        at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+        return np.where(pairs[at] == wanted, made[at], NEVER)
 
     def _merge_long(self, piece: bytes) -> list[int]:
         rank, n = self.ranks.get, len(piece)
@@ -279,34 +296,20 @@ class Vocabulary:
             i = stop[i]
         return ids
 
-    def ids(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of slices that are no entries; those met lately are in memory."""
-        met = list(map(self.young.get, pieces))
-        if None in met:
-            if len(self.young) >= YOUNG:
-                self.old, self.young = self.young, {}
-            missed = [p for p, m in zip(pieces, met) if m is None]
-            here = {p: m for p in missed if (m := self.old.get(p)) is not None}
-            missed = [p for p in missed if p not in here]
-            here.update(zip(missed, self.merge(missed)))
-            self.young.update(here)
-            met = [here[p] if m is None else m for p, m in zip(pieces, met)]
-        return met
+    def ask(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices, number of ids of each): an entry of the vocabulary is one id, other slices are merged."""
+        single = list(map(self.ranks.get, pieces))
+        many = iter(self.merge([p for p, s in zip(pieces, single) if s is None]))
+        lists = [next(many) if s is None else (s,) for s in single]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offset of every id in its text, number of ids of every text)."""
         raws = [t.encode() for t in texts]
         data = b"".join(raws)
         first, counts = beginnings(texts)
-        last = np.append(first[1:], len(data))
-        which, places = distinct(data, first, last) if len(first) else (first, first)
-        pieces = [data[a:b] for a, b in zip(first[which].tolist(), last[which].tolist())]
-        single = list(map(self.ranks.get, pieces))
-        many = iter(self.ids([p for p, s in zip(pieces, single) if s is None]))
-        lists = [next(many) if s is None else (s,) for s in single]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum()))
-        ids, sizes = spread(flat, np.cumsum(lengths) - lengths, lengths, places)
+        ids, sizes = told(data, first, np.append(first[1:], len(data)), self.memory, self.ask) if len(first) else (first, first)
         of_text = np.repeat(np.arange(len(texts)), counts)
         per_text = np.bincount(of_text, sizes, len(texts)).astype(np.int64) if len(first) else np.zeros(len(texts), np.int64)
         lengths = self.lengths[ids]
@@ -318,7 +321,7 @@ class Vocabulary:
         if not len(ids):
             return b""
         lengths = self.lengths[ids]
-        at = offsets - offsets[0]
+        at = offsets.astype(np.int64) - int(offsets[0])
         out = np.zeros(int(at[-1] + lengths[-1]), np.uint8)
         inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         out[np.repeat(at, lengths) + inside] = self.bytes[np.repeat(self.starts[ids], lengths) + inside]
@@ -332,7 +335,7 @@ def _texts(column) -> list[str]:
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary.of(path)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = _texts(batch.column(1))
             for a, b in chunks(texts, CHUNK):
                 gc.disable()  # many short lists, none of them in a cycle
@@ -348,12 +351,14 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary.of(path)
-        for batch in batches:
-            ids, offsets = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "offsets"))
-            bounds = np.asarray(ids.offsets)
-            i, o = (np.asarray(x.values, np.int64) for x in (ids, offsets))
-            texts = [words.decode(i[a:b], o[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            for start in range(0, max(1, whole.num_rows), ROWS):
+                batch = whole.slice(start, ROWS)
+                ids, offsets = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "offsets"))
+                bounds = np.asarray(ids.offsets)
+                i, o = (np.asarray(x.values) for x in (ids, offsets))
+                texts = [words.decode(i[a:b], o[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return run
 

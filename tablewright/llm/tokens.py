@@ -35,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.byte_bpe import byte_places
-from tablewright.llm.slices import distinct, spread
+from tablewright.llm.slices import Memory, told
 from tablewright.llm.work import Work, chunks, text_key
 
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-YOUNG = 1 << 18  # slices remembered; then they become the older half of the memory, and the older half before is given up
-SHORT = 64  # bytes of a slice worth remembering
+REMEMBERED = 1 << 19  # slices, in each half of the memory of a worker: some 25 MB
+SHORT = 64  # signs of a slice that is encoded together with others
+ROWS = 1024  # rows taken from a batch at once
 CHUNK = 1 << 21
 AT_ONCE = 64  # slices in one text given to the library
 ROW_GROUP = 32 << 20
@@ -78,8 +79,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.memory = Memory(REMEMBERED)
         self.by_words = self.whole("\n") == [LINE_BREAK]
 
     @classmethod
@@ -116,34 +116,22 @@ class Encoder:
         at = np.flatnonzero(begins)
         return byte_places(points, ends)[at], np.diff(np.searchsorted(at, np.append(0, ends + 1)))
 
-    def ids(self, slices: list[bytes]) -> list[bytes]:
-        """Ids of slices, as little-endian 32-bit numbers."""
-        found = list(map(self.young.get, slices))
-        if None in found:
-            if len(self.young) >= YOUNG:
-                self.old, self.young = self.young, {}
-            missed = [s for s, f in zip(slices, found) if f is None]
-            here = {s: f for s in missed if (f := self.old.get(s)) is not None}
-            missed = [s for s in missed if s not in here]
-            here.update(zip(missed, self.ask([s.decode() for s in missed])))
-            self.young.update((s, f) for s, f in here.items() if len(s) <= SHORT)
-            found = [here[s] if f is None else f for s, f in zip(slices, found)]
-        return found
-
-    def ask(self, slices: list[str]) -> list[bytes]:
+    def ask(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Encode many slices in few calls: those of one word are parted by line breaks, which are tokens of their own."""
+        slices = [s.decode() for s in raw]
         bare = [s[1:] if s[:1] == " " else s for s in slices]
         plain = [s for s, t in zip(slices, bare) if self.by_words and t.split() == [t] and len(t) <= SHORT and "<|" not in t]
         lines = ["\n".join(plain[i : i + AT_ONCE]) + "\n" for i in range(0, len(plain), AT_ONCE)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
         cuts = 4 * np.flatnonzero(ids == LINE_BREAK)
-        told = {}
+        known = {}
         if len(cuts) == len(plain):
-            raw = ids.tobytes()
-            told = {s: raw[a:b] for s, a, b in zip(plain, [0, *(cuts[:-1] + 4).tolist()], cuts.tolist())}
-        rest = [s for s in slices if s not in told]
-        told.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)))
-        return [told[s] for s in slices]
+            coded = ids.tobytes()
+            known = {s: coded[a:b] for s, a, b in zip(plain, [0, *(cuts[:-1] + 4).tolist()], cuts.tolist())}
+        rest = [s for s in slices if s not in known]
+        known.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)))
+        lists = [known[s] for s in slices]
+        return np.frombuffer(b"".join(lists), "<i4"), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of every text)."""
@@ -158,12 +146,7 @@ class Encoder:
         first, counts = self.cuts(texts)
         if not len(first):
             return first, counts
-        last = np.append(first[1:], len(data))
-        which, places = distinct(data, first, last)
-        lists = self.ids([data[a:b] for a, b in zip(first[which].tolist(), last[which].tolist())])
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        flat = np.frombuffer(b"".join(lists), "<i4")
-        ids, sizes = spread(flat, np.cumsum(lengths) - lengths, lengths, places)
+        ids, sizes = told(data, first, np.append(first[1:], len(data)), self.memory, self.ask)
         per_text = np.bincount(np.repeat(np.arange(len(texts)), counts), sizes, len(texts)).astype(np.int64)
         return ids, per_text
 
@@ -171,7 +154,7 @@ class Encoder:
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, row = Encoder.of(path), 0, 0
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             ids, parts = batch.column(0), batch.column(1)
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in chunks(texts, CHUNK):
