@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.byte_bpe import byte_places
 from tablewright.llm.slices import Memory, told
-from tablewright.llm.work import Work, chunks, text_key
+from tablewright.llm.work import Work, chunks, small_batches, text_key
 
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -183,10 +183,11 @@ def write(docs: DataFrame, path: str, id_col="doc_id", text_col="text", tokenize
     order = [F.col("id").asc_nulls_last(), F.col("key")]
     dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("id", F.spark_partition_id().alias("part"), "text")
     coded = dealt.mapInArrow(_encode(tokenizer or vocabulary(), end), f"id {kind}, part int, row bigint, start_in_part bigint, n_tokens bigint, ids array<int>")
-    coded.withColumnRenamed("id", id_col).write.options(**{
-        "compression": "zstd", "parquet.block.size": str(row_group), "parquet.writer.version": "PARQUET_2_0",
-        "parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
-    }).parquet(path)
+    with small_batches(docs.sparkSession):
+        coded.withColumnRenamed("id", id_col).write.options(**{
+            "compression": "zstd", "parquet.block.size": str(row_group), "parquet.writer.version": "PARQUET_2_0",
+            "parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": str(encoding == "dictionary").lower(),
+        }).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ class Work:
             fs.delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """What is saved inside goes to Python in batches of so many rows: whole texts take much room, on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_key(text: str | Column) -> Column:
     """A 64-bit digest of a text; with the id beside it, it tells rows of equal ids apart."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tablewright.llm import language, near_copies, pages, queries, substrings
 
@@ -71,18 +73,43 @@ def test_near_copies_ids(spark):
     assert near_copies.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_pipeline_without_near_copies(spark, tmp_path):
-    """run() keeps one of every group that brute force finds among the texts whose language is told."""
+def documents_with_copies(spark, path, extra=()):
+    """Documents of the tables with planted copies, and their benchmark, below ``path``."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     long = [r for r in docs.orderBy("doc_id").limit(120).collect() if len((r.text or "").split()) > 90]
     copies = [r.asDict() | {"doc_id": 10**9 + i * 100 + j, "text": t} for i, r in enumerate(long[:5]) for j, t in enumerate(planted([r.text, r.text], i)[:6])]
-    frame = spark.createDataFrame([r.asDict() for r in long] + copies, docs.schema)
-    frame.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.createDataFrame([r.asDict() for r in long] + copies + [long[0].asDict() | e for e in extra], docs.schema)
+    frame = frame.withColumn("row", F.lit(1)).withColumn("node", F.lit("x"))
+    frame.coalesce(2).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
+    return frame
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage keeps what brute force keeps of its input; then run() gives the tokens of what the last but one keeps."""
+    path = str(tmp_path)
+    docs = documents_with_copies(spark, path, [{"doc_id": None}, {"doc_id": 3, "text": None}, {"doc_id": 4, "text": ""}, {"doc_id": 5, "source": None, "lang": None}])
+    benchmark = spark.read.parquet(f"{path}/benchmark.parquet").collect()
+    learned = language.learn(docs)
+    want = {r.doc_id for r in language.accepted(docs, learned).collect()}
+    told = corpus_pipeline.told_language(spark, docs, path)
+    assert told.columns == docs.columns and {r.doc_id for r in told.collect()} == want
+    rows = [tuple(r) for r in told.select("doc_id", "text").where("doc_id is not null").collect()]
+    single = corpus_pipeline.one_of_near_copies(spark, told.where("doc_id is not null"), path)
+    kept = [r.doc_id for r in single.collect()]
+    assert sorted(kept) == sorted(kept_of(rows)) and len(kept) < len(rows)
+    items = [(lambda s: (s, -(-4 * len(s) // 5)))(shingles(r.text)) for r in benchmark]
+    clean = [r.doc_id for r in single.collect() if not any(i and len(i & shingles(r.text)) >= least for i, least in items)]
+    assert sorted(r.doc_id for r in corpus_pipeline.without_benchmark(spark, single, path).collect()) == sorted(clean)
+    out = corpus_pipeline.run(spark, path).collect()
+    taken = {r.doc_id for r in out}
+    assert taken and taken <= set(clean) | {None} and sum(r.n_tokens for r in out) == sum(len(r.ids) for r in out) and all(r.ids[-1] == 0 for r in out)
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    documents_with_copies(spark, f"{tmp_path}/full").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    told = corpus_pipeline.told_language(spark, frame, str(tmp_path)).select("doc_id", "text").collect()
-    want = set(kept_of([tuple(r) for r in told]))
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
-    assert got and got <= want and len(want) < len(told)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_repeated_rows_stay_once(spark):
