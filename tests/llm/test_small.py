@@ -255,14 +255,8 @@ def test_pages(spark):
     assert all(got[10 + i][0] == f"News {i}" for i in range(6))  # the line that all pages share is gone
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "TILE", 4)
-    monkeypatch.setattr(vectors, "BLOCK", 40)
-    rng = np.random.default_rng(3)
-    base = rng.standard_normal((12, 16))
-    rows = [(i, (base[i % 12] + rng.standard_normal(16) * 0.06 * (i % 3)).tolist(), i % 2 if i % 12 else 7) for i in range(90)]
-    rows += [(200 + i, base[0].tolist(), 7) for i in range(5)] + [(300, None, 1), (301, [0.0] * 16, 1), (302, [1.0, None], 1), (303, [float("nan")] * 16, 1), (304, base[0].tolist(), None), (305, [1.0], 7)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found(vectors.duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)))}
+def expected_vectors(rows):
+    """The answer by comparing all rows (id, vector, label)."""
 
     def usable(v):
         return v is not None and None not in v and np.isfinite(v).all() and any(v)
@@ -275,7 +269,40 @@ def test_vectors(spark, monkeypatch):
 
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if near(rows[i], rows[j])]
     top, links = roots(len(rows), pairs), Counter(i for p in pairs for i in p)
-    assert pairs and got == {r[0]: (links[i], rows[top[i]][0], top[i] == i) for i, r in enumerate(rows)}
+    assert pairs
+    return {r[0]: (links[i], rows[top[i]][0], top[i] == i) for i, r in enumerate(rows)}
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 4)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((12, 16))
+    rows = [(i, (base[i % 12] + rng.standard_normal(16) * 0.06 * (i % 3)).tolist(), i % 2 if i % 12 else 7) for i in range(90)]
+    rows += [(200 + i, base[0].tolist(), 7) for i in range(5)] + [(300, None, 1), (301, [0.0] * 16, 1), (302, [1.0, None], 1), (303, [float("nan")] * 16, 1), (304, base[0].tolist(), None), (305, [1.0], 7)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found(vectors.duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)))}
+    assert got == expected_vectors(rows)
+
+
+@pytest.mark.parametrize("wide", [1 << 10, 1 << 23])
+def test_vectors_of_a_dense_label(spark, monkeypatch, wide):
+    """More vectors of one direction than a window holds, beside others; some of them link, and all links are found."""
+    monkeypatch.setattr(vectors, "WIDE", wide)
+    monkeypatch.setattr(vectors, "TILE", 32)
+    monkeypatch.setattr(vectors, "SALTS", 3)
+    rng = np.random.default_rng(5)
+
+    def unit(*shape):
+        x = rng.standard_normal(shape)
+        return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+    cone = unit(64) + 0.23 * unit(600, 64)  # mutual cosine about 0.95
+    cone[300:312] = cone[:12] + 0.08 * unit(12, 64)
+    rows = [(i, x.tolist(), "a") for i, x in enumerate(np.concatenate([cone, -cone[:40], unit(60, 64)]))]
+    rows += [(1000 + i, cone[i].tolist(), "b") for i in range(20)] + [(2000 + i, cone[0, :9].tolist(), "a") for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string").repartition(3)
+    plain = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found(vectors.duplicates(frame, passes=2, neighbours=2))}
+    assert plain == expected_vectors(rows)
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
