@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import struct
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablewright.operators.order import quoted
@@ -14,76 +15,132 @@ from tablewright.operators.order import quoted
 # up to this many values the built-in exact median is used; its state is a
 # value -> count map, so it must stay bounded
 SMALL = 1_000_000
-ACCURACY = 10_000
+SKETCH = 1024  # values a sketch level keeps; its rank error is then about 0.3 %
+SLACK = 0.006  # taken to both sides of a rank
+GRID = 256
 SIGN_OFF = (1 << 63) - 1
 
 
 def medians(df: DataFrame, cols: Sequence[str], counts: Mapping[str, int], small: int = SMALL) -> dict[str, float | None]:
     """Exact median of each column; ``counts`` (at least the non-null rows) tells
-    short columns from long ones.
-
-    Short columns use the built-in median in one pass.  For long ones a pair of
-    approximate percentiles brackets the middle, the rows below and inside the
-    bracket are counted exactly, and the bracket is narrowed until the distinct
-    values inside are few enough to count one by one.  Every pass is a plain
-    aggregate; no column is ever gathered.
+    short columns from long ones.  All columns share every pass."""
+    return medians_by(df.withColumn(_ONLY, F.lit(0)), _ONLY, {0: {c: counts.get(c, 0) for c in cols}}, small)[0]
+
+
+_ONLY = "_only_table"
+
+
+@dataclass
+class _Bracket:
+    """Where the middle of one column of one table must lie, and what was found."""
+
+    low_rank: int
+    high_rank: int
+    lo: float
+    hi: float
+    below: int  # values under lo
+    inside: int
+    guess: tuple[float, float]
+    halve: bool = False
+    ends: tuple[float, float] | None = None
+
+    def close(self) -> None:
+        if self.lo == self.hi or self.inside == self.high_rank - self.low_rank + 1:
+            self.ends = (self.lo, self.hi)
+
+    def narrow(self, r: Row) -> None:
+        """Take in the exact counts under and within the guess."""
+        under, upto, before = self.below + r["under"], self.below + r["under"] + r["within"], self.inside
+        if self.low_rank < under <= self.high_rank:
+            self.ends = (r["down"], r["first"] if r["within"] else r["up"])
+        elif self.low_rank < upto <= self.high_rank:
+            self.ends = (r["last"], r["up"])
+        elif self.high_rank < under:
+            self.hi, self.inside = r["down"], r["under"]
+        elif self.low_rank >= upto:
+            self.lo, self.inside, self.below = r["up"], self.below + self.inside - upto, upto
+        else:
+            self.lo, self.hi, self.inside, self.below = r["first"], r["last"], r["within"], under
+        # a guess that hardly narrows (most values stand at the ends) is followed by one that halves the floats
+        self.halve = self.inside > before * 0.9
+        self.guess = (self.lo, _between(self.lo, self.hi))
+        self.close()
+
+
+def _long_medians(df: DataFrame, by: str, series: Sequence[tuple[object, str]]) -> dict[tuple[object, str], float | None]:
+    """Exact medians of long columns of several tables, all in the same few passes.
+
+    Values are melted to (table, column, value).  Each pass is one aggregate: a
+    mergeable quantile sketch of the values inside the bracket of each series guesses
+    where the middle lies, the next pass counts exactly how many values stand under and
+    inside the guess.  The bracket becomes the part that holds both middle ranks, so
+    it always shrinks and a bad guess costs a pass, not the answer.  The driver sees one line
+    for each series.
     """
-    out: dict[str, float | None] = {c: None for c in cols if not counts.get(c)}
-    short = [c for c in cols if 0 < counts.get(c, 0) <= small]
-    if short:
-        row = df.agg(*[F.median(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(short)]).first()
-        out.update({c: row[f"m{i}"] for i, c in enumerate(short)})
-    for c in cols:
-        if counts.get(c, 0) > small:
-            out[c] = _long_median(df.select(quoted(c).cast("double").alias("v")).where("v is not null"), small)
-    return out
-
-
-def _long_median(values: DataFrame, small: int) -> float | None:
-    bounds = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n, lo, hi = bounds["n"], bounds["lo"], bounds["hi"]
-    if not n:
-        return None
-    low_rank, high_rank = (n - 1) // 2, n // 2
-    below, inside = 0, n
-    while lo < hi:
-        bracket = values.where(F.col("v").between(lo, hi))
-        slack = 2.0 / ACCURACY
-        q1 = max(0.0, (low_rank - below) / inside - slack)
-        q2 = min(1.0, (high_rank - below) / inside + slack)
-        guess = bracket.agg(
-            F.percentile_approx("v", [q1, q2], ACCURACY).alias("q"),
-            F.approx_count_distinct("v", 0.02).alias("distinct"),
-        ).first()
-        if guess["distinct"] <= small // 10:
-            return _count_up(bracket, low_rank - below, high_rank - below)
-        a, z = guess["q"]
-        tally = bracket.agg(
-            F.count_if(F.col("v") < a).alias("under"), F.count_if(F.col("v").between(a, z)).alias("within")
-        ).first()
-        under, within = below + tally["under"], tally["within"]
-        if under > low_rank or under + within <= high_rank or within >= inside:
-            # the guess missed the middle or did not narrow: count the values of
-            # this bracket, sorted and summed up in distributed form
-            return _count_up(bracket, low_rank - below, high_rank - below, bounded=False)
-        lo, hi, below, inside = a, z, under, within
-    return lo
-
-
-def _count_up(bracket: DataFrame, low_rank: int, high_rank: int, bounded: bool = True) -> float:
-    """Values at two ranks of a bracket, from counts per distinct value."""
-    counted = bracket.groupBy("v").agg(F.count("*").alias("n"))
-    if not bounded:
-        return _walk(counted, low_rank, high_rank)
-    from pyspark.sql.window import Window
-
-    upto = F.sum("n").over(Window.orderBy("v"))
-    ranked = counted.select("v", upto.alias("upto"))
-    row = ranked.agg(
-        F.min(F.when(F.col("upto") > low_rank, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > high_rank, F.col("v"))).alias("z"),
-    ).first()
-    return (row["a"] + row["z"]) / 2
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(c for _, c in series))
+    number = {c: i for i, c in enumerate(columns)}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), quoted(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    melted = df.select(quoted(by).alias("t"), cells.alias("cell")).select("t", "cell.c", "cell.v").where("v is not null")
+    kind = df.schema[by].dataType.simpleString()
+
+    # ranks are constants to a sketch: all of a grid are read, and the next point on the outer side is taken
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+
+    def quantile(sketch: str, rank, outward: int):
+        place = (rank + F.lit(outward * SLACK)) * GRID
+        at = (F.floor(place) if outward < 0 else F.ceil(place)).cast("int")
+        return F.get(F.kll_sketch_get_quantile_double(sketch, grid), F.greatest(F.lit(0), F.least(F.lit(GRID), at)))
+
+    wanted = spark.createDataFrame([(t, number[c]) for t, c in series], f"t {kind}, c int")
+    real = F.when(~F.isnan("v"), F.col("v"))  # a NaN is above all numbers
+    first = melted.join(wanted, ["t", "c"]).groupBy("t", "c").agg(
+        F.count("*").alias("n"), F.count(real).alias("reals"), F.min(real).alias("lo"), F.max(real).alias("hi"), F.kll_sketch_agg_double(real, SKETCH).alias("sketch")
+    )
+    middle = F.col("n") / 2 / F.col("reals")
+    first = first.select(
+        "t", "c", "n", "reals", "lo", "hi",
+        *[F.when(F.col("reals") > 0, quantile("sketch", middle, d)).alias(n) for n, d in (("a", -1), ("z", 1))],
+    )
+    out: dict[tuple[object, str], float | None] = dict.fromkeys(series)
+    open_: dict[tuple[object, str], _Bracket] = {}
+    for r in first.collect():
+        key, ranks = (r["t"], columns[r["c"]]), ((r["n"] - 1) // 2, r["n"] // 2)
+        if ranks[1] >= r["reals"]:
+            out[key] = math.nan
+            continue
+        open_[key] = _Bracket(*ranks, r["lo"], r["hi"], 0, r["reals"], (r["a"], r["z"]))
+        open_[key].close()
+
+    while True:
+        for key in [k for k, b in open_.items() if b.ends]:
+            out[key] = _middle(*open_.pop(key).ends)
+        if not open_:
+            return out
+        lines = [(t, number[c], b.lo, b.hi, *b.guess, b.low_rank - b.below, b.high_rank - b.below) for (t, c), b in open_.items()]
+        told = spark.createDataFrame(lines, f"t {kind}, c int, lo double, hi double, a double, z double, low_rank bigint, high_rank bigint")
+        v, within = F.col("v"), F.col("v").between(F.col("a"), F.col("z"))
+        counted = melted.join(told, ["t", "c"]).where(v.between(F.col("lo"), F.col("hi"))).groupBy("t", "c", "low_rank", "high_rank").agg(
+            F.count_if(v < F.col("a")).alias("under"), F.count_if(within).alias("within"),
+            F.max(F.when(v < F.col("a"), v)).alias("down"), F.min(F.when(v > F.col("z"), v)).alias("up"),
+            F.min(F.when(within, v)).alias("first"), F.max(F.when(within, v)).alias("last"),
+            F.kll_sketch_agg_double(F.when(within, v), SKETCH).alias("sketch"),
+        )
+        asked = [("a", "low_rank", -1), ("z", "high_rank", 1)]
+        counted = counted.withColumns({
+            n: F.when(F.col("within") > 0, quantile("sketch", (F.col(rank) - F.col("under") + 0.5) / F.col("within"), d)) for n, rank, d in asked
+        })
+        for r in counted.drop("sketch").collect():
+            b = open_[r["t"], columns[r["c"]]]
+            b.narrow(r)
+            kept_the_guess = (b.lo, b.hi) == (r["first"], r["last"])
+            if kept_the_guess and not b.halve and r["a"] <= r["z"]:
+                b.guess = (r["a"], r["z"])
+
+
+def _middle(low: float, high: float) -> float:
+    middle = (low + high) / 2
+    return middle if math.isfinite(middle) else low if low == high else low / 2 + high / 2
 
 
 def _between(lo: float, hi: float) -> float:
@@ -101,32 +158,6 @@ def _between(lo: float, hi: float) -> float:
     return value if middle >= 0 else -value
 
 
-def _walk(counted: DataFrame, low_rank: int, high_rank: int) -> float:
-    """Halve the floats of the range until both ranks are pinned down, in 64 steps at most."""
-
-    def at_rank(rank: int) -> float:
-        edge = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        lo, hi = edge["lo"], edge["hi"]
-        while lo < hi:
-            mid = _between(lo, hi)
-            # snap to the largest value not above the midpoint
-            row = counted.agg(
-                F.coalesce(F.sum(F.when(F.col("v") <= mid, F.col("n"))), F.lit(0)).alias("n"),
-                F.max(F.when(F.col("v") <= mid, F.col("v"))).alias("down"),
-                F.min(F.when(F.col("v") > mid, F.col("v"))).alias("up"),
-            ).first()
-            if row["n"] > rank:
-                hi = row["down"]
-            else:
-                lo = row["up"]
-        return lo
-
-    low = at_rank(low_rank)
-    high = low if low_rank == high_rank else at_rank(high_rank)
-    middle = (low + high) / 2
-    return middle if math.isfinite(middle) else low if low == high else low / 2 + high / 2
-
-
 def means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     if not cols:
         return {}
@@ -134,32 +165,9 @@ def means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     return {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
-def most_frequent(df: DataFrame, col: str) -> DataFrame:
-    """(column, value as text, n): the most frequent value, the smallest on ties (A4).
-
-    Counting is a partial aggregate, so a value that fills a third of the table
-    is pre-counted where it is read; the winner is a top-1, not a sort.
-    """
-    value = quoted(col)
-    return (
-        df.where(value.isNotNull())
-        .groupBy(value.alias("v"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.asc("v"))
-        .limit(1)
-        .select(F.lit(col).alias("column"), F.col("v").cast("string").alias("value"), "n")
-    )
-
-
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     """Most frequent value of each column as text (exact for Spark's own casts)."""
-    if not cols:
-        return {}
-    parts = [most_frequent(df, c) for c in cols]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return {r["column"]: r["value"] for r in table.collect()}
+    return modes_by(df.withColumn(_ONLY, F.lit(0)), _ONLY, cols).get(0, {})
 
 
 # ------------------------------------------------------------ one value per table of a stack
@@ -170,23 +178,24 @@ def medians_by(
 ) -> dict[object, dict[str, float | None]]:
     """Exact medians per table number; ``counts[table][column]`` are non-null rows.
 
-    All short columns of all tables are one grouped aggregate; a long column of a
-    single table goes through :func:`medians` on its own.
+    All short columns of all tables are one grouped aggregate, all long ones share a few others.
     """
     out: dict[object, dict[str, float | None]] = {g: {c: None for c in cols} for g, cols in counts.items()}
-    columns = list(dict.fromkeys(c for cols in counts.values() for c in cols))
-    aggs = []
-    for i, c in enumerate(columns):
-        short = [g for g, cols in counts.items() if 0 < cols.get(c, 0) <= small]
-        aggs.append(F.median(F.when(quoted(by).isin(*short), quoted(c).cast("double"))).alias(f"m{i}"))
-    for row in df.groupBy(quoted(by).alias("_by")).agg(*aggs).collect():
-        for i, c in enumerate(columns):
-            if c in out.get(row["_by"], {}):
-                out[row["_by"]][c] = row[f"m{i}"]
+    short: dict[str, list] = {}
     for g, cols in counts.items():
-        long = [c for c, n in cols.items() if n > small]
-        if long:
-            out[g].update(medians(df.where(quoted(by) == F.lit(g)), long, cols, small))
+        for c, n in cols.items():
+            if 0 < n <= small:
+                short.setdefault(c, []).append(g)
+    if short:
+        aggs = [F.median(F.when(quoted(by).isin(*tables), quoted(c).cast("double"))).alias(f"m{i}") for i, (c, tables) in enumerate(short.items())]
+        for row in df.groupBy(quoted(by).alias("_by")).agg(*aggs).collect():
+            for i, c in enumerate(short):
+                if row["_by"] in short[c]:
+                    out[row["_by"]][c] = row[f"m{i}"]
+    long = [(g, c) for g, cols in counts.items() for c, n in cols.items() if n > small]
+    if long:
+        for (g, c), value in _long_medians(df, by, long).items():
+            out[g][c] = value
     return out
 
 
@@ -196,14 +205,27 @@ def means_by(df: DataFrame, by: str, cols: Sequence[str]) -> dict[object, dict[s
 
 
 def modes_by(df: DataFrame, by: str, cols: Sequence[str]) -> dict[object, dict[str, str]]:
-    """Most frequent value per table and column as text, the smallest on ties."""
-    table = None
-    for c in cols:
-        counted = df.where(quoted(c).isNotNull()).groupBy(quoted(by).alias("_by"), quoted(c).alias("v")).agg(F.count("*").alias("n"))
-        best = counted.groupBy("_by").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b"))
-        part = best.select("_by", F.lit(c).alias("column"), F.col("b.v").cast("string").alias("value"))
-        table = part if table is None else table.unionByName(part)
+    """Most frequent value per table and column as text, the smallest on ties (A4).
+
+    One scan for all columns: cells are melted to (table, column, value) with one field
+    for each type, so values keep their own order.  Counting is a partial aggregate: a
+    value that fills a third of the table is pre-counted where it is read.
+    """
+    if not cols:
+        return {}
+    types = list(dict.fromkeys(df.schema[c].dataType.simpleString() for c in cols))
+    fields = [f"v{k}" for k in range(len(types))]
+
+    def cell(i: int, c: str):
+        own = df.schema[c].dataType.simpleString()
+        values = [(quoted(c) if t == own else F.lit(None).cast(t)).alias(f) for f, t in zip(fields, types)]
+        return F.struct(F.lit(i).alias("c"), quoted(c).isNotNull().alias("known"), *values)
+
+    melted = df.select(quoted(by).alias("_by"), F.explode(F.array(*[cell(i, c) for i, c in enumerate(cols)])).alias("cell")).select("_by", "cell.*").where("known")
+    counted = melted.groupBy("_by", "c", *fields).agg(F.count("*").alias("n"))
+    best = counted.groupBy("_by", "c").agg(F.min(F.struct((-F.col("n")).alias("n"), *fields)).alias("b"))
+    rows = best.select("_by", "c", F.coalesce(*[F.col(f"b.{f}").cast("string") for f in fields]).alias("value")).collect()
     out: dict[object, dict[str, str]] = {}
-    for r in table.collect() if table is not None else ():
-        out.setdefault(r["_by"], {})[r["column"]] = r["value"]
+    for r in rows:
+        out.setdefault(r["_by"], {})[cols[r["c"]]] = r["value"]
     return out

@@ -97,17 +97,73 @@ def test_long_median_matches_statistics(spark, n, kind):
     assert got == pytest.approx(statistics.median(data), rel=1e-15)
 
 
-def test_rank_search_without_narrowing(spark):
-    data = [float(v) for v in [5, 1, 1, 1, 9, 7, 7, 3]]
-    df = spark.createDataFrame([(v,) for v in data], "v double")
-    assert quantiles._count_up(df, 3, 4, bounded=False) == statistics.median(data)
-
-
-def test_rank_search_with_infinities(spark):
-    numbers = [-math.inf, -1.7e308, -3.0, -0.0, 5e-324, 2.0, 1.7e308, math.inf, math.inf]
-    counted = spark.createDataFrame([(x,) for x in numbers], "v double").groupBy("v").agg(F.count("*").alias("n"))
-    for rank, x in enumerate(numbers):
-        assert quantiles._walk(counted, rank, rank) == x
+def jobs(spark, group, work):
+    """What ``work`` returns, and how many jobs it started."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+AWKWARD = [
+    [5.0, 1.0, 1.0, 1.0, 9.0, 7.0, 7.0, 3.0],
+    [-math.inf, -1.7e308, -3.0, -0.0, 5e-324, 2.0, 1.7e308, math.inf, math.inf],
+    [math.inf] * 5 + [-math.inf] * 5 + [1.0],
+    [-1.0] * 400 + [i / 1000 for i in range(9)] + [1.0] * 400,
+    [math.nan] * 3 + [1.0, 2.0],
+    [math.nan, 1.0, 2.0, 3.0, 4.0],
+    [math.nan, math.nan, 1.0, 2.0],
+    [2.0, 4.0],
+    [7.0],
+]
+
+
+def test_long_medians_share_their_passes(spark, monkeypatch):
+    """Columns with ends that hold most values, infinities and NaN, all of three tables."""
+    monkeypatch.setattr(quantiles, "SKETCH", 16)
+    longest = max(map(len, AWKWARD))
+    lines = [(t, *[x[i] if i < len(x) else None for x in AWKWARD]) for t in range(3) for i in range(longest)]
+    names = [f"c{i}" for i in range(len(AWKWARD))]
+    df = spark.createDataFrame(lines, "t int, " + ", ".join(f"{n} double" for n in names)).repartition(5).cache()
+    counts = {t: {n: len(x) for n, x in zip(names, AWKWARD)} for t in range(3)}
+    got = quantiles.medians_by(df, "t", counts, small=0)
+
+    def expected(x):
+        x = sorted(x, key=lambda v: (math.isnan(v), v))
+        low, high = x[(len(x) - 1) // 2], x[len(x) // 2]
+        return low if low == high else high if math.isnan(high) else (low + high) / 2
+
+    for t in range(3):
+        for n, x in zip(names, AWKWARD):
+            assert got[t][n] == pytest.approx(expected(x), nan_ok=True), (n, got[t][n])
+
+
+def test_medians_of_many_columns_start_no_more_jobs(spark):
+    df = spark.range(900).select((F.col("id") % 3).alias("t"), *[(F.col("id") * F.col("id") % 101 + i).alias(f"c{i}") for i in range(8)]).cache()
+    df.count()
+    one, few = jobs(spark, "one-median", lambda: quantiles.medians_by(df, "t", {0: {"c0": 300}}, small=0))
+    got, many = jobs(spark, "many-medians", lambda: quantiles.medians_by(df, "t", {t: {f"c{i}": 300 for i in range(8)} for t in range(3)}, small=0))
+    rounds = 3  # other tables may need a pass or two more than the first one
+    assert many <= few + 3 * rounds < 24 * few and got[0]["c0"] == one[0]["c0"]
+    assert all(got[t][f"c{i}"] == statistics.median([x * x % 101 + i for x in range(t, 900, 3)]) for t in range(3) for i in range(8))
+
+
+def test_modes_in_one_scan(spark):
+    """Ties take the smallest in the order of the type, not of its text; columns add no jobs."""
+    df = spark.createDataFrame(
+        [(0, 10, "b", True, -0.0), (0, 9, "a", False, 0.0), (0, 9, None, True, 1.0), (0, 10, "b", False, 1.0), (1, None, None, None, float("nan")), (1, None, "x", None, float("nan"))],
+        "t int, i int, s string, b boolean, d double",
+    ).repartition(3).cache()
+    df.count()
+    got, many = jobs(spark, "all-modes", lambda: quantiles.modes_by(df, "t", ["i", "s", "b", "d"]))
+    assert {k: got[0][k] for k in "isb"} == {"i": "9", "s": "b", "b": "false"} and float(got[0]["d"]) == 0.0
+    assert got[1] == {"s": "x", "d": "NaN"}
+    assert many == jobs(spark, "one-mode", lambda: quantiles.modes_by(df, "t", ["s"]))[1]
+    assert quantiles.modes(df, ["s"]) == {"s": "b"} and quantiles.modes(df.limit(0), ["s"]) == {} == quantiles.modes(df, [])
+
+
+def test_halving_floats():
     assert quantiles._between(-math.inf, math.inf) in (0.0, -5e-324) and quantiles._between(1.0, math.nextafter(1.0, 2)) == 1.0
 
 
