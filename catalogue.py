@@ -17,7 +17,7 @@ import tablewright as tw
 from tablewright.config import CleanConfig
 from tablewright.functions import dates, numbers, text
 from tablewright.functions import fixed_values as fv
-from tablewright.operators import combine, profile
+from tablewright.operators import combine, profile, quantiles
 from tablewright.plans.clean import read_dates
 from tablewright.session import materialise, scratch_path
 from tablewright.sources.readers import list_tables, spread
@@ -284,6 +284,40 @@ def fill_median(spark, sf):
     return filled.select("event_id", F.round("value", 6).alias("value"))
 
 
+# every number column of lineitem, with holes, as if it were too long for the built-in median
+LONG_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
+
+
+def holey_lineitem(spark, sf):
+    gaps = {c: F.when(F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(11 + i)) != 0, F.col(c)) for i, c in enumerate(LONG_NUMBERS)}
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.pmod("l_orderkey", F.lit(3)).cast("int").alias("part"), *LONG_NUMBERS).withColumns(gaps)
+
+
+@query("medians_long_columns", " UNION ALL ".join(f"""
+    SELECT CAST(l_orderkey % 3 AS INTEGER) AS part, '{c}' AS column_name, round(median(CAST({c} AS DOUBLE)), 6) AS median
+    FROM lineitem WHERE (l_orderkey + l_linenumber) % {11 + i} <> 0 GROUP BY 1""" for i, c in enumerate(LONG_NUMBERS)))
+def medians_long_columns(spark, sf):
+    """Medians per table number and column; all of them share the passes over the rows."""
+    df = holey_lineitem(spark, sf)
+    known = df.groupBy("part").agg(*[F.count(c).alias(c) for c in LONG_NUMBERS]).collect()
+    found = quantiles.medians_by(df, "part", {r["part"]: {c: r[c] for c in LONG_NUMBERS} for r in known}, small=0)
+    lines = [(part, c, v) for part, of in found.items() for c, v in of.items()]
+    return spark.createDataFrame(lines, "part int, column_name string, median double").withColumn("median", F.round("median", 6))
+
+
+MANY_TEXTS = ["l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_quantity"]
+
+
+@query("modes_many_columns", " UNION ALL ".join(f"""
+    SELECT * FROM (SELECT CAST(l_orderkey % 3 AS INTEGER) AS part, '{c}' AS column_name, first({c} ORDER BY n DESC, {c})::VARCHAR AS value
+    FROM (SELECT l_orderkey % 3 AS l_orderkey, {c}, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""" for c in MANY_TEXTS))
+def modes_many_columns(spark, sf):
+    """Most frequent values of columns of several types per table number, from one scan."""
+    df = table(spark, sf, "lineitem").select(F.pmod("l_orderkey", F.lit(3)).cast("int").alias("part"), *MANY_TEXTS)
+    found = quantiles.modes_by(df, "part", MANY_TEXTS)
+    return spark.createDataFrame([(part, c, v) for part, of in found.items() for c, v in of.items()], "part int, column_name string, value string")
+
+
 @query("fill_mean", f"""
     WITH d AS ({EVENTS_SQL})
     SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM d)), 6) AS value FROM d""")

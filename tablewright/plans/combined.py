@@ -201,14 +201,12 @@ class AppendResult:
 
 def stack_new(base_name: str, columns: Sequence[str], new: Tables, source_col: str | None) -> DataFrame:
     """New tables in base column order, footers removed, numbered and tagged."""
-    out = None
+    parts = []
     for no, (name, df) in enumerate(new.items()):
         check_column_set(base_name, columns, _base_name(name), df.columns)
         part = align_columns(drop_total_rows(df), columns).withColumn(FILE_NO, F.lit(no))
-        if source_col:
-            part = part.withColumn(source_col, F.lit(_base_name(name)))
-        out = part if out is None else unite(out, part)
-    return out
+        parts.append(part.withColumn(source_col, F.lit(_base_name(name))) if source_col else part)
+    return unite(*parts)
 
 
 def _match_base_types(base: DataFrame, plans: Mapping[int, CleanPlan]) -> DataFrame:

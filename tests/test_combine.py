@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -433,3 +434,24 @@ def test_fills_within_tables_over_buckets(spark, rows_per_bucket):
     for how, values_ in want.items():
         out = carry_fill(df, {"v": how}, ["i"], rows_per_bucket=rows_per_bucket, within="g").orderBy("g", "i").collect()
         assert [r["v"] for r in out] == values_ * 3
+
+
+def test_many_tables_make_a_flat_plan(spark):
+    """A thousand tables, united in halves; types meet in the order of the tables."""
+    ints, longs, doubles, words = (spark.createDataFrame([(7,)], f"v {t}") if t != "string" else spark.createDataFrame([("x",)], "v string") for t in ("int", "bigint", "int", "string"))
+    doubles = doubles.select((F.col("v") / 2).alias("v"))
+    assert sorted(r["v"] for r in combine.unite(ints, longs).collect()) == [7, 7]
+    assert combine.unite(ints, longs, doubles).schema["v"].dataType.simpleString() == "double"
+    mixed = combine.unite(ints, doubles, words)
+    assert sorted(r["v"] for r in mixed.collect()) == ["3.5", "7.0", "x"]
+    assert sorted(r["v"] for r in combine.unite(words, ints, doubles).collect()) == ["3.5", "7", "x"]
+
+    one = spark.range(3).select(F.col("id").alias("i"), F.lit("a").alias("s"))
+    start = time.monotonic()
+    stacked = combine.stack({f"f{i}.csv": one for i in range(1000)})
+    stacked.explain()
+    assert time.monotonic() - start < 60  # a few seconds on a machine without other work
+    depth, level = 0, [stacked._jdf.queryExecution().analyzed()]
+    while level:
+        depth, level = depth + 1, [node.children().apply(0) for node in level if node.children().nonEmpty()]
+    assert depth < 40 and len(stacked.columns) == 3
