@@ -1,3 +1,5 @@
+import itertools
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 import tablewright as tw
 from tablewright.config import CleanConfig
 from tablewright.functions.compare import canonical
-from tablewright.operators import combine
+from tablewright.operators import combine, recommend
 
 
 # ------------------------------------------------------------ merge
@@ -455,3 +457,31 @@ def test_many_tables_make_a_flat_plan(spark):
     while level:
         depth, level = depth + 1, [node.children().apply(0) for node in level if node.children().nonEmpty()]
     assert depth < 40 and len(stacked.columns) == 3
+
+
+def test_chains_of_random_headers():
+    """Branch and bound against all orders of the tables."""
+    rng = random.Random(4)
+    for _ in range(150):
+        tables = list("abcdef"[: rng.randint(2, 6)])
+        shared = {}
+        for a, b in itertools.combinations(tables, 2):
+            if n := max(0, rng.randint(-2, 3)):
+                shared[a, b] = shared[b, a] = n
+        scores = [[shared.get(pair, 0) for pair in itertools.pairwise(order)] for order in itertools.permutations(tables)]
+        best = max((sum(s) for s in scores if all(s)), default=-1)
+        for floor in range(-1, 12):
+            assert recommend._chain_above(tables, shared, floor) == (best > floor), (shared, floor)
+
+
+@pytest.mark.parametrize("heavier", [False, True])
+def test_forty_connected_headers_answer_at_once(heavier):
+    """Every pair of tables shares one column of its own; one pair may share a second one."""
+    headers = {f"t{i}": [f"k{min(i, j)}_{max(i, j)}" for j in range(40) if j != i] for i in range(40)}
+    if heavier:
+        headers["t3"].append("more"), headers["t30"].append("more")
+    start = time.monotonic()
+    got = tw.recommend_combine(headers)
+    assert time.monotonic() - start < 5  # well below a second on a machine without other work
+    assert got.mode == ("unknown" if heavier else "join")
+    assert heavier or got.keys == tuple(f"k{i}_{i + 1}" for i in range(39))
