@@ -94,7 +94,8 @@ def _long_medians(df: DataFrame, by: str, series: Sequence[tuple[object, str]])
 
     wanted = spark.createDataFrame([(t, number[c]) for t, c in series], f"t {kind}, c int")
     real = F.when(~F.isnan("v"), F.col("v"))  # a NaN is above all numbers
-    first = melted.join(wanted, ["t", "c"]).groupBy("t", "c").agg(
+    # the few lines go to the rows: nothing says how small they are, so a planner left to itself sorts or broadcasts the rows
+    first = melted.join(F.broadcast(wanted), ["t", "c"]).groupBy("t", "c").agg(
         F.count("*").alias("n"), F.count(real).alias("reals"), F.min(real).alias("lo"), F.max(real).alias("hi"), F.kll_sketch_agg_double(real, SKETCH).alias("sketch")
     )
     middle = F.col("n") / 2 / F.col("reals")
@@ -120,7 +121,7 @@ def _long_medians(df: DataFrame, by: str, series: Sequence[tuple[object, str]])
         lines = [(t, number[c], b.lo, b.hi, *b.guess, b.low_rank - b.below, b.high_rank - b.below) for (t, c), b in open_.items()]
         told = spark.createDataFrame(lines, f"t {kind}, c int, lo double, hi double, a double, z double, low_rank bigint, high_rank bigint")
         v, within = F.col("v"), F.col("v").between(F.col("a"), F.col("z"))
-        counted = melted.join(told, ["t", "c"]).where(v.between(F.col("lo"), F.col("hi"))).groupBy("t", "c", "low_rank", "high_rank").agg(
+        counted = melted.join(F.broadcast(told), ["t", "c"]).where(v.between(F.col("lo"), F.col("hi"))).groupBy("t", "c", "low_rank", "high_rank").agg(
             F.count_if(v < F.col("a")).alias("under"), F.count_if(within).alias("within"),
             F.max(F.when(v < F.col("a"), v)).alias("down"), F.min(F.when(v > F.col("z"), v)).alias("up"),
             F.min(F.when(within, v)).alias("first"), F.max(F.when(within, v)).alias("last"),

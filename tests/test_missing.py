@@ -149,6 +149,20 @@ def test_medians_of_many_columns_start_no_more_jobs(spark):
     assert all(got[t][f"c{i}"] == statistics.median([x * x % 101 + i for x in range(t, 900, 3)]) for t in range(3) for i in range(8))
 
 
+def test_rows_of_long_medians_are_neither_sorted_nor_broadcast(spark, monkeypatch):
+    """Only the few lines that tell what is asked travel to the rows."""
+    kind = type(spark.range(1))
+    plans, collect = [], kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (plans.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    df = spark.range(1000).selectExpr("CAST(id % 3 AS INT) AS t", "CAST(id AS DOUBLE) AS x")
+    got = quantiles.medians_by(df, "t", {t: {"x": 330} for t in range(3)}, small=0)
+    assert {t: v["x"] for t, v in got.items()} == {0: 499.5, 1: 499.0, 2: 500.0}
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) > 1
+    for plan in joined:
+        assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
 def test_modes_in_one_scan(spark):
     """Ties take the smallest in the order of the type, not of its text; columns add no jobs."""
     df = spark.createDataFrame(
