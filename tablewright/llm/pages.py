@@ -7,12 +7,15 @@ and comments are of no importance, an article or main element is of full importa
 Inside one, only a container whose class (a div also its id) is such a name as a whole goes:
 headings, inline elements and ids of sections say what a text is about.  An article named as a comment is one.
 
-What stands elsewhere is weighed by the style tree of its host: the paths of all pages
+Every page goes into the style tree of its host: the paths of all pages
 of the host are merged, a path's presentation nodes are the sequences of child
 elements found there, and its content nodes the texts.  A content node that k of m pages share has entropy
 log k / log m, a path whose presentation differs from page to page has a high
 one.  A branch counts with 1 - entropy of its content and with the entropy of its
-presentation, and goes if that is below a threshold.  Equal pages of a host are one page
+presentation, and goes if that is below a threshold.  Where the article or main elements hold most of a page's text,
+their role is a part of the importance: what stands beside them has none, what stands inside goes only if nine
+of ten pages of a host of some size share it (a notice that no name tells).  Elsewhere (a page without
+them, or with articles that are mere teasers) the tree alone decides, for every block.  Equal pages of a host are one page
 of the tree.  Counts leave a task pre-aggregated, so a host with a third of all pages is no
 single task; only the unimportant nodes go back to the pages that hold them.
 
@@ -40,6 +43,9 @@ from tablewright.llm.work import Work
 IMPORTANT = 0.3  # a branch below this goes
 CONTENT_SHARE = 0.9  # weight of content against presentation
 PAGES = 3  # a host of fewer pages tells nothing about its branches
+ROLE = 0.25  # weight of a main region against the style tree …
+MAIN_PAGES = 10  # … which a host of fewer pages says nothing against,
+MAIN_SHARE = 0.9  # nor a text that fewer of its pages hold
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -66,6 +72,7 @@ NOISE_NAMES = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 MAIN_TAGS = frozenset(("article", "main"))
 COMMENT_NAMES = frozenset("comment comments disqus reply replies".split())
+TEASER_NAMES = frozenset("card cards excerpt preview teaser teasers".split())  # articles that stand for others
 # in a main region whole words of a container's class decide, never one part of a word; these may stand beside a name
 PART_NAMES = frozenset("area bar block body box buttons container content inner item items link links list section unit wrap wrapper".split())
 TOPIC_NAMES = frozenset("alert banner header masthead notice notices related search social".split())  # alone they may be titles or topics
@@ -98,6 +105,8 @@ def _region(tag: str, attributes: str, above: int) -> tuple[int, str]:
     if tag == "article":
         if any(_named(word, COMMENT_NAMES, COMMENT_NAMES) for word in classes):
             return NOISE, name
+        if any(_named(word, TEASER_NAMES, TEASER_NAMES) for word in classes):
+            return above, name
     elif above == MAIN:
         if tag in CONTAINERS and any(_named(word, NOISE_NAMES, NOISE_NAMES - TOPIC_NAMES) for word in classes):
             return NOISE, name
@@ -169,8 +178,9 @@ def _digest(*values: str) -> int:
 
 
 def _undecided(found: list[tuple]) -> bool:
-    """No article or main element, so the style tree decides."""
-    return not any(region == MAIN for region, *_ in found)
+    """Article and main elements hold less than half of the text, so the style tree alone decides."""
+    inside = sum(len(text) for region, _, text, _ in found if region == MAIN)
+    return 2 * inside < sum(len(text) for _, _, text, _ in found) or not inside
 
 
 def host(url: str):
@@ -178,13 +188,11 @@ def host(url: str):
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of the style tree from pages without a main region: (page, host, path, kind, feature)."""
+    """Nodes of the style tree: (page, host, path, kind, feature)."""
     for batch in batches:
         out = ([], [], [], [], [])
         for where, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             found = blocks(html.as_py())
-            if not _undecided(found):
-                continue
             page = _digest(*(text for _, _, text, _ in found))
             rows = {(_digest(path), "text", _digest(text)) for _, path, text, _ in found}
             rows |= {(_digest(path), "style", _digest(*children)) for _, path, _, children in found}
@@ -194,30 +202,32 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unimportant(rows: DataFrame, work: Work) -> DataFrame:
-    """(host, path, feature) of the content nodes that the style tree of the host gives up."""
+    """(host, path, feature, steady) of the content nodes that the style tree of the host gives up; ``steady`` ones go from main regions too."""
     nodes = work.save(rows.mapInArrow(_nodes, "page bigint, host string, path bigint, kind string, feature bigint").distinct(), "nodes")
     sizes = nodes.groupBy("host").agg(F.count_distinct("page").alias("m")).where(F.col("m") >= PAGES)
     counts = nodes.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("k"))
     styles = counts.where("kind = 'style'").groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("klogk"))
     entropy = F.log("n") - F.col("klogk") / F.col("n")  # of the presentations, in nats
     weighed = counts.where("kind = 'text'").join(sizes, "host").join(styles, ["host", "path"]).select(
-        "host", "path", "feature",
+        "host", "path", "feature", ((F.col("m") >= MAIN_PAGES) & (F.col("k") >= MAIN_SHARE * F.col("m"))).alias("shared"),
         (CONTENT_SHARE * (1 - F.log("k") / F.log("m")) + (1 - CONTENT_SHARE) * entropy / F.log("m")).alias("importance"),
     )
-    return work.save(weighed.where(F.col("importance") < IMPORTANT).select("host", "path", "feature"), "unimportant")
+    steady = F.col("shared") & (ROLE + (1 - ROLE) * F.col("importance") < IMPORTANT)
+    return work.save(weighed.where(F.col("importance") < IMPORTANT).select("host", "path", "feature", steady.alias("steady")), "unimportant")
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, host, path, feature) of the content nodes of pages without a main region."""
+    """(key, host, path, feature, main) of the content nodes that a page may keep; ``main`` tells whether its main regions decide."""
     for batch in batches:
-        out = ([], [], [], [])
+        out = ([], [], [], [], [])
         for key, where, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = blocks(html.as_py())
-            if _undecided(found):
-                for path, text in {(_digest(path), _digest(text)) for _, path, text, _ in found}:
-                    for column, value in zip(out, (key, where, path, text)):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["key", "host", "path", "feature"])
+            main = not _undecided(found)
+            for path, text in {(_digest(path), _digest(text)) for region, path, text, _ in found if region == MAIN or not main}:
+                for column, value in zip(out, (key, where, path, text, main)):
+                    column.append(value)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["key", "host", "path", "feature", "main"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +235,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, gone in zip(batch.column(2), batch.column(3).to_pylist()):
             found = blocks(html.as_py())
-            if _undecided(found):
-                drop = {(g["path"], g["feature"]) for g in gone or ()}
-                kept = [text for _, path, text, _ in found if not drop or (_digest(path), _digest(text)) not in drop]
-            else:
-                kept = [text for region, _, text, _ in found if region == MAIN]
+            if not _undecided(found):
+                found = [block for block in found if block[0] == MAIN]
+            drop = {(g["path"], g["feature"]) for g in gone or ()}
+            kept = [text for _, path, text, _ in found if not drop or (_digest(path), _digest(text)) not in drop]
             texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"]
@@ -246,8 +255,8 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     if low.isEmpty():
         marked = slim.withColumn("gone", F.lit(None).cast("array<struct<path:bigint,feature:bigint>>"))
     else:
-        held = slim.select(key.alias("key"), host("url").alias("host"), "html").mapInArrow(_holders, "key bigint, host string, path bigint, feature bigint")
-        gone = held.join(low, ["host", "path", "feature"]).groupBy("key").agg(F.collect_set(F.struct("path", "feature")).alias("gone"))
+        held = slim.select(key.alias("key"), host("url").alias("host"), "html").mapInArrow(_holders, "key bigint, host string, path bigint, feature bigint, main boolean")
+        gone = held.join(low, ["host", "path", "feature"]).where("steady OR NOT main").groupBy("key").agg(F.collect_set(F.struct("path", "feature")).alias("gone"))
         marked = slim.withColumn("key", key).join(work.save(gone, "gone"), "key", "left").select("id", "url", "html", "gone")
     rows = marked.mapInArrow(_texts, f"id {kind}, url string, text string, n_chars bigint")
     return rows.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -161,3 +161,17 @@ def test_names_inside_an_article():
         '<article class="comment">no</article><article class="post has-comments"><p>yes</p></article>'
     )
     assert [text for _, _, text, _ in pages.blocks(html)] == ["Title", "By A", "Related work", "We searched far", "Effects", "yes"]
+
+
+def test_style_tree_weighs_every_page(spark):
+    """A notice that no name tells goes from articles, and a body beside teasers stays."""
+    notice = "Get our letter each week"
+    rows = [(i, "http://a.example/x", f"<article><h1>Title {i}</h1><p>Body {i} of a page</p><p>{notice}</p><p>{'Now and then' if i % 2 else 'Rare'}</p></article>") for i in range(12)]
+    rows += [(20 + i, "http://b.example/x", f"<div><p>The long body of page {i}, which tells it all</p></div><article class='card'><p>Story</p></article>") for i in range(4)]
+    rows += [(30 + i, "http://c.example/x", f"<article><p>{notice}</p><p>Few pages {i}</p></article>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nBody {i} of a page\n{'Now and then' if i % 2 else 'Rare'}"
+    for i in range(4):
+        assert got[20 + i] == f"The long body of page {i}, which tells it all"
+        assert got[30 + i] == f"{notice}\nFew pages {i}"
