@@ -71,7 +71,8 @@ class SignatureLog:
 
     def _write(self, digests: DataFrame, run: Run, rows: int) -> None:
         files = max(1, -(-rows // ROWS_PER_FILE))
-        ordered = digests.repartitionByRange(files, self.column) if files > 1 else digests.coalesce(1)
+        # only digests move to the few tasks that write; a plain coalesce would draw the joins before into one task
+        ordered = digests.repartitionByRange(files, self.column) if files > 1 else digests.repartition(1)
         ordered.sortWithinPartitions(self.column).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{self.column}", "true").parquet(self._folder(run))
 
     def add(self, signatures: DataFrame, batch: int) -> None:

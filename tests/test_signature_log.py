@@ -1,6 +1,7 @@
 """Digests of a growing table in runs that are merged."""
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tablewright.streaming import signature_log
@@ -67,3 +68,10 @@ def test_a_batch_that_is_run_again(spark, log):
 
     os.remove(f"{log._folder((1, 2, 4))}/_SUCCESS")
     assert held(log, 5) == want(spark, "x-1", "x0", "x1", "x2")
+
+
+def test_rows_of_a_small_run_come_from_many_tasks(spark, log):
+    """One task writes; what leads to the digests stays where it was."""
+    task = F.udf(lambda i: bytes([TaskContext.get().partitionId()]), "binary").asNondeterministic()
+    log._write(spark.range(0, 100, 1, 4).select(task("id").alias("sig")), (0, 0, 0), 100)
+    assert log.before(1).distinct().count() == 4
