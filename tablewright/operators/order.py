@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tablewright.functions.binding import let
+
 ROW_ORDER = "_ord"  # where a row stands in its files; sorted by, but touched by no rule and never compared
 BUCKET = "_bucket"
 HOT = "_hot"
@@ -147,15 +149,20 @@ def _literal(cuts: Sequence[str], schema: T.StructType) -> Column:
 
 def _position(key: Column, cuts: Sequence[str], schema: T.StructType) -> Column:
     """Number of cut keys that are not above ``key``, found in two short scans of
-    about the square root of their number."""
+    about the square root of their number.  The key and the place of the first scan are computed once for a row,
+    not once for each cut key they meet."""
     every = _literal(cuts, schema)
     if len(cuts) <= 32:
-        return F.size(F.filter(every, lambda x: x <= key))
+        return let(key, lambda k: F.size(F.filter(every, lambda x: x <= k)))
     width = math.isqrt(len(cuts)) + 1
     heads = _literal(cuts[::width], schema)
-    block = F.greatest(F.size(F.filter(heads, lambda x: x <= key)) - 1, F.lit(0))
-    inside = F.slice(every, block * width + 1, F.lit(width))
-    return block * width + F.size(F.filter(inside, lambda x: x <= key))
+
+    def inside(k: Column, block: Column) -> Column:
+        return block * width + F.size(F.filter(F.slice(every, block * width + 1, F.lit(width)), lambda x: x <= k))
+
+    return let(key, lambda k: let(
+        F.greatest(F.size(F.filter(heads, lambda x: x <= k)) - 1, F.lit(0)), lambda block: inside(k, block)
+    ))
 
 
 def expand_copies(df: DataFrame, count_column: str, index_column: str, chunk: int = 1_000_000) -> DataFrame:

@@ -313,3 +313,11 @@ def test_columns_named_like_helpers(spark):
     assert [tuple(r) for r in out] == [(i, s, p, float(i - i % 4)) for i, s, p, _ in rows]
     line = tw.interpolate_linear(df, ["rows"], ["i"], rows_per_bucket=7).orderBy("i").collect()
     assert [r["rows"] for r in line] == [float(min(i, 36)) for i in range(40)]
+
+
+def test_key_of_a_row_is_computed_once_for_its_bucket(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("text "), F.col("id") % 7).alias("x"))
+    b = order.with_buckets(df, ["id"], rows_per_bucket=50)
+    assert b.df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(x") == 1  # in the key, which is bound once
+    counts = [(r["least"], r["most"]) for r in b.df.groupBy(order.BUCKET).agg(F.min("id").alias("least"), F.max("id").alias("most")).orderBy(order.BUCKET).collect()]
+    assert len(counts) > 40 and all(x[1] < y[0] for x, y in zip(counts, counts[1:]))
