@@ -18,6 +18,7 @@ from tablewright.session import materialise, scratch_path
 FILE_NO = "_file_no"
 SIGNATURE = "_signature"
 MOST_HOT = 1 << 16  # a key is frequent only above this part of all rows
+FEW_ROWS = 1 << 16  # a side of more rows is shuffled, however small its files are
 
 Tables = Mapping[str, DataFrame]
 
@@ -202,6 +203,21 @@ def frequent_keys(counts: DataFrame, hot_rows: int) -> DataFrame | None:
     return counts.where(F.greatest("n", m) > least).select(F.col("k").alias("_hot"), *shares)
 
 
+def long_sides(counts: DataFrame) -> tuple[bool, bool]:
+    """(right rows, left keys): which of them are more than ``FEW_ROWS``.
+
+    The size of compressed files says little about the rows in them: ten megabytes of Parquet may hold
+    a million keys, of which the driver would build a table in memory before it sends them.
+    """
+    known = F.col("k").isNotNull()
+    rows, keys = counts.agg(F.sum(F.when(known, F.col("m"))), F.count_if(known & (F.col("n") > 0))).first()
+    return (rows or 0) > FEW_ROWS, (keys or 0) > FEW_ROWS
+
+
+def _shuffled(df: DataFrame, long: bool) -> DataFrame:
+    return df.hint("merge") if long else df
+
+
 def _share(df: DataFrame, of: str) -> Column:
     """A share of the row that is the same when its task runs again: task number and values hashed."""
     plain = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
@@ -214,11 +230,12 @@ def join_stage(
     right: DataFrame,
     key: str,
     hot: DataFrame | None = None,
+    long: bool = False,
 ) -> DataFrame:
     """left ⟕ right on one key; null keys stay unmatched, clashing names get a suffix.
 
-    The strategy of the plain join is left to Spark: a right side that is small
-    when measured is broadcast, otherwise both sides are shuffled.  Rows of the keys in
+    The strategy of the plain join is left to Spark, which broadcasts a small right side;
+    one that is ``long`` (as of :func:`long_sides`) is shuffled.  Rows of the keys in
     ``hot`` (as of :func:`frequent_keys`) are joined apart.  Without a partner they need no join;
     with one, the left rows are dealt over their shares and repeated for each share of the
     right side, and the other way round, so every pair meets once in a task of its own.
@@ -227,20 +244,20 @@ def join_stage(
     renamed = right.where(quoted(key).isNotNull()).select(quoted(key).alias("_right_key"), *[quoted(o).alias(n) for o, n in names.items()])
     same = quoted(key) == F.col("_right_key")
     if hot is None:
-        return left.join(renamed, same, "left").drop("_right_key")
+        return left.join(_shuffled(renamed, long), same, "left").drop("_right_key")
 
     lines = F.broadcast(hot)  # at most 2 * MOST_HOT lines
     tell = ("_hot", "_lefts", "_rights")
     left_marked = left.join(lines, quoted(key).eqNullSafe(F.col("_hot")), "left")
     right_marked = renamed.join(lines, F.col("_right_key") == F.col("_hot"), "left")
-    plain = left_marked.where("_rights IS NULL").drop(*tell).join(right_marked.where("_lefts IS NULL").drop(*tell), same, "left").drop("_right_key")
+    plain = left_marked.where("_rights IS NULL").drop(*tell).join(_shuffled(right_marked.where("_lefts IS NULL").drop(*tell), long), same, "left").drop("_right_key")
     alone = left_marked.where("_rights = 0").drop(*tell).select(
         "*", *[F.lit(None).cast(renamed.schema[n].dataType).alias(n) for n in names.values()]
     )
     numbers = [F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)) for c in ("_rights", "_lefts")]
     dealt = left_marked.where("_rights > 0").withColumn("_a", _share(left, "_lefts")).withColumn("_b", numbers[0]).drop(*tell)
     spread = right_marked.where("_lefts > 0").withColumn("_y", _share(renamed, "_rights")).withColumn("_x", numbers[1]).drop(*tell)
-    pairs = dealt.join(spread, same & (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))).drop("_a", "_b", "_x", "_y", "_right_key")
+    pairs = dealt.join(_shuffled(spread, long), same & (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y"))).drop("_a", "_b", "_x", "_y", "_right_key")
     return plain.unionByName(alone).unionByName(pairs)
 
 
@@ -268,13 +285,14 @@ def stage_rates(left: DataFrame, right: DataFrame, key: str, counts: DataFrame |
 
 def find_orphans(
     left: DataFrame, left_name: str, right: DataFrame, right_name: str, key: str, stage: int,
-    counts: DataFrame | None = None, hot: DataFrame | None = None,
+    counts: DataFrame | None = None, hot: DataFrame | None = None, long: bool = False,
 ) -> DataFrame:
     """Right rows whose key is not among the left keys, with stage, origin and reason.
 
     Rows with a null key are always orphans; they are filtered out on the spot
     instead of being sent to the one partition that nulls hash to.  The keys in ``hot`` are
-    decided by a broadcast of their lines, without moving their rows.
+    decided by a broadcast of their lines, without moving their rows.  Left keys that are ``long``
+    (as of :func:`long_sides`) are shuffled.
     """
     counts = key_counts(left, right, key) if counts is None else counts
     keys = counts.where("k IS NOT NULL AND n > 0").select(F.col("k").alias("_k"))
@@ -284,7 +302,7 @@ def find_orphans(
         marked = known.join(F.broadcast(hot.select("_hot", "_lefts")), quoted(key) == F.col("_hot"), "left")
         unnamed = unnamed.unionByName(marked.where("_lefts = 0").drop("_hot", "_lefts"))
         known = marked.where("_lefts IS NULL").drop("_hot", "_lefts")
-    named = known.join(keys, quoted(key) == F.col("_k"), "left_anti")
+    named = known.join(_shuffled(keys, long), quoted(key) == F.col("_k"), "left_anti")
     before, after = fv.REASON_ORPHAN.format(key=key, value="\0", left=left_name).split("\0")
     reason = F.concat(F.lit(before), F.coalesce(quoted(key).cast("string"), F.lit(fv.EMPTY_KEY)), F.lit(after))
     return named.unionByName(unnamed).select(
@@ -314,14 +332,15 @@ def join_chain(
         if cut_lineage:
             counts = materialise(counts, "keys")
         hot = frequent_keys(counts, hot_rows)
+        long_right, long_keys = long_sides(counts)
         rate = stage_rates(joined, right, key, counts).select(
             F.lit(no).alias("stage"), F.lit(left_name).alias("left_name"), F.lit(right_name).alias("right_name"),
             F.lit(key).alias("key"), "*",
         )
-        lost = find_orphans(joined, left_name, right, right_name, key, no, counts, hot)
+        lost = find_orphans(joined, left_name, right, right_name, key, no, counts, hot, long_keys)
         stages = rate if stages is None else stages.unionByName(rate)
         orphans = lost if orphans is None else _union_wide(orphans, lost)
-        joined = join_stage(joined, right_name, right, key, hot)
+        joined = join_stage(joined, right_name, right, key, hot, long_right)
         if cut_lineage and no < len(keys):
             joined = materialise(joined, "joined")
     return JoinResult(joined, stages, orphans)

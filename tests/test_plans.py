@@ -82,3 +82,14 @@ def test_spread_leaves_large_scans_alone(spark):
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(100, numPartitions=20)
     assert spread(wide) is wide
+
+
+def test_a_long_side_is_shuffled_though_its_files_are_small(spark, monkeypatch):
+    left = spark.range(40).select((F.col("id") % 10).alias("k"), F.col("id").alias("a"))
+    right = spark.range(30).select((F.col("id") % 15).alias("k"), F.col("id").alias("b"))
+    few = tw.join_chain({"l.csv": left, "r.csv": right}, "k")
+    monkeypatch.setattr(combine, "FEW_ROWS", 5)
+    many = tw.join_chain({"l.csv": left, "r.csv": right}, "k")
+    for small, long in ((few.data, many.data), (few.orphans, many.orphans)):
+        assert "BroadcastHashJoin" in plan_of(small) and "BroadcastExchange" not in plan_of(long)
+        assert sorted(map(str, small.collect())) == sorted(map(str, long.collect()))
