@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -371,3 +373,41 @@ def test_large_groups_in_few_candidates(spark, tile):
     assert sizes == sorted(n for n in want if n > 1) and max(sizes) > 200 and 25 in sizes
     if tile == 4096:
         assert sum(n for name, n in seen.items() if name.startswith("tried")) < 300 * 299 / 4
+
+
+def test_edges_of_large_groups_in_few_candidates(spark):
+    """Copies of which many are too far from most others: all links are found, without a look at all pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(240)]
+    copies = [[f"e{rng.randrange(10**9)}" if rng.random() < 0.012 else w for w in base] for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(copies)], "doc_id bigint, text string").repartition(4)
+    seen = {}
+
+    class Kept(Work):
+        def save(self, df, name):
+            out = super().save(df, name)
+            seen[name] = out.count()
+            return out
+
+    groups = near_copies.similar_groups(docs, Kept(spark, "test-near"))
+    sets = list({frozenset(zip(*(t[i:] for i in range(5)))) for t in map(tuple, copies)})
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                label = [label[j] if k == label[i] else k for k in label]
+    assert sorted(Counter(r.component for r in groups.collect()).values()) == sorted(n for n in Counter(label).values() if n > 1)
+    assert sum(n for name, n in seen.items() if name.startswith("tried")) < 400 * 399 / 8
+
+
+def test_entries_are_kept_exactly_when_two_nodes_share_them():
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(60), rng.randrange(5), 9, 7) for _ in range(120))
+    batches, at = [], 0
+    while at < len(rows):
+        part = rows[at : at + rng.randrange(0, 4)]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(4)], names=near_copies.ENTRY))
+        at += len(part)
+    out = [tuple(r.values()) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()]
+    nodes = {s: {r[1] for r in rows if r[0] == s} for s, *_ in rows}
+    assert out == sorted({r for r in rows if len(nodes[r[0]]) > 1}) and len(out) < len(set(rows))
