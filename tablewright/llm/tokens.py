@@ -133,7 +133,12 @@ class Encoder:
         lists = [known[s] for s in slices]
         return np.frombuffer(b"".join(lists), "<i4"), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of every text."""
+        ids, counts = self.joined(texts)
+        return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of every text)."""
         gc.disable()  # many short-lived lists, none of them in a cycle
         try:
@@ -158,7 +163,7 @@ def _encode(path: str, end: int):
             ids, parts = batch.column(0), batch.column(1)
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in chunks(texts, CHUNK):
-                coded, sizes = encoder.encode(texts[a:b])
+                coded, sizes = encoder.joined(texts[a:b])
                 bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.insert(coded, np.cumsum(sizes), end)))
                 sizes = sizes + 1
