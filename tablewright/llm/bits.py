@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+PART = 1 << 20  # bytes of a map that come to the driver at once
+
+
 def bit_map(rows: DataFrame, bits: int) -> bytes:
     """Marks the leading ``bits`` bits of the column ``hash``; 2^bits / 8 bytes, whatever the rows."""
     spot = F.shiftrightunsigned("hash", 64 - bits) + 1  # Spark numbers buckets from 1 for the values 1 to 32,768
@@ -14,7 +17,8 @@ def bit_map(rows: DataFrame, bits: int) -> bytes:
         F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("part")
     )
     marks = np.zeros((1 << bits) // 8, np.uint8)
-    for bucket, part in parts.toLocalIterator():
+    # every partition is a job of its own here, and a map has MBs in all
+    for bucket, part in parts.coalesce(max(1, len(marks) // PART)).toLocalIterator():
         marks[(bucket - 1) * len(part) : bucket * len(part)] = np.frombuffer(part, np.uint8)
     return marks.tobytes()
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tablewright.session import filesystem, scratch_root
 
 
+EACH = 1 << 16  # rows of a task that writes short rows
+
+
 class Work:
     """A folder of its own for every run, below ``spark.checkpoint.dir``.
 
@@ -26,6 +29,14 @@ class Work:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def tasks(self, rows: int, each: int = EACH) -> int:
+        """So many tasks are enough for so many rows: as many as run at once, or one for ``each`` rows."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-rows // each))
+
+    def dealt(self, df: DataFrame, rows: int | None, each: int = EACH) -> DataFrame:
+        """``df``, of about so many rows (None: not known), in no more tasks than these are worth: few rows are not one task for every shuffle partition."""
+        return df if rows is None else df.coalesce(self.tasks(rows, each))
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.read(name, df)

@@ -15,6 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablewright.llm import byte_bpe, conversations, manifest, near_copies, queries, slices, tokens
+from tablewright.llm.bits import bit_map, marked
+from tablewright.llm.graph import components
 from tablewright.llm.work import Work
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -411,3 +413,33 @@ def test_entries_are_kept_exactly_when_two_nodes_share_them():
     out = [tuple(r.values()) for b in near_copies._shared(iter(batches)) for r in b.to_pylist()]
     nodes = {s: {r[1] for r in rows if r[0] == s} for s, *_ in rows}
     assert out == sorted({r for r in rows if len(nodes[r[0]]) > 1}) and len(out) < len(set(rows))
+
+
+def test_small_graphs_take_few_tasks(spark, tmp_path):
+    """Small tables are not written by one task for every shuffle partition, a bit map is no job for each of them, and stars take no more rounds."""
+    import glob
+
+    files = {}
+
+    class Kept(Work):
+        def save(self, df, name):
+            out = super().save(df, name)
+            files[name] = len(glob.glob(self.path(name).removeprefix("file:") + "/part-*"))
+            return out
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.range(1, 4000).select(F.col("id").alias("a"), (F.col("id") % 7 * 10_000).alias("b"))
+        groups = dict(components(links, Kept(spark, "test-few"), rows=4000).collect())
+        spark.sparkContext.setJobGroup("test-bits", "")
+        marks = bit_map(spark.range(500).select(F.xxhash64("id").alias("hash")), 20)
+        spark.sparkContext._jsc.clearJobGroup()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert groups == {n: min(x % 7 * 10_000, *range(x % 7 or 7, 8)) for x in range(1, 4000) for n in (x, x % 7 * 10_000)}
+    assert set(files) <= {f"components-{x}" for x in ("0", "1", "large-0", "larged-0", "small-0")}
+    assert 0 < max(files.values()) <= spark.sparkContext.defaultParallelism < 64
+    assert marked(np.frombuffer(marks, np.uint8), np.array([r[0] for r in spark.range(500).select(F.xxhash64("id")).collect()]), 20).all()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("test-bits")) < 8
