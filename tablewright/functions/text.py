@@ -12,8 +12,14 @@ from tablewright.functions.binding import let
 from tablewright.functions.numbers import trim_all
 
 BRACKETED = r"\[[^\]]*\]"
-_TOKENS = r"(?U)\[[^\]]*\]|[\s\x1c-\x1f]+|(?:(?!\[[^\]]*\])[^\s\x1c-\x1f])+"
-_PLAIN_TOKENS = r"(?U)[\s\x1c-\x1f]+|[^\s\x1c-\x1f]+"
+_BRACKET_TOKEN = r"\[[^\]]*\]|"
+_TOKENS = r"[\s\x1c-\x1f]+|{run}|(?:(?!\[[^\]]*\])[^\s\x1c-\x1f])+"
+_PLAIN_TOKENS = r"[\s\x1c-\x1f]+|{run}|[^\s\x1c-\x1f]+"
+# letters that every rule of case treats alike, and that have one capital each
+_SMALL, _CAPITAL = "a-zà-öø-þ", "A-ZÀ-ÖØ-Þ"
+# a word of these, not all in capitals, with nothing before it and marks only after it
+_EVERYDAY = rf"(?=[{_CAPITAL}]*[{_SMALL}]|[{_CAPITAL}](?![{_CAPITAL}{_SMALL}]))[{_CAPITAL}{_SMALL}]++[.,;:!?)]*+(?:(?= )|(?![^\s\x1c-\x1f]))"
+RUN_WORDS = 32  # of a run at most: a match goes as deep
 # marks before, the word itself, marks after
 _WORD = r"(?s)^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -55,6 +61,16 @@ def sentence_case(c: Column) -> Column:
     return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.lower(F.substr(c, F.lit(2))))
 
 
+def _run(acronyms: Iterable[str]) -> str:
+    """Pattern of two or more everyday words, no acronyms, with one blank between them: a token whose words all take one capital."""
+    tails: dict[str, list[str]] = {}
+    for a in sorted(a for a in set(acronyms) if a.isascii() and a.isalpha()):
+        tails.setdefault(a[0], []).append("".join(f"[{x}{x.lower()}]" for x in a[1:]))
+    known = "|".join(f"[{x}{x.lower()}](?:{'|'.join(rest)})" for x, rest in tails.items())
+    word = (rf"(?!(?:{known})(?![{_CAPITAL}{_SMALL}]))" if known else "") + _EVERYDAY
+    return rf"{word}(?: {word}){{1,{RUN_WORDS - 1}}}"
+
+
 def smart_title(
     c: Column,
     preserve_brackets: bool = True,
@@ -71,13 +87,20 @@ def smart_title(
     * hyphenated parts are capitalised one by one.
 
     A word's core is made of letters and digits of any script, so "über"
-    becomes "Über" (it is not cut after the umlaut).
+    becomes "Über" (it is not cut after the umlaut).  Runs of everyday words are one token, which
+    ``initcap`` writes as the rules for single words do.
     """
     known = " ".join(dict.fromkeys((*fv.ACRONYMS, *(a.upper() for a in custom_acronyms))))
     acronyms = F.split(F.lit(known), " ")
-    tokens = F.regexp_extract_all(c, F.lit(_TOKENS if preserve_brackets else _PLAIN_TOKENS), F.lit(0))
-    outside = F.regexp_replace(c, BRACKETED, "") if preserve_brackets else c
-    shouting = F.regexp_replace(outside, r"\P{L}", "").rlike(r"^\p{Lu}+$")
+    run = _run(known.split(" ") if preserve_acronyms else ())
+    pattern = _BRACKET_TOKEN + _TOKENS if preserve_brackets else _PLAIN_TOKENS
+
+    def tokens(x: Column) -> Column:
+        return F.regexp_extract_all(x, F.lit("(?U)" + pattern.replace("{run}", run)), F.lit(0))
+
+    def shouting(x: Column) -> Column:
+        outside = F.regexp_replace(x, BRACKETED, "") if preserve_brackets else x
+        return ~outside.rlike(r"[\p{L}&&[^\p{Lu}]]") & outside.rlike(r"\p{Lu}")
 
     def titled(core: Column) -> Column:
         small = F.split(F.lit(" ".join(fv.SMALL_APOSTROPHE_PARTS)), " ")
@@ -106,26 +129,25 @@ def smart_title(
         )
 
     def word(t: Column, all_caps: Column) -> Column:
-        bare = t.rlike(r"^[\p{L}\p{N}]+$")
-        core = F.when(bare, t).otherwise(F.regexp_extract(t, _WORD, 2))
-
-        def around(i: int) -> Column:
-            return F.when(bare, "").otherwise(F.regexp_extract(t, _WORD, i))
+        def marked(x: Column) -> Column:
+            return F.when(x == "", t).otherwise(F.concat(F.regexp_extract(t, _WORD, 1), cased(x, all_caps), F.regexp_extract(t, _WORD, 3)))
 
-        return let(
-            core, lambda x: F.when(x == "", t).otherwise(F.concat(around(1), cased(x, all_caps), around(3)))
-        )
+        return F.when(t.rlike(r"^[\p{L}\p{N}]+$"), cased(t, all_caps)).otherwise(let(F.regexp_extract(t, _WORD, 2), marked))
 
     def one(t: Column, all_caps: Column) -> Column:
         keep = t.rlike(r"(?U)^[\s\x1c-\x1f]")
         if preserve_brackets:
             keep = keep | (F.startswith(t, F.lit("[")) & t.rlike("^" + BRACKETED + "$"))
-        return F.when(keep, t).otherwise(word(t, all_caps))
+        everyday = F.contains(t, F.lit(" ")) & t.rlike(f"^[{_CAPITAL}{_SMALL}]")
+        return F.when(t == " ", t).when(everyday, F.initcap(t)).when(keep, t).otherwise(word(t, all_caps))
+
+    def whole(x: Column) -> Column:
+        return let(
+            F.struct(tokens(x).alias("tokens"), shouting(x).alias("caps")),
+            lambda v: F.array_join(F.transform(v["tokens"], lambda t: one(t, v["caps"])), ""),
+        )
 
-    return let(
-        F.struct(tokens.alias("tokens"), shouting.alias("caps")),
-        lambda v: F.array_join(F.transform(v["tokens"], lambda t: one(t, v["caps"])), ""),
-    )
+    return let(c, whole)
 
 
 def apply_case(c: Column, case_format: str | None, **title_options) -> Column:

@@ -94,3 +94,15 @@ def test_name_columns(name, expected):
 def test_name_columns_by_substring():
     assert is_name_or_title_column("username", "substring") is True
     assert is_name_or_title_column("bandwidth", "substring") is False  # "id" excludes first
+
+
+def test_smart_title_of_runs(frame):
+    """Words in a run are written as each of them alone, and the text is computed once."""
+    words = ["a", "It", "usa", "usa.", "Vip,", "aim", "foo", "fOO", "foo).", "(foo", "don't", "o'neil", "x-ray", "été", "Ångström", "þing", "ÿes", "ßa",
+             "×", "ŉ", "ǆ", "漢字", "и", "r&b", "akb48", "[a", "a1", "R", "seventeenth", "seventeen", "word", "other", "words"]
+    alone = dict(zip(words, apply(frame, text.smart_title, words)))
+    texts = [" ".join(words[(i * step) % len(words)] for i in range(100)) for step in (1, 2, 4, 5, 7)] + ["plain words  only \n" * 40]
+    assert apply(frame, text.smart_title, texts[:-1]) == [" ".join(alone[w] for w in t.split(" ")) for t in texts[:-1]]
+    assert apply(frame, text.smart_title, texts[-1:]) == ["Plain Words  Only \n" * 40]
+    plan = frame("v string", [("x",)]).select(text.smart_title(F.translate("v", "A", "a")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
