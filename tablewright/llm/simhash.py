@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components, spanning
-from tablewright.llm.work import Work
+from tablewright.llm.work import Work, small_batches
 
 WIDTH = 3
 SEED = 42
@@ -117,6 +117,11 @@ def near_links(prints: DataFrame, work: Work, radius: int = RADIUS) -> DataFrame
 
 def classes(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH, radius=RADIUS) -> DataFrame:
     """(id, fp, component_id) of every document."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, width, radius)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
     work = Work(docs.sparkSession, "simhash")
     rows = work.save(fingerprints(docs, text_col, width, (id_col,)), "rows")
     names = work.save(rows.groupBy("fp").agg(F.min("k0").alias("least")), "prints")
@@ -133,6 +138,11 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH,
 
     Null ids come last; among rows of one id the first stored row stays.
     """
+    with small_batches(docs.sparkSession):
+        return _one_of_each(docs, id_col, text_col, width, radius)
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> DataFrame:
     work = Work(docs.sparkSession, "simhash-keep")
     plain = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     stored = work.save(docs.select(plain.alias("row"), F.monotonically_increasing_id().alias("at")), "docs")

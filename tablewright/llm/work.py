@@ -13,6 +13,7 @@ from tablewright.session import filesystem, scratch_root
 
 
 EACH = 1 << 16  # rows of a task that writes short rows
+BATCH_BYTES = 1 << 23  # of a small batch, whatever the length of its texts
 
 
 class Work:
@@ -52,14 +53,16 @@ class Work:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1024):
-    """What is saved inside goes to Python in batches of so many rows: whole texts take much room, on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """What is saved inside goes to Python in batches of so many rows and of ``BATCH_BYTES``: whole texts take much room, on both sides."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_key(text: str | Column) -> Column:

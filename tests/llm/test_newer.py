@@ -14,10 +14,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, conversations, manifest, near_copies, queries, slices, tokens
+from tablewright.llm import byte_bpe, conversations, manifest, near_copies, queries, simhash, slices, tokens
 from tablewright.llm.bits import bit_map, marked
 from tablewright.llm.graph import components
-from tablewright.llm.work import Work
+from tablewright.llm.work import BATCH_BYTES, Work, small_batches
 
 WHITE = " \t\n\x0b\x0c\r"
 SIGNS = ["'", "s", "t", "re", "ve", "'ll", "d", " ", "  ", "\n", "\t", "\xa0", "\x1c", "1", "²", "é", "漢", "a", "B", "!", "-", "😀", "<|endoftext|>", "\r\n", "×", "\x00", "ÿ"]
@@ -443,3 +443,40 @@ def test_small_graphs_take_few_tasks(spark, tmp_path):
     assert 0 < max(files.values()) <= spark.sparkContext.defaultParallelism < 64
     assert marked(np.frombuffer(marks, np.uint8), np.array([r[0] for r in spark.range(500).select(F.xxhash64("id")).collect()]), 20).all()
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("test-bits")) < 8
+
+
+# ---------------------------------------------------------------- batches of whole texts
+
+
+def test_small_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    names = [f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes")]
+    before = [spark.conf.get(n) for n in names]
+    with small_batches(spark):
+        rows = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(rows) == 3000 and max(rows) * 20_000 < 1.1 * BATCH_BYTES
+    assert [spark.conf.get(n) for n in names] == before
+
+
+@pytest.fixture
+def records(spark, monkeypatch):
+    """Rows of a batch by the name of the stored table that its Python step makes."""
+    seen, save = {}, Work.save
+
+    def noted(self, df, name):
+        seen[name] = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return save(self, df, name)
+
+    monkeypatch.setattr(Work, "save", noted)
+    return seen
+
+
+def test_simhash_takes_small_batches(spark, records):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.classes(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3]
+    assert records["rows"] == records["tiles"] == records["prints"] == "1024"
