@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import rolling
 from tablewright.llm.bits import bit_map, marked
-from tablewright.llm.work import Work, chunks, text_key
+from tablewright.llm.work import Work, chunks, small_batches, text_key
 
 WIDTH = 5
 SIMILARITY = 0.8
 MAP_BITS = 24  # 2 MB; more items only let more shingles through to the exact join
-CHUNK = 1 << 21
+CHUNK = 1 << 18  # bytes of text hashed at once; the hashes take some fifty times as much
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -127,7 +127,8 @@ def _found_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     raw = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).mapInArrow(
         _item_rows(width, similarity), f"item_id {kind}, item bigint, shingle string, hash bigint, rank int, q int, in_sketch boolean, width int"
     )
-    stored = work.save(raw, "items")
+    with small_batches(docs.sparkSession):
+        stored = work.save(raw, "items")
     names = stored.where("rank = 0").groupBy("item").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
     shingles = work.save(stored.drop("item_id", "rank").dropDuplicates(["item", "shingle"]).join(names, "item"), "shingles")
     widths = [r[0] for r in shingles.select("width").distinct().collect()]  # at most ``width`` numbers
@@ -136,7 +137,8 @@ def _found_items(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     found = slim.mapInArrow(
         _hits(bit_map(shingles.where("in_sketch"), MAP_BITS), bit_map(shingles, MAP_BITS), widths, MAP_BITS, ("id", "key")), f"id {doc_kind}, key bigint, shingle string"
     )
-    found = work.save(found, "found")
+    with small_batches(docs.sparkSession):
+        found = work.save(found, "found")
     pairs = found.join(shingles.select("item", "shingle", "item_id", "n_items", "q", "in_sketch"), "shingle").groupBy("id", "key", "item").agg(
         F.min("item_id").alias("item_id"), F.max("n_items").alias("n_items"), F.max("q").cast("long").alias("n_shingles"), F.count_distinct("shingle").alias("n_found"), F.max("in_sketch").alias("sketched")
     )

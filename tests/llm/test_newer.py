@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, conversations, manifest, near_copies, queries, simhash, slices, tokens
+from tablewright.llm import byte_bpe, conversations, decontamination, manifest, near_copies, queries, simhash, slices, tokens
 from tablewright.llm.bits import bit_map, marked
 from tablewright.llm.graph import components
 from tablewright.llm.work import BATCH_BYTES, Work, small_batches
@@ -480,3 +480,24 @@ def test_simhash_takes_small_batches(spark, records):
     assert sorted((r.doc_id, r.component_id) for r in simhash.classes(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3]
     assert records["rows"] == records["tiles"] == records["prints"] == "1024"
+
+
+def test_decontamination_takes_small_batches(spark, records):
+    docs = spark.createDataFrame([(1, "x a b c d e y"), (2, "else")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "A b c d e")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.every_item(docs, items).collect()] == [(1, 7)]
+    assert records["items"] == records["found"] == "1024"
+
+
+def test_decontamination_hashes_little_text_at_once(monkeypatch):
+    texts, taken, shingled = ["a b c d e f " * 5000] * 64, [], decontamination.shingled
+
+    def noted(part, width):
+        taken.append(sum(map(len, part)))
+        return shingled(part, width)
+
+    monkeypatch.setattr(decontamination, "shingled", noted)
+    none = bytes(1 << decontamination.MAP_BITS >> 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(range(64)), pa.array(texts)], names=["id", "key", "text"])
+    assert not list(decontamination._hits(none, none, [5], decontamination.MAP_BITS, ("id", "key"))(iter([batch])))
+    assert sum(taken) == 64 * 60_000 and max(taken) <= 1 << 18
