@@ -19,7 +19,7 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -96,14 +96,16 @@ class Classifier:
         return lang, (second - best) / second if second else 1.0
 
 
-def _classify(dictionaries: dict[str, bytes]):
+def _judged(dictionaries: dict[str, bytes], texts: Callable[[pa.RecordBatch], pa.Array], keep: int):
+    """The first ``keep`` columns of every batch, with the language and the score of its texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(dictionaries)
         for batch in batches:
-            got = [judge(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            got = [judge(t.as_py()) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.columns[:keep], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
+                names=[*batch.schema.names[:keep], "lang_pred", "score"],
             )
 
     return run
@@ -113,15 +115,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col="doc_id", te
     """(id, held_out, lang_pred, score, rejected) of every document."""
     slim = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = slim.mapInArrow(_classify(dictionaries), f"id {kind}, held_out boolean, lang_pred string, score double")
+    rows = slim.mapInArrow(_judged(dictionaries, lambda batch: batch.column(2), 2), f"id {kind}, held_out boolean, lang_pred string, score double")
     rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin)
     return rows.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", rejected.alias("rejected"))
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col="text", margin=MARGIN) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose language is told clearly."""
-    plain = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(plain.alias("row"), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([marked.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    rows = marked.mapInArrow(_classify(dictionaries), schema)
+    """Rows of ``docs``, with all their columns, whose language is told clearly.
+
+    A text travels to Python once, in its row.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([*whole.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = docs.columns.index(text_col)
+    rows = whole.mapInArrow(_judged(dictionaries, lambda batch: batch.column(0).field(at), 1), schema)
     return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).select("row.*")

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.llm import byte_bpe, conversations, decontamination, manifest, near_copies, queries, simhash, slices, tokens
+from tablewright.llm import byte_bpe, conversations, decontamination, language, manifest, near_copies, queries, simhash, slices, tokens
 from tablewright.llm.bits import bit_map, marked
 from tablewright.llm.graph import components
 from tablewright.llm.work import BATCH_BYTES, Work, small_batches
@@ -501,3 +501,12 @@ def test_decontamination_hashes_little_text_at_once(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(range(64)), pa.array(texts)], names=["id", "key", "text"])
     assert not list(decontamination._hits(none, none, [5], decontamination.MAP_BITS, ("id", "key"))(iter([batch])))
     assert sum(taken) == 64 * 60_000 and max(taken) <= 1 << 18
+
+
+def test_language_sends_a_text_once(spark):
+    rows = [(i, f"{w} " * 40, lang, None) for i, (w, lang) in enumerate([("lorem ipsum", "xx"), ("tam tam", "yy")] * 8)] + [(90, None, "xx", None), (91, "12", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `odd.name` int")
+    out = language.accepted(docs, language.learn(docs))
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows[:16])
+    sent = re.search(r"MapInArrow.*\n\s*\+- Project \[(.*)\]", out._jdf.queryExecution().analyzed().toString()).group(1)
+    assert len(re.findall(r"\btext#", sent)) == 1
